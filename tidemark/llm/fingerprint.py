@@ -21,8 +21,11 @@ GROUP_BITS = 8
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     """Hashes of all shingles of the text, not yet distinct."""
+    # The words are bound to a variable, so that they are split once; single items are taken in constant time.
     parts = F.split(F.trim(F.lower(text)), r"\s+")
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - words, F.lit(0))), lambda i: F.xxhash64(F.slice(parts, i + 1, words)))
+    places = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
+    run = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(words)])
+    return F.transform(F.array(parts), lambda w: F.transform(places(w), lambda i: run(w, i)))[0]
 
 
 def sketch(text: Column, k: int = K) -> Column:

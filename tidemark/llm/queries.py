@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, pieces, quality, toxicity
+from . import chat, decontaminate, fingerprint, licenses, near_dedup, pieces, quality, sharding, toxicity, warc
 from .common import held_out, table
 
 
@@ -26,6 +26,55 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a call, linked with its answer, validated and serialised."""
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
+OP4_SQL = """
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+calls AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, conv_id || ':' || (turn - 2) AS need, text FROM m WHERE role = 'user'),
+answers AS (SELECT conv_id || ':' || (turn - 1) AS call_id, min(struct_pack(t := turn, c := text)) AS r FROM m WHERE role = 'assistant' GROUP BY 1),
+known AS (SELECT DISTINCT call_id AS need FROM calls)
+SELECT c.conv_id, c.turn, 0 AS place, c.call_id, r.t AS result_turn, r IS NOT NULL AS linked,
+  c.turn < 2 OR k.need IS NOT NULL AS in_order, '' AS errors,
+  '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":' || to_json(c.call_id) || ',"name":"reply","result":'
+    || CASE WHEN r IS NULL THEN 'null' ELSE to_json(r.c) END || '}' AS json
+FROM calls c LEFT JOIN answers USING (call_id) LEFT JOIN known k ON c.need = k.need"""
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, and where it goes when one shard leaves."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(sharding.place(docs, "doc_id"), "doc_id", sharding.SHARDS[:-1], slot="slot_without_last", shard="shard_without_last").drop("slot_without_last")
+
+
+def _op5_sql() -> str:
+    def cases(shards):
+        return "[" + ", ".join(str(i) for i in sharding.fill(shards)) + "]"
+
+    slot = f"(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {sharding.SLOTS})"
+    name = "printf('shard-%02d', {}[slot + 1])"
+    return f"""
+WITH t AS (SELECT {cases(sharding.SHARDS)} AS a, {cases(sharding.SHARDS[:-1])} AS b), d AS (SELECT doc_id, {slot} AS slot FROM documents)
+SELECT doc_id, slot, {name.format("a")} AS shard, {name.format("b")} AS shard_without_last FROM d, t"""
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("identifiers").cast("long").alias("n_identifiers"),
+        F.array_join("identifiers", ",").alias("identifiers"),
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join("licenses", ",").alias("licenses"),
+    )
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,9 +101,36 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, max(page_id) AS keeper FROM p GROUP BY html)
+SELECT page_id, strlen(html) AS payload_bytes, BASE32 AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM p JOIN g USING (html)"""
+
+
+def _op10_sql() -> str:
+    """Base32 of a SHA-1 in SQL: 32 groups of five bits of its 40 hex digits."""
+    digit = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    # Five hex digits are 20 bits, which are four letters.
+    letters = " || ".join(
+        f"substr({digit}, (((('0x' || substr(sha1(html), {5 * k + 1}, 5))::BIGINT >> {shift}) & 31) + 1)::INTEGER, 1)" for k in range(8) for shift in (15, 10, 5, 0)
+    )
+    return OP10_SQL.replace("BASE32", letters)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality, op7_near_dedup, op8_decontaminate, op9_toxicity)}
+    return {f.__name__: f for f in (
+        op1_sentencepiece, op2_quality, op3_fingerprint, op4_chat, op5_sharding,
+        op6_licenses, op7_near_dedup, op8_decontaminate, op9_toxicity, op10_warc,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat": OP4_SQL, "op5_sharding": _op5_sql(), "op6_licenses": licenses.oracle(), "op10_warc": _op10_sql()}

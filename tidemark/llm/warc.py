@@ -175,7 +175,7 @@ def _write_rows(folder: str, dictionary: bytes):
             nonlocal done, held, records, size
             name = posixpath.join(root, f"part-{part:05d}-{done:05d}.warc.zst")
             rough = f"{name}.{uuid.uuid4().hex}.tmp"
-            with store.open_output_stream(rough) as out:
+            with store.open_output_stream(rough, compression=None) as out:
                 out.write(b"".join(held))
             store.move(rough, name)
             row = pa.RecordBatch.from_pydict({"file": [posixpath.basename(name)], "records": [records], "bytes": [size]})
@@ -217,7 +217,7 @@ def _read_rows(folder: str, with_payload: bool):
         store, root = _place(folder)
         for batch in batches:
             for name, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_input_stream(posixpath.join(root, name)) as source:
+                with store.open_input_stream(posixpath.join(root, name), compression=None) as source:
                     data = source.read()
                 rows, seen = [], 0
                 for raw in frames(data):

@@ -35,6 +35,8 @@ from .components import connected
 
 WORDS, PERCENT = 5, 85
 SKETCH, MIN_SHARED = 32, 17
+#: Up to so many ids (8 bytes each) are broadcast to pick texts in the scan; more ids make it a shuffled join.
+BROADCAST_IDS = 4_000_000
 
 # Rolling hash: an odd multiplier and its inverse modulo 2^64; a final mix spreads the low bits.
 _BASE = 0x9E3779B97F4A7C15
@@ -147,6 +149,8 @@ def links(documents: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame
     # One text of each class left gives its full set; a null id can't be looked up, but its text can.
     chosen = table.join(kept.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     chosen = materialise(chosen.where("doc_id is not null"), "chosen")
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = texts.join(chosen, "doc_id").select(F.col("sig"), "text").mapInArrow(_set_rows, "sig binary, members array<long>")
     # The text of a repeated id can differ: only the one with this set counts.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import evidence, live, timed  # noqa: F401  registers on import
+from .base import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return QUERIES
 
 
 def oracle_sql():
-    return {}
+    return SQL

@@ -86,28 +86,27 @@ def _lower_neighbours(keys: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def _with_next(base: DataFrame) -> DataFrame:
-    """base with next_text and next_sketch: those of the next document in descending doc_id (ties: by text hash).
+    """base (doc_id, text) with its sketch, next_text and next_sketch: those of the next document in descending
+    doc_id (ties: by text hash).
 
-    Texts move once, to groups of neighbouring ids; only the last row of a group looks for the first row of
-    the next group, by a join on group numbers.
+    Texts move once, to groups of neighbouring ids. The first row of every group goes to the group above as
+    well, where it stands last: it is the next document of that group's last row.
     """
-    base = base.withColumn("g", F.shiftright("doc_id", GROUP_BITS))
-    span = base.agg(F.min("doc_id"), F.max("doc_id")).first()
-    alone = base.where("doc_id is null").select("doc_id", "text", "sketch", F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
+    ordered = base.where("doc_id is not null").withColumn("g", F.shiftright("doc_id", GROUP_BITS))
+    span = ordered.agg(F.min("g"), F.max("g")).first()
+    alone = base.where("doc_id is null").withColumn("sketch", sketch(F.col("text")))
+    alone = alone.select("doc_id", "text", "sketch", F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
     if span[0] is None:
         return alone
-    order = Window.partitionBy("g").orderBy(F.desc("doc_id"), F.xxhash64("text"))
-    placed = base.where("doc_id is not null").select(
-        "*",
-        F.lead(F.struct("text", "sketch")).over(order).alias("nx"),
-        F.row_number().over(order).alias("rn"),
-    )
-    inside = placed.where("nx is not null").select("doc_id", "text", "sketch", F.col("nx.text").alias("next_text"), F.col("nx.sketch").alias("next_sketch"))
-    groups = _lower_neighbours(base.where("doc_id is not null").select(F.col("g").alias("key")), span[0] >> GROUP_BITS, span[1] >> GROUP_BITS)
-    first = placed.where("rn = 1").select(F.col("g").alias("lower"), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
-    last = placed.where("nx is null").select(F.col("g").alias("key"), "doc_id", "text", "sketch")
-    edge = last.join(groups, "key").join(first, "lower").select("doc_id", "text", "sketch", "next_text", "next_sketch")
-    return inside.unionByName(edge).unionByName(alone)
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("doc_id"), F.xxhash64("text")))
+    heads = ordered.withColumn("rn", rank).where("rn = 1").select(F.col("g").alias("lower"), "doc_id", "text")
+    groups = _lower_neighbours(ordered.select(F.col("g").alias("key")), span[0], span[1])
+    guests = heads.join(groups, "lower").select("doc_id", "text", F.col("key").alias("g"), F.lit(True).alias("guest"))
+    # Sketches are made after the move, so that they needn't move.
+    dealt = ordered.withColumn("guest", F.lit(False)).unionByName(guests).repartition("g").withColumn("sketch", sketch(F.col("text")))
+    order = Window.partitionBy("g").orderBy("guest", F.desc("doc_id"), F.xxhash64("text"))
+    placed = dealt.withColumn("nx", F.lead(F.struct("text", "sketch")).over(order)).where(~F.col("guest"))
+    return placed.select("doc_id", "text", "sketch", F.col("nx.text").alias("next_text"), F.col("nx.sketch").alias("next_sketch")).unionByName(alone)
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -119,7 +118,6 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprints of every text and of the text whose second half the next document's beginning replaces."""
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    base = base.withColumn("sketch", sketch(F.col("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = _with_next(base).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))

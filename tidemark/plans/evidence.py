@@ -312,10 +312,10 @@ def benchmark_metrics(spark, d):
 
 
 @query("""WITH g AS (SELECT o_custkey % 100 AS family, count(*)::INTEGER AS n, (count(*) FILTER (o_orderkey % 2 = 0))::INTEGER AS k FROM orders WHERE o_orderkey % 10 < 3 AND o_custkey % 3 = 0 GROUP BY 1)
-SELECT family, n, k, round(k / n, 6) AS accuracy, round((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(k, n + 1) t(i)), 6) AS p_value FROM g""")
+SELECT family, n, k, round(k / n, 6) AS accuracy, round((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(k, n + 1) t(i)), 9) AS p_value FROM g""")
 def binomial_probe(spark, d):
     t = table(spark, d, "orders").where("o_orderkey % 10 < 3 AND o_custkey % 3 = 0").select((F.col("o_custkey") % 100).alias("family"), (F.col("o_orderkey") % 2 == 0).alias("ok"))
-    return scoring.probe(t, ["family"], "ok").withColumns({"accuracy": r6("accuracy"), "p_value": r6("p_value")})
+    return scoring.probe(t, ["family"], "ok").withColumns({"accuracy": r6("accuracy"), "p_value": F.round("p_value", 9)})
 
 
 @query("""WITH s AS (SELECT DISTINCT user_id, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS step, event_id % 40 AS claim, event_id % 40 % 3 <> 0 AS ok FROM events),
@@ -473,7 +473,7 @@ def stft_descriptors(spark, d):
 
     def kernel(key, x):
         v = kernels.shape_descriptors(x, 1000)
-        return pd.DataFrame({"event_type": key[0], "w": range(len(v)), "vector": [r.round(6).tolist() for r in v]})
+        return pd.DataFrame([(key[0], i, r.round(6).tolist()) for i, r in enumerate(v)], columns=["event_type", "w", "vector"])
 
     return kernels.per_series(_series(spark, d), ["event_type"], "us", "value", kernel, "event_type string, w int, vector array<double>")
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialise
+
 K, WORDS = 64, 5
 #: Ids are put in order in groups of 2^GROUP_BITS neighbouring ids, then groups of groups, and so on.
 GROUP_BITS = 8
@@ -73,6 +75,8 @@ def _lower_neighbours(keys: DataFrame, low: int, high: int) -> DataFrame:
     keys = keys.select("key").distinct()
     group = F.shiftright("key", GROUP_BITS)
     inner = keys.withColumn("g", group).withColumn("lower", F.lead("key").over(Window.partitionBy("g").orderBy(F.desc("key"))))
+    # Written, as every level refers to the one below it several times.
+    inner = materialise(inner, "groups")
     if low >> GROUP_BITS == high >> GROUP_BITS:
         return inner.select("key", F.coalesce("lower", F.lit(high)).alias("lower"))
     tops = inner.groupBy("g").agg(F.max("key").alias("top"))

@@ -62,7 +62,8 @@ RULES = [
 ]
 #: Every known sentence holds one of these, so a text without any of them needs no cutting.
 KEYWORDS = ("licen", "permission", "redistribut", "free software", "warranty", "rights reserved")
-_END = r"([.;!?:])[ \t\r\n]+"
+#: A sentence ends at these marks before white space, but not before a digit ("v. 2.0").
+_END = r"([.;!?])[ \t\r\n]+([^0-9])"
 
 
 def _plain(text: str) -> str:
@@ -71,7 +72,7 @@ def _plain(text: str) -> str:
 
 def sentences(text: Column) -> Column:
     """Normalised sentences, in order, without empty ones."""
-    cut = F.split(F.regexp_replace(F.lower(text), _END, "$1\n"), "\n")
+    cut = F.split(F.regexp_replace(F.lower(text), _END, "$1\n$2"), "\n")
     return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
 
 
@@ -114,7 +115,7 @@ def oracle() -> str:
     rules = ", ".join(f"({i}, {quote(name)}, {quote(',' + ','.join(rule) + ',')})" for i, (name, rule) in enumerate(RULES))
     return f"""
 WITH known(s, id) AS (VALUES {table}), rules(r, license, ids) AS (VALUES {rules}),
-cut AS (SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '{_END}', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
+cut AS (SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '{_END}', '\\1' || chr(10) || '\\2', 'g'), chr(10)) AS parts FROM documents),
 parts AS (SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS p FROM cut),
 named AS (SELECT doc_id, p, id FROM (SELECT doc_id, p, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) AS s FROM parts) JOIN known USING (s)),
 seq AS (SELECT doc_id, string_agg(id, ',' ORDER BY p) AS identifiers, count(*) AS n FROM named GROUP BY doc_id),

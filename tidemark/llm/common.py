@@ -54,6 +54,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give a finished partition's memory back; Python workers live on and serve other queries."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     def remove() -> None:
         try:

@@ -73,11 +73,12 @@ def _lower_neighbours(keys: DataFrame, low: int, high: int) -> DataFrame:
     Windows never hold more than 2^GROUP_BITS keys; only the smallest of a group is handed to the level above.
     """
     keys = keys.select("key").distinct()
-    group = F.shiftright("key", GROUP_BITS)
+    last = high - low <= 1 << GROUP_BITS
+    group = F.lit(0).cast("long") if last else F.shiftright("key", GROUP_BITS)
     inner = keys.withColumn("g", group).withColumn("lower", F.lead("key").over(Window.partitionBy("g").orderBy(F.desc("key"))))
     # Written, as every level refers to the one below it several times.
     inner = materialise(inner, "groups")
-    if low >> GROUP_BITS == high >> GROUP_BITS:
+    if last:
         return inner.select("key", F.coalesce("lower", F.lit(high)).alias("lower"))
     tops = inner.groupBy("g").agg(F.max("key").alias("top"))
     above = _lower_neighbours(tops.select(F.col("g").alias("key")), low >> GROUP_BITS, high >> GROUP_BITS)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import ASCII_LOWER, materialise
+from .common import ASCII_LOWER, materialise, release
 from .components import connected
 
 WORDS, PERCENT = 5, 85
@@ -104,6 +104,7 @@ def _sketch_rows(batches):
             values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists], names=SKETCHES.names)
+    release()
 
 
 def _set_rows(batches):
@@ -115,6 +116,7 @@ def _set_rows(batches):
             at = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["sig", "members"])
+    release()
 
 
 def sketches(documents: DataFrame) -> DataFrame:

@@ -15,16 +15,19 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 MARK = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
 #: Characters of new words indexed at once, words kept for reuse, and the longest word relaxed with the others.
-BLOCK_CHARS, KEPT_WORDS, LONG_WORD = 300_000, 400_000, 96
+BLOCK_CHARS, KEPT_WORDS, LONG_WORD = 200_000, 400_000, 96
 
 
 def model_path(name: str = DEFAULT_MODEL) -> str:
@@ -78,7 +81,13 @@ class Encoder:
         flat = np.frombuffer("".join(model.pieces[i] for i in model.normal).encode("utf-32-le"), dtype=np.uint32)
         self.grid = np.zeros((len(model.normal), self.depth), dtype=np.uint32)
         self.grid[np.arange(self.depth)[None, :] < self.length[:, None]] = flat
-        self.alphabet = np.unique(flat)
+        # Letters by number, 0 for characters that are in no piece, and the pieces in these numbers.
+        alphabet = np.unique(flat)
+        self.letter = np.zeros(0x110000, dtype=np.int32)
+        self.letter[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.n_letters = len(alphabet) + 1
+        self.grid = self.letter[self.grid]
+        self.inside = np.arange(self.depth)[None, :] < self.length[:, None]
         joined = "".join(p for p in (model.pieces[i] for i in model.normal) if len(p) > 1)
         # A line break that is in no longer piece ends a word, which makes words recur more often.
         self.split = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if "\n" not in joined else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -103,13 +112,16 @@ class Encoder:
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start and the last ends."""
         split = [self.words(t) if t else [] for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
+        words = list(chain.from_iterable(split))
+        index = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        absent = np.nonzero(index < 0)[0]
+        missed = [words[i] for i in absent.tolist()]
+        new = set(missed)
         if len(self.known) + len(new) > KEPT_WORDS:
             self.reset()
-            new = set().union(*split)
-        self._learn(sorted(new))
-        known = self.known
-        index = np.array([known[w] for words in split for w in words], dtype=np.int64)
+            absent, missed, new = np.arange(len(words)), words, set(words)
+        self._learn(new)
+        index[absent] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
         flat, at = self.csr
         size = at[1:][index] - at[:-1][index]
         stops = np.concatenate([[0], np.cumsum(size)])
@@ -117,7 +129,7 @@ class Encoder:
         ends = np.cumsum([0] + [len(w) for w in split])
         return ids, stops[ends]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         if not words:
             return
         block, chars = [], 0
@@ -137,8 +149,7 @@ class Encoder:
         self.csr = (self.flat[0], np.concatenate([[0], np.cumsum(sizes)]))
 
     def _keep(self, words: list[str], found: tuple[np.ndarray, np.ndarray]) -> None:
-        for word in words:
-            self.known[word] = len(self.known)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.flat.append(found[0])
         self.sizes.append(found[1])
 
@@ -149,34 +160,35 @@ class Encoder:
         stops = np.cumsum(lengths + 1) - 1
         starts = stops - lengths
         n = len(chars)
-        letters = np.intersect1d(chars, self.alphabet)
-        wide = len(letters) > 253
-        codes = np.searchsorted(letters, chars)
-        codes = np.where(letters[np.minimum(codes, len(letters) - 1)] == chars, codes + 2, 1) if len(letters) else np.ones(n, np.int64)
+        letters = self.letter[chars]
+        # Codes in this text: 0 between words, 1 for what is in no piece, the letters it has from 2 on.
+        present = np.unique(letters[letters > 0])
+        wide = len(present) > 253
+        code = np.ones(self.n_letters, dtype=np.int64)
+        code[present] = np.arange(2, len(present) + 2)
+        codes = code[letters]
         codes[stops] = 0
         # The suffix array: suffixes by their first `depth` codes, which is as far as a piece can tell them apart.
         padded = np.concatenate([codes, np.zeros(self.depth, codes.dtype)]).astype(np.uint16 if wide else np.uint8)
         keys = _pack(np.lib.stride_tricks.sliding_window_view(padded, self.depth)[:n], wide)
-        order = np.lexsort(keys.T[::-1])
+        order = _sorted(keys)
         keys = keys[order]
         # Pieces made of letters of this text, as lower and upper bounds in the same order.
-        at = np.searchsorted(letters, self.grid)
-        inside = np.arange(self.depth)[None, :] < self.length[:, None]
-        hit = (letters[np.minimum(at, max(0, len(letters) - 1))] == self.grid) if len(letters) else np.zeros(at.shape, bool)
-        usable = np.nonzero((hit | ~inside).all(axis=1))[0]
-        table = np.full((n, self.depth + 1), -1, dtype=np.int32)
+        own = code[self.grid]
+        usable = np.nonzero(((own > 1) | ~self.inside).all(axis=1))[0]
+        table = np.full(n * (self.depth + 1), -1, dtype=np.int32)
         if len(usable):
-            low = np.where(inside[usable], at[usable] + 2, 0)
-            high = np.where(inside[usable], at[usable] + 2, 65535 if wide else 255)
-            first, last = _search(keys, _pack(low, wide), False), _search(keys, _pack(high, wide), True)
+            inside = self.inside[usable]
+            low, high = _pack(np.where(inside, own[usable], 0), wide), _pack(np.where(inside, own[usable], 65535 if wide else 255), wide)
+            first, last = _search(keys, low, False), _search(keys, high, True)
             count = last - first
             total = np.concatenate([[0], np.cumsum(count)])
             place = order[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
-            piece = np.repeat(usable, count)
-            # Edges by position: row = where a piece starts, column = its length.
-            by_place = np.argsort(place, kind="stable")
-            place, piece = place[by_place], piece[by_place]
-            table[place, self.length[piece]] = self.ids[piece]
+            # Edges by position, then length, with the id in the low bits; spots of the table are in that order.
+            edges = ((place * (self.depth + 1) + np.repeat(self.length[usable], count)) << 24) | np.repeat(self.ids[usable], count)
+            edges.sort()
+            table[edges >> 24] = edges & 0xFFFFFF
+        table = table.reshape(n, self.depth + 1)
         if whole:
             ids = self._relax_long(words[0], table)
             return ids, np.array([len(ids)], dtype=np.int64)
@@ -277,20 +289,42 @@ class Encoder:
         return out
 
 
+def _sorted(keys: np.ndarray) -> np.ndarray:
+    """Order of the rows. Most differ in their first word; only runs of equals are sorted by the others."""
+    order = np.argsort(keys[:, 0])
+    same = keys[order[1:], 0] == keys[order[:-1], 0]
+    run = np.nonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))[0]
+    if len(run):
+        rows = order[run]
+        order[run] = rows[np.lexsort(keys[rows].T[::-1])]
+    return order
+
+
 def _search(keys: np.ndarray, wanted: np.ndarray, upper: bool) -> np.ndarray:
-    """Binary search of all wanted rows at once: how many keys are below each (upper: not above)."""
-    low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(keys), np.int64)
+    """Binary search of all wanted rows at once: how many keys are below each (upper: not above).
+
+    The first word narrows the range; where further words matter, the search goes on within it.
+    """
+    head = np.ascontiguousarray(keys[:, 0])
+    low, high = np.searchsorted(head, wanted[:, 0], "left"), np.searchsorted(head, wanted[:, 0], "right")
+    # Padding alone is left: all of the range is above the lower bound and not above the upper one.
+    rest = wanted[:, 1:]
+    plain = (rest == (np.uint64(0xFFFFFFFFFFFFFFFF) if upper else np.uint64(0))).all(axis=1)
+    out = np.where(plain, high if upper else low, low)
+    more = np.nonzero(~plain & (low < high))[0]
+    low, high = low[more], high[more]
     while (open_ := low < high).any():
         mid = (low + high) // 2
         probe = keys[np.minimum(mid, len(keys) - 1)]
-        less, tie = np.zeros(len(wanted), bool), np.ones(len(wanted), bool)
-        for k in range(keys.shape[1]):
-            less |= tie & (probe[:, k] < wanted[:, k])
-            tie &= probe[:, k] == wanted[:, k]
+        less, tie = np.zeros(len(more), bool), np.ones(len(more), bool)
+        for k in range(1, keys.shape[1]):
+            less |= tie & (probe[:, k] < wanted[more, k])
+            tie &= probe[:, k] == wanted[more, k]
         right = open_ & (less | tie if upper else less)
         low = np.where(right, mid + 1, low)
         high = np.where(open_ & ~right, mid, high)
-    return low
+    out[more] = low
+    return out
 
 
 SCHEMA = "doc_id long, n_tokens int, n_byte_tokens int, ids array<int>, round_trip boolean"
@@ -307,11 +341,9 @@ def _encode_rows(model: PieceModel, block: int = 512):
                 texts = part.column(1).to_pylist()
                 ids, at = encoder.encode_batch(texts)
                 back = encoder.decode_batch(ids, at)
-                null = pa.array([t is None for t in texts])
                 mask = np.array([t is None for t in texts], dtype=bool)
                 byte_runs = np.concatenate([[0], np.cumsum(is_byte[ids])])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32), mask=np.append(mask, False)), pa.array(ids))
-                del null
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -322,6 +354,8 @@ def _encode_rows(model: PieceModel, block: int = 512):
                     ],
                     names=["doc_id", "n_tokens", "n_byte_tokens", "ids", "round_trip"],
                 )
+        del encoder
+        release()
 
     return run
 

@@ -81,3 +81,58 @@ def independent_votes(votes: DataFrame, example: str, label: str, least: int) ->
     out = by.agg(F.sum("n").alias("n_votes"), F.max(F.struct("n", label)).alias("_top"))
     keep = (F.col("n_votes") >= least) & (2 * F.col("_top.n") > F.col("n_votes"))
     return out.select(example, "n_votes", F.when(keep, F.col("_top")[label].cast("string")).otherwise("AMBIGUOUS").alias("label"))
+
+
+#: What a benchmark must hold and may fail.
+CRITERIA = {"examples": 20, "positive": 6, "negative": 6, "ambiguous": 2, "overall": 0.2, "false_positive": 0.1, "false_negative": 0.2, "control": 0.2}
+
+
+def qualification(trials: DataFrame, keys: list[str]) -> DataFrame:
+    """Held-out metrics and state of each benchmark from trials(split, control, prediction, correct, natural).
+
+    PRESENT on a negative is a false positive even where the answer failed otherwise; every failed positive is
+    a false negative. NOT_TESTED, PROVISIONAL, VALIDATED_ON_BENCHMARK or FAILED.
+    """
+    held = F.col("split") == "held_out"
+    is_ = lambda c: held & (F.col("control") == c)
+    wrong = ~F.col("correct")
+    out = trials.groupBy(*keys).agg(
+        F.count_if(held).alias("n"), F.count_if(held & wrong).alias("failed"),
+        *[F.count_if(is_(c)).alias(c.lower()) for c in ("POSITIVE", "NEGATIVE", "AMBIGUOUS")],
+        *[F.count_if(is_(c) & wrong).alias("failed_" + c.lower()) for c in ("POSITIVE", "NEGATIVE", "AMBIGUOUS")],
+        F.count_if(is_("NEGATIVE") & (F.col("prediction") == "PRESENT")).alias("false_positives"),
+        F.coalesce(F.bool_and(F.when(held, F.col("natural"))), F.lit(False)).alias("natural"),
+    )
+    share = lambda a, b: F.try_divide(a, b)
+    out = out.withColumns({"failure_rate": share("failed", "n"), "fp_rate": share("false_positives", "negative"), "fn_rate": share("failed_positive", "positive"), "ambiguous_rate": share("failed_ambiguous", "ambiguous"), "negative_rate": share("failed_negative", "negative")})
+    enough = (F.col("n") >= CRITERIA["examples"]) & (F.col("positive") >= CRITERIA["positive"]) & (F.col("negative") >= CRITERIA["negative"]) & (F.col("ambiguous") >= CRITERIA["ambiguous"])
+    good = (F.col("failure_rate") <= CRITERIA["overall"]) & (F.col("fp_rate") <= CRITERIA["false_positive"]) & (F.col("fn_rate") <= CRITERIA["false_negative"])
+    good = good & (F.greatest("fn_rate", "negative_rate", "ambiguous_rate") <= CRITERIA["control"])
+    state = F.when(F.col("n") == 0, "NOT_TESTED").when(~enough | ~F.col("natural"), "PROVISIONAL").when(good, "VALIDATED_ON_BENCHMARK").otherwise("FAILED")
+    return out.withColumn("status", state)
+
+
+def probe_passed(scored: DataFrame) -> DataFrame:
+    """A probe passes at 80 % right and p of at most 0.01, with at least 12 trials."""
+    ok = (F.col("n") >= 12) & (F.col("accuracy") >= 0.8) & (F.col("p_value") <= 0.01)
+    return scored.withColumn("passed", ok)
+
+
+def ablation_evaluation(claims: DataFrame, gold: DataFrame) -> DataFrame:
+    """Passes in order, of claims(pass_no, claim, status, n_evidence), against gold(claim, status).
+
+    New supported claims are verified ones that the pass before didn't have; supported ones that gold calls OPEN
+    or CONTRADICTED are false; those without gold are unadjudicated.
+    """
+    said = claims.join(gold.select("claim", F.col("status").alias("gold")), "claim", "left")
+    backed = (F.col("status") == "SUPPORTED") & (F.col("n_evidence") > 0)
+    pick = lambda cond: F.sort_array(F.collect_set(F.when(cond, F.col("claim"))))
+    rows = said.groupBy("pass_no").agg(
+        pick(backed & (F.col("gold") == "SUPPORTED")).alias("verified"),
+        pick(backed & F.col("gold").isin("OPEN", "CONTRADICTED")).alias("false_claims"),
+        pick(backed & F.col("gold").isNull()).alias("unadjudicated"),
+        pick(F.col("status") == "OPEN").alias("abstentions"),
+    )
+    before = F.coalesce(F.lag("verified").over(Window.orderBy("pass_no")), F.array().cast("array<string>"))
+    # Passes are a handful of runs; the window is over them.
+    return rows.withColumn("new_supported", F.array_except("verified", before))

@@ -107,8 +107,12 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("Straße ﬁ", r"{\i1}One\NTwo\hThree", "きゃっと", "01:02:03.5"), (None, None, None, None)], "a string, b string, c string, d string")
     r = df.select(text.search_form("a").alias("a"), text.plain_caption(F.col("b")).alias("b"), text.moras(F.col("c")).alias("c"), text.timecode(F.col("d")).alias("d")).collect()
     assert tuple(r[0]) == ("strasse fi", "One\nTwo Three", 3, 3723.5) and tuple(r[1]) == (None, None, None, None)
-    parts = spark.createDataFrame([("(Ana) hello",), ("BOB: hi ♪",), ("plain",), ("x:y",)], "s string").select(text.caption_parts(F.col("s")).alias("p")).collect()
-    assert [(x.p.speaker, x.p.text, x.p.kind) for x in parts] == [("Ana", "hello", "SPEECH"), ("BOB", "hi", "MUSIC"), (None, "plain", "SPEECH"), (None, "x:y", "SPEECH")]
+    cases = ["(Ana) hello", "♪♪", "（静江(しずえ)）行こう", "(door slams)", "- (A) one\n- (B) two", "plain", "..."]
+    parts = spark.createDataFrame([(x,) for x in cases], "s string").select(text.caption_parts(F.col("s")).alias("p")).collect()
+    assert [(x.p.speaker, x.p.text, x.p.kind, x.p["flags"]) for x in parts] == [
+        ("Ana", "hello", "speech_candidate", []), (None, "", "non_speech_caption", ["punctuation_or_music_only"]), ("静江", "行こう", "speech_candidate", []), (None, "", "non_speech_caption", []),
+        (None, "one two", "speech_candidate", ["multiple_caption_speakers"]), (None, "plain", "speech_candidate", []), (None, "", "non_speech_caption", ["punctuation_or_music_only"]),
+    ]
 
 
 def test_json_pointer(spark):
@@ -141,10 +145,20 @@ def test_mask_longest_first(spark):
 
 
 def test_families_keep_weak_titles_apart(spark):
-    c = spark.createDataFrame([(1, "Song", "x"), (2, "song ", "y"), (3, "Other", "x")], "recording long, title string, provider string")
-    w = spark.createDataFrame([(3, "w1")], "recording long, work string")
-    got = {r.family: (r.n_members, r.title, r.weak) for r in search.families(c, w).collect()}
-    assert got == {"title:song": (2, None, True), "work:w1": (1, "Other", False)}
+    c = spark.createDataFrame([(1, 1, "Song", "x"), (2, 2, "song ", "y"), (3, 3, "Other", "x"), (4, 4, None, "x"), (5, 5, "Med", "x")], "candidate long, recording long, title string, provider string")
+    w = spark.createDataFrame([(3, "w1"), (5, "w2"), (5, "w3")], "recording long, work string")
+    got = {r.family: (r.n_members, r.title, r.basis, r.status) for r in search.families(c, w).collect()}
+    assert got == {
+        "title:song": (2, None, "WEAK_TITLE", "CANDIDATE"), "work:w1": (1, "Other", "SHARED_WORK", "SUPPORTED_REQUIRES_ADJUDICATION"), "alone:4": (1, None, "UNLINKED", "CANDIDATE"),
+        "work:w2": (1, "Med", "SHARED_WORK", "CANDIDATE"), "work:w3": (1, "Med", "SHARED_WORK", "CANDIDATE"),
+    }
+
+
+def test_extents(spark):
+    rows = [("s", 0, 5, 40), ("s", 10, 0, 40), ("s", 10, None, 40), ("s", 20, None, 40), ("t", 0, 1, 7), ("t", 7, None, 7), ("u", 3, None, None)]
+    df = spark.createDataFrame(rows, "k string, pts long, dur long, fin long")
+    got = sorted((r.k, r.pts, r.extent, r.method) for r in tracks.fill_extent(df, ["k"], "pts", "dur", "fin").collect())
+    assert got == [("s", 0, 5, "EXPLICIT"), ("s", 10, 10, "NEXT_PTS"), ("s", 10, 10, "NEXT_PTS"), ("s", 20, 20, "STREAM_END"), ("t", 0, 1, "EXPLICIT"), ("t", 7, 7, "PREVIOUS_DELTA"), ("u", 3, None, "UNKNOWN")]
 
 
 def test_readiness_and_delta(spark):

@@ -160,3 +160,22 @@ def test_vocal_baseline(spark):
     r = contours.vocal_baseline(df, 3, ["f0"]).first()
     assert (r.n, r.median, r.mad, r.status) == (3, 2.0, 1.0, "MEASURED_DISTRIBUTION")
     assert contours.vocal_baseline(df, 4, ["f0"]).first().status == "OPEN"
+
+
+def test_comparison_units(spark):
+    a = spark.createDataFrame([("p", 0.6, 0), ("p", 0.6, 1)], "pair string, size double, channel int")
+    b = spark.createDataFrame([("p", 0)], "pair string, channel int")
+    got = sorted((r.channel_a, round(r.window_s, 2), round(r.from_s, 2)) for r in reuse.comparisons(a, b).collect())
+    one = [(0.24, 0.0), (0.24, 0.12), (0.24, 0.24), (0.24, 0.36), (0.5, 0.0), (0.6, 0.0)]
+    assert got == [(c, *x) for c in (0, 1) for x in one]
+
+
+def test_rebinding_and_stages(spark):
+    from tidemark.operators import contracts
+
+    p = spark.createDataFrame([("r1", "h1"), ("r2", "h2")], "ref string, sha256 string")
+    local = spark.createDataFrame([("/b", "h1"), ("/a", "h1")], "path string, sha256 string")
+    assert {r.ref: (r.path, r.status) for r in contracts.rebind(p, local).collect()} == {"r1": ("/a", "BOUND"), "r2": (None, "MISSING")}
+    first = spark.createDataFrame([("h", ["x", "y"], "t")], "sha256 string, clips array<string>, task string")
+    second = spark.createDataFrame([(1, "h", ["x", "y"], "t"), (2, "h", ["y", "x"], "t"), (3, "h", ["x", "y"], "u"), (4, "g", ["x"], "t")], "id int, parent_sha256 string, clips array<string>, task string")
+    assert {r.id: r.status for r in contracts.stage_parents(second, first).collect()} == {1: "BOUND", 2: "OTHER_CLIPS", 3: "OTHER_TASK", 4: "NO_PARENT"}

@@ -34,13 +34,29 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]*>", "")
 
 
+#: Brackets of both widths, the marks that may stand before a speaker's name, kana of a reading.
+_OPEN, _CLOSE, _DASH, _READING = "[（(]", "[）)]", "[-－]?", "[ぁ-んァ-ヶー]+"
+
+
 def caption_parts(c: Column) -> Column:
-    """struct(text, speaker, kind): a leading name in brackets or before a colon, notes and music marks."""
-    speaker = F.nullif(F.coalesce(F.nullif(F.regexp_extract(c, r"^[\(\[（]([^\)\]）]{1,40})[\)\]）]", 1), F.lit("")), F.regexp_extract(c, r"^([A-Z][\w .'-]{0,30}):\s", 1)), F.lit(""))
-    body = F.trim(F.regexp_replace(F.regexp_replace(c, r"^[\(\[（][^\)\]）]{1,40}[\)\]）]\s*", ""), r"^[A-Z][\w .'-]{0,30}:\s", ""))
-    body = F.trim(F.regexp_replace(body, "[♪♫]", ""))
-    kind = F.when(c.rlike("[♪♫]"), "MUSIC").when(body == "", "NOTE").otherwise("SPEECH")
-    return F.struct(body.alias("text"), speaker.alias("speaker"), kind.alias("kind"))
+    """struct(text, speaker, kind, flags): readings after ideographs go first, then names in brackets at line
+    starts, then music marks. The one distinct name is the speaker; several are flagged and name nobody."""
+    inner = "[^）)]+"
+    text = F.regexp_replace(F.trim(c), f"(?<=[一-龯々]){_OPEN}{_READING}{_CLOSE}", "")
+    lead = rf"(?:^|\n)\s*{_DASH}\s*{_OPEN}({inner}){_CLOSE}"
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(lead), F.lit(1)))
+    alone = text.rlike(f"^{_OPEN}{inner}{_CLOSE}$")
+    body = F.regexp_replace(F.regexp_replace(text, lead, " "), "[♪♫]", "")
+    body = F.trim(F.regexp_replace(body, r"\s+", " "))
+    mute = ~body.rlike(r"[\p{L}\p{N}]")
+    none = F.lit(None).cast("string")
+    flag = F.when(~alone & mute, F.lit("punctuation_or_music_only")).when(~alone & (F.size(names) > 1), F.lit("multiple_caption_speakers"))
+    return F.struct(
+        F.when(alone | mute, "").otherwise(body).alias("text"),
+        F.when(alone | mute | (F.size(names) != 1), none).otherwise(F.get(names, F.lit(0))).alias("speaker"),
+        F.when(alone | mute, "non_speech_caption").otherwise("speech_candidate").alias("kind"),
+        F.array_compact(F.array(flag)).alias("flags"),
+    )
 
 
 def moras(c: Column) -> Column:

@@ -87,3 +87,23 @@ def private_leaks(df: DataFrame, columns: list[str], pattern: str = r"(?i)([a-z]
     for c in columns:
         leak = leak | F.coalesce(F.col(c).rlike(pattern), F.lit(False))
     return df.where(leak)
+
+
+def rebind(portable: DataFrame, local: DataFrame) -> DataFrame:
+    """Portable references(ref, sha256) with a local path(path, sha256) of equal content, or MISSING."""
+    found = local.groupBy("sha256").agg(F.min("path").alias("path"))
+    out = portable.join(found, "sha256", "left")
+    return out.select("ref", "sha256", "path", F.when(F.col("path").isNull(), "MISSING").otherwise("BOUND").alias("status"))
+
+
+def stage_parents(second: DataFrame, first: DataFrame) -> DataFrame:
+    """Second-stage observations(id, parent_sha256, clips array, task) against their first stage(sha256, clips,
+    task): clips must be equal, in order, and so must the task."""
+    f = first.select(F.col("sha256").alias("parent_sha256"), F.col("clips").alias("first_clips"), F.col("task").alias("first_task"))
+    status = (
+        F.when(F.col("first_task").isNull(), "NO_PARENT")
+        .when(F.col("clips") != F.col("first_clips"), "OTHER_CLIPS")
+        .when(F.col("task") != F.col("first_task"), "OTHER_TASK")
+        .otherwise("BOUND")
+    )
+    return second.join(f, "parent_sha256", "left").select("id", status.alias("status"))

@@ -205,3 +205,24 @@ def candidate_pairs(shared: DataFrame, roles: DataFrame, self_pairs: bool = Fals
         rows = rows.where("a <> b")
     turn = (F.col("ra") == "target") | ((F.col("ra") == "both") & ((F.col("rb") == "reference") | ((F.col("rb") == "both") & (F.col("b") < F.col("a")))))
     return rows.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
+
+
+def correspondences_of(found: DataFrame, occurrences: DataFrame, source: str, start: float, end: float, slack: float = 0.002) -> DataFrame:
+    """Edges that touch a source's interval, to 2 ms, on either side: (match_id, occurrence_id, other_id, kind)."""
+    here = occurrences.where((F.col("source") == source) & (F.col("source_start_s") < end + slack) & (F.col("source_end_s") > start - slack))
+    here = here.select("occurrence_id", "source_start_s")
+    side = lambda s, o: found.select("match_id", F.col(s + "_id").alias("occurrence_id"), F.col(o + "_id").alias("other_id"), F.col(s + "_start").alias("m0"), F.col(s + "_end").alias("m1"), F.col("classification").alias("kind"))
+    rows = side("a", "b").unionByName(side("b", "a")).join(here, "occurrence_id")
+    touching = (F.col("source_start_s") + F.col("m0") < end + slack) & (F.col("source_start_s") + F.col("m1") > start - slack)
+    return rows.where(touching).select("match_id", "occurrence_id", "other_id", "kind")
+
+
+def comparisons(a: DataFrame, b: DataFrame, windows: tuple[float, ...] = (0.24, 0.5, 1.0)) -> DataFrame:
+    """Units to compare for pairs(pair, size) of channels(pair, side, channel): every channel pair with the whole
+    and every half-overlapping window. Channels and windows of a pair are a handful; the product feeds one kernel."""
+    left = a.select("pair", "size", F.col("channel").alias("channel_a"))
+    rows = left.join(b.select("pair", F.col("channel").alias("channel_b")), "pair")
+    starts = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - w) / (w / 2)).cast("int"))), lambda k: F.struct(F.lit(w).alias("window_s"), (k * (w / 2)).alias("from_s")))
+    fit = [F.when(F.col("size") > w, starts(w)).otherwise(F.array().cast("array<struct<window_s:double,from_s:double>>")) for w in windows]
+    whole_ = F.array(F.struct(F.col("size").cast("double").alias("window_s"), F.lit(0.0).alias("from_s")))
+    return rows.select("pair", "channel_a", "channel_b", F.inline(F.concat(whole_, *fit)))

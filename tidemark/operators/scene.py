@@ -7,11 +7,10 @@ dependent; decisions(scene, node, state). States are texts and undecided is OPEN
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import graph
 
@@ -174,44 +173,55 @@ def agreement(refs: DataFrame) -> DataFrame:
     return g.join(shared, ["scene", "proposition"]).select("scene", "proposition", "n_nodes", kind.alias("agreement"))
 
 
-PLAN = "scene string, claim string, route string, profile string, status string, request int, frames int, audio_s double"
+def route_table(spark) -> DataFrame:
+    rows = [(p, k, r, f) for p, routes in ROUTES.items() for k, (r, f) in enumerate(routes)]
+    return spark.createDataFrame(rows, "proposition string, k int, route string, profile string")
 
 
 def plan_queries(claims: DataFrame, max_requests: int = 60, max_frames: int = 360, max_audio: float = 120.0) -> DataFrame:
-    """Requests for claims(scene, claim, ord, proposition, start_s, end_s, state) that aren't affirmed.
+    """(scene, claim, route, profile, status, request, frames, audio_s) for claims(scene, claim, ord, proposition,
+    start_s, end_s, state) that aren't affirmed.
 
-    Equal requests merge; a request that would pass a ceiling is left open and later ones may still fit, so each
-    scene is one call (a scene has a bounded number of claims).
+    Routes come by a join, limits and costs are expressions, and equal requests merge into the first by a window.
+    Only the ceilings are a greedy pass over what is left: a request that doesn't fit stays open and a later,
+    smaller one may still be taken, which no running sum can say.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out, keys, frames_used, audio_used = [], {}, 0, 0.0
-        for c in frame.sort_values("ord", kind="stable").itertuples():
-            if c.state in AFFIRMATIVE:
-                continue
-            size = c.end_s - c.start_s
-            for route, profile in ROUTES.get(c.proposition, []):
-                row = [c.scene, c.claim, route, profile]
-                most = {"MUSIC_IDENTITY": 120, "AUDITORY": 120 if profile == "PERFORMANCE_MUSIC" else 30}.get(route, math.inf)
-                if size > most:
-                    out.append([*row, "OPEN_REFINE_INTERVAL", None, 0, 0.0])
-                    continue
-                question = {"av_sync": "AV_SYNC", "contact": "EXACT_CONTACT", "event_order": "CONTACT_ORDER"}.get(c.proposition, "GENERAL_MOTION")
-                key = (route, profile, c.start_s, c.end_s, question if route == "TEMPORAL" else c.proposition)
-                if key in keys:
-                    out.append([*row, "MERGED", keys[key], 0, 0.0])
-                    continue
-                n = math.ceil(size * {"TEMPORAL_LOW": 2, "TEMPORAL_HIGH": 12}.get(profile, 0)) if route == "TEMPORAL" else int(route == "STATIC")
-                sound = size if route == "AUDITORY" else 0.0
-                if len(keys) >= max_requests or frames_used + n > max_frames or audio_used + sound > max_audio:
-                    out.append([*row, "OPEN_RESOURCE_CEILING", None, 0, 0.0])
-                    continue
-                keys[key] = len(keys) + 1
-                frames_used, audio_used = frames_used + n, audio_used + sound
-                out.append([*row, "PLANNED", keys[key], n, sound])
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PLAN.split(", ")]).astype({"request": "Int32"})
-
-    return claims.groupBy("scene").applyInPandas(run, PLAN)
+    size = F.col("end_s") - F.col("start_s")
+    temporal, auditory = F.col("route") == "TEMPORAL", F.col("route") == "AUDITORY"
+    longest = F.when(F.col("route") == "MUSIC_IDENTITY", 120.0).when(auditory, F.when(F.col("profile") == "PERFORMANCE_MUSIC", 120.0).otherwise(30.0)).otherwise(float("inf"))
+    asked = F.when(F.col("proposition") == "av_sync", "AV_SYNC").when(F.col("proposition") == "contact", "EXACT_CONTACT").when(F.col("proposition") == "event_order", "CONTACT_ORDER").otherwise("GENERAL_MOTION")
+    rate = F.when(F.col("profile") == "TEMPORAL_LOW", 2).when(F.col("profile") == "TEMPORAL_HIGH", 12).otherwise(0)
+    rows = claims.where(~F.col("state").isin(*AFFIRMATIVE)).join(F.broadcast(route_table(claims.sparkSession)), "proposition")
+    rows = rows.withColumns({
+        "subject": F.when(temporal, asked).otherwise(F.col("proposition")),
+        "frames": F.when(temporal, F.ceil(size * rate)).when(F.col("route") == "STATIC", 1).otherwise(0).cast("int"),
+        "audio_s": F.when(auditory, size).otherwise(0.0),
+        "long": size > longest,
+    })
+    same = Window.partitionBy("scene", "route", "profile", "start_s", "end_s", "subject", "long").orderBy("ord", "k")
+    rows = rows.withColumn("nth", F.row_number().over(same))
+    fields = [f for f in rows.schema.fields if f.name not in ("status", "request")]
+
+    def admit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["ord", "k"], kind="stable").reset_index(drop=True)
+        number, left_frames, left_audio = 0, max_frames, max_audio
+        taken: list[int | None] = []
+        for first, is_long, n, s in zip(frame["nth"] == 1, frame["long"], frame["frames"], frame["audio_s"], strict=True):
+            fits = first and not is_long and number < max_requests and n <= left_frames and s <= left_audio
+            if fits:
+                number, left_frames, left_audio = number + 1, left_frames - n, left_audio - s
+            taken.append(number if fits else None)
+        return frame.assign(request=pd.array(taken, dtype="Int32"))
+
+    planned = rows.groupBy("scene").applyInPandas(admit, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", request int")
+    # Those merged take the number of the request they are equal to, if that one was admitted.
+    key = Window.partitionBy("scene", "route", "profile", "start_s", "end_s", "subject", "long")
+    owner = F.max("request").over(key)
+    status = (
+        F.when(F.col("long"), "OPEN_REFINE_INTERVAL").when(F.col("request").isNotNull(), "PLANNED").when(owner.isNotNull(), "MERGED").otherwise("OPEN_RESOURCE_CEILING")
+    )
+    cost = lambda c, none: F.when(F.col("request").isNotNull(), F.col(c)).otherwise(none)
+    return planned.select("scene", "claim", "route", "profile", status.alias("status"), owner.alias("request"), cost("frames", 0).alias("frames"), cost("audio_s", 0.0).alias("audio_s"))
 
 
 def delta(before: DataFrame, after: DataFrame, witnesses_before: DataFrame, witnesses_after: DataFrame) -> DataFrame:

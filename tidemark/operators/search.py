@@ -82,17 +82,27 @@ def canonical(df: DataFrame, keys: list[str], rank: str, length: str, order: str
 
 
 def families(candidates: DataFrame, works: DataFrame) -> DataFrame:
-    """Candidates grouped by work, else by a weak title key; a title only where it is the only one."""
-    keyed = candidates.join(works, "recording", "left").withColumn(
-        "family", F.coalesce(F.concat(F.lit("work:"), "work"), F.concat(F.lit("title:"), F.lower(F.trim("title"))))
-    )
+    """Candidates(candidate, recording, title, provider) grouped by the works(recording, work) that a catalogue
+    relates to their recording, one row for each work; else by a normalised title; else alone.
+
+    Only a shared work is proposed as a composition, and not where a recording has several; a title alone is weak.
+    """
+    title = F.trim(F.regexp_replace(F.lower("title"), r"\W+", " "))
+    several = works.groupBy("recording").agg((F.count_distinct("work") > 1).alias("several"))
+    keyed = candidates.join(works.distinct(), "recording", "left").join(several, "recording", "left")
+    alone = F.concat(F.lit("alone:"), F.col("candidate").cast("string"))
+    keyed = keyed.withColumn("family", F.coalesce(F.concat(F.lit("work:"), "work"), F.concat(F.lit("title:"), title), alone))
     titles = F.collect_set("title")
-    return keyed.groupBy("family").agg(
-        F.count("*").alias("n_members"),
-        F.size(F.collect_set("provider")).alias("n_providers"),
+    g = keyed.groupBy("family").agg(
+        F.count_distinct("candidate").alias("n_members"),
+        F.count_distinct("provider").alias("n_providers"),
         F.when(F.size(titles) == 1, F.min("title")).alias("title"),
-        F.min("work").isNull().alias("weak"),
+        F.min("work").alias("_work"),
+        F.coalesce(F.bool_or("several"), F.lit(False)).alias("partial"),
     )
+    basis = F.when(F.col("_work").isNotNull(), "SHARED_WORK").when(F.col("family").startswith("title:") & (F.col("n_members") > 1), "WEAK_TITLE").otherwise("UNLINKED")
+    status = F.when(F.col("_work").isNotNull() & ~F.col("partial"), "SUPPORTED_REQUIRES_ADJUDICATION").otherwise("CANDIDATE")
+    return g.select("family", "n_members", "n_providers", "title", basis.alias("basis"), "partial", status.alias("status"))
 
 
 def pseudonyms(df: DataFrame, name: str, prefix: str = "Person") -> DataFrame:

@@ -86,13 +86,24 @@ def adjacent_duplicates(df: DataFrame, keys: list[str], order: list[str], text:
 
 
 def fill_extent(df: DataFrame, keys: list[str], pts: str, duration: str, endpoint: str) -> DataFrame:
-    """df with extent and method: explicit, next start, stream end, or the previous step as an estimate."""
-    w = Window.partitionBy(*keys).orderBy(pts)
-    to_next, to_end, before = F.lead(pts).over(w) - F.col(pts), F.nullif(F.greatest(F.col(endpoint) - F.col(pts), F.lit(0.0)), F.lit(0.0)), F.col(pts) - F.lag(pts).over(w)
+    """df with extent and method: a positive duration, the next distinct start, the stream's end, or, for the
+    last row alone, the step before it as an estimate; UNKNOWN where none gives a positive extent."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(pts))
+    later = F.lag(pts).over(w)
+    # Read backwards, the start after a run of equal starts is carried through the run.
+    marked = df.withColumn("_later", F.when(later != F.col(pts), later))
+    marked = marked.withColumn("_next", F.last("_later", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("_before", F.lead(pts).over(w))
+    to_next, to_end, step = F.col("_next") - F.col(pts), F.col(endpoint) - F.col(pts), F.col(pts) - F.col("_before")
     method = (
-        F.when(F.col(duration).isNotNull(), "EXPLICIT").when(to_next.isNotNull(), "NEXT_PTS").when(to_end.isNotNull(), "STREAM_END").when(before.isNotNull(), "PREVIOUS_DELTA").otherwise("UNKNOWN")
+        F.when(F.col(duration) > 0, "EXPLICIT")
+        .when(to_next.isNotNull(), "NEXT_PTS")
+        .when(to_end > 0, "STREAM_END")
+        .when(step > 0, "PREVIOUS_DELTA")
+        .otherwise("UNKNOWN")
     )
-    return df.withColumns({"extent": F.coalesce(F.col(duration), to_next, to_end, before), "method": method})
+    extent = F.when(F.col(duration) > 0, F.col(duration)).when(to_next.isNotNull(), to_next).when(to_end > 0, to_end).when(step > 0, step)
+    return marked.withColumns({"extent": extent, "method": method}).drop("_later", "_next", "_before")
 
 
 def sessions(df: DataFrame, keys: list[str], t: str, end: str, tolerance: float) -> DataFrame:

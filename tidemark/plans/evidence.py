@@ -93,11 +93,12 @@ def missing_references(spark, d):
     return search.dangling(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", "doc_id")
 
 
-@query("""WITH c AS (SELECT p_partkey, p_name AS title, p_brand AS provider, CASE WHEN p_size % 3 = 0 THEN 'w' || (p_partkey % 50) END AS work FROM part), f AS (SELECT *, coalesce('work:' || work, 'title:' || lower(trim(title))) AS family FROM c)
-SELECT family, count(*) AS n_members, count(DISTINCT provider)::INTEGER AS n_providers, CASE WHEN count(DISTINCT title) = 1 THEN min(title) END AS title, min(work) IS NULL AS weak FROM f GROUP BY family""")
+@query("""WITH c AS (SELECT p_partkey, p_name AS title, p_brand AS provider, CASE WHEN p_size % 3 = 0 THEN 'w' || (p_partkey % 50) END AS work FROM part), f AS (SELECT *, coalesce('work:' || work, 'title:' || trim(regexp_replace(lower(title), '\\W+', ' ', 'g'))) AS family FROM c)
+SELECT family, count(*) AS n_members, count(DISTINCT provider) AS n_providers, CASE WHEN count(DISTINCT title) = 1 THEN min(title) END AS title, CASE WHEN min(work) IS NOT NULL THEN 'SHARED_WORK' WHEN count(*) > 1 THEN 'WEAK_TITLE' ELSE 'UNLINKED' END AS basis,
+false AS partial, CASE WHEN min(work) IS NOT NULL THEN 'SUPPORTED_REQUIRES_ADJUDICATION' ELSE 'CANDIDATE' END AS status FROM f GROUP BY family""")
 def candidate_families(spark, d):
     p = table(spark, d, "part")
-    c = p.select(F.col("p_partkey").alias("recording"), F.col("p_name").alias("title"), F.col("p_brand").alias("provider"))
+    c = p.select(F.col("p_partkey").alias("candidate"), F.col("p_partkey").alias("recording"), F.col("p_name").alias("title"), F.col("p_brand").alias("provider"))
     works = p.where("p_size % 3 = 0").select(F.col("p_partkey").alias("recording"), F.concat(F.lit("w"), (F.col("p_partkey") % 50).cast("string")).alias("work"))
     return search.families(c, works)
 

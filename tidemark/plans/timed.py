@@ -185,9 +185,8 @@ SELECT event_id, coalesce(dur, nx, nullif(greatest(fin - us, 0), 0), pv) AS exte
 def extent_fill(spark, d):
     from pyspark.sql.window import Window
 
-    t = track(spark, d).withColumns({"dur": F.when(F.col("event_id") % 3 == 0, F.lit(60_000_000)).cast("double"), "fin": F.max("us").over(Window.partitionBy("user_id")).cast("double")})
-    out = tracks.fill_extent(t.withColumn("p", F.col("us").cast("double")), ["user_id"], "p", "dur", "fin")
-    return out.select("event_id", F.col("extent").cast("long").alias("extent"), "method")
+    t = track(spark, d).withColumns({"dur": F.when(F.col("event_id") % 3 == 0, F.lit(60_000_000).cast("long")), "fin": F.max("us").over(Window.partitionBy("user_id"))})
+    return tracks.fill_extent(t, ["user_id"], "us", "dur", "fin").select("event_id", "extent", "method")
 
 
 @query(f"""WITH {TRACK}, l AS (SELECT *, CASE WHEN abs(us - lag(us + {2 * HOUR}) OVER w) <= {8 * HOUR} THEN 0 ELSE 1 END AS fresh FROM track WINDOW w AS (PARTITION BY user_id ORDER BY us)),

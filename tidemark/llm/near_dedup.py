@@ -168,7 +168,10 @@ def links(documents: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame
     entries = prefix.select("sig", "n", "own", F.posexplode("tv").alias("p", "x")).select("sig", "n", "own", (F.col("own") + F.col("p")).alias("pos"), F.col("x.v").alias("v"))
     entries = materialise(entries, "entries")
 
+    # Tables that are joined with long lists are written first: a join of plain shuffles can be split by Spark where
+    # one value has many members, a join on top of an aggregation can't.
     pivots = entries.groupBy("v").agg(F.min(F.struct("own", "sig", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
+    pivots = materialise(pivots, "pivots")
     star = (
         entries.join(pivots, "v")
         .where((F.col("sig") != F.col("p.sig")) & _may_match("n", "p.n", "own", "p.own"))
@@ -181,11 +184,13 @@ def links(documents: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame
     # What is left: lists whose members are in different components.
     placed = entries.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     mixed = placed.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
+    mixed = materialise(mixed, "mixed")
     placed = materialise(placed.join(mixed, "v", "left_semi"), "placed")
     # Members of a list's largest component need no pairs among themselves: one side is everyone else.
     sizes = placed.groupBy("v", "label").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("v").agg(F.max(F.struct("m", "label")).alias("top")).select("v", F.col("top.label").alias("top"))
-    few = placed.join(largest, "v").where(F.col("label") != F.col("top")).drop("top")
+    few = placed.join(materialise(largest, "largest"), "v").where(F.col("label") != F.col("top")).drop("top")
+    few = materialise(few, "few")
     other = placed.select("v", *[F.col(c).alias("o_" + c) for c in ("sig", "n", "own", "pos", "label")])
     rest = (
         few.join(other, "v")

@@ -31,7 +31,7 @@ def test_sql(spark, name):
     assert sorted(str(tuple(r)) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("ids", [[5], [0, 1, 2, 255, 256, 257, 511, 512], [-70000, -3, 0, 9, 70000, 2**40, 2**62], [7, 7, 9]])
+@pytest.mark.parametrize("ids", [[5], [0, 1, 2, 63, 64, 65, 255, 256, 257, 4095, 4096], [-70000, -3, 0, 9, 70000, 2**40, 2**62], [7, 7, 9]])
 def test_next_document(spark, ids):
     docs = [(i, f"text {i} " + "w " * (abs(i) % 50)) for i in ids]
     got = {r.doc_id: r for r in fingerprint.edited_fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

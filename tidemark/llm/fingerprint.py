@@ -18,7 +18,7 @@ from .common import materialise
 
 K, WORDS = 64, 5
 #: Ids are put in order in groups of 2^GROUP_BITS neighbouring ids, then groups of groups, and so on.
-GROUP_BITS = 8
+GROUP_BITS = 6
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:

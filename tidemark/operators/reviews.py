@@ -224,7 +224,7 @@ def candidates_from_responses(responses: DataFrame, selections: DataFrame) -> Da
         .when(F.coalesce(F.contains(F.lower(text), F.lower("title")), F.lit(False)), "FOUND")
         .otherwise("NOT_THERE")
     )
-    return rows.select("response", "path", "title", text.alias("text"), status.alias("status"))
+    return rows.select("response", F.col("told").alias("sha256"), "path", "title", text.alias("text"), status.alias("status"))
 
 
 def observations_to_claims(observations: DataFrame, claims: DataFrame, width: float) -> DataFrame:

@@ -24,7 +24,6 @@ from .common import ASCII_WORDS
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
-#: Longer items get a block of their own.
 FOUND = "n_words long, items array<string>, spans array<struct<start:long,stop:long>>"
 
 

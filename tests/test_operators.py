@@ -139,6 +139,16 @@ def test_contracts(spark):
     assert [r.parsable for r in rows] == [True, False, False, True] and rows[3].extra == ["c"]
 
 
+def test_trigram_index(spark):
+    df = spark.createDataFrame([(1, "abcabd"), (2, "ab"), (3, None), (4, "xéyz"), (5, "zabd")], "id int, t string")
+    index = search.trigrams(df, "id", "t")
+    assert {(r.id, r.tri) for r in index.collect()} == {(1, "abc"), (1, "bca"), (1, "cab"), (1, "abd"), (4, "xéy"), (4, "éyz"), (5, "zab"), (5, "abd")}
+    for q in ("abd", "cabd", "ab", "éyz", "nope"):
+        want = {r.id for r in df.collect() if r.t and q in r.t}
+        for table in (index, search.trigrams(df, "id", "t", search.wanted_trigrams(q))):
+            assert {r.id for r in search.trigram_search(df, table, "id", "t", q).collect()} == want, q
+
+
 def test_mask_longest_first(spark):
     df = spark.createDataFrame([("Ann and Anna",)], "t string")
     assert search.mask(df, "t", [("Ann", "P1"), ("Anna", "P2")]).first().t == "P1 and P2"

@@ -28,16 +28,28 @@ def top(df: DataFrame, order: list, limit: int) -> DataFrame:
     return df.orderBy(*order).limit(limit)
 
 
-def trigrams(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """(id, tri): the distinct trigrams of each text, one row each; an index table to write and bucket by tri."""
-    places = F.sequence(F.lit(1), F.char_length(text) - 2)
-    grams = F.array_distinct(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(3))))
+def wanted_trigrams(query: str) -> list[str]:
+    return sorted({query[i : i + 3] for i in range(len(query) - 2)})
+
+
+def trigrams(df: DataFrame, ident: str, text: str, only: list[str] | None = None) -> DataFrame:
+    """(id, tri): the distinct trigrams of each text, one row each; an index table to write and bucket by tri.
+
+    `only` keeps the trigrams of one query, which are found without spelling the text out.
+    """
+    if only is not None:
+        found = F.filter(F.array(*[F.lit(g) for g in only]), lambda g: F.contains(F.col(text), g))
+        return df.select(ident, F.explode(found).alias("tri"))
+    # Characters are bound to a variable, so that the text is cut once and each is then taken in constant time.
+    chars = F.array(F.split(F.col(text), ""))
+    places = lambda c: F.sequence(F.lit(0), F.size(c) - 3)
+    grams = F.transform(chars, lambda c: F.array_distinct(F.transform(places(c), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))))[0]
     return df.where(F.char_length(text) >= 3).select(ident, F.explode(grams).alias("tri"))
 
 
 def trigram_search(df: DataFrame, index: DataFrame, ident: str, text: str, query: str) -> DataFrame:
     """Rows whose text contains the query: candidates hold all its trigrams, `contains` verifies them."""
-    wanted = sorted({query[i : i + 3] for i in range(len(query) - 2)})
+    wanted = wanted_trigrams(query)
     if not wanted:
         return df.where(F.contains(F.col(text), F.lit(query)))
     hits = index.where(F.col("tri").isin(wanted)).groupBy(ident).agg(F.count("*").alias("_n")).where(F.col("_n") == len(wanted))

@@ -20,7 +20,7 @@ def literal_search(spark, d):
 @query("SELECT doc_id FROM documents WHERE contains(text, 'eronthwh')")
 def trigram_semi_join(spark, d):
     docs = table(spark, d, "documents")
-    return search.trigram_search(docs, search.trigrams(docs, "doc_id", "text"), "doc_id", "text", "eronthwh").select("doc_id")
+    return search.trigram_search(docs, search.trigrams(docs, "doc_id", "text", search.wanted_trigrams("eronthwh")), "doc_id", "text", "eronthwh").select("doc_id")
 
 
 @query("""SELECT r.r_name AS region, n.n_name AS nation, c.c_custkey AS custkey FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE c.c_acctbal > 5000""")

@@ -51,7 +51,7 @@ def shared_key_components(members: DataFrame, ident: str, keys: list[str]) -> Da
 
 def reachable(edges: DataFrame, roots: DataFrame, src: str, dst: str, ident: str, most: int = 100) -> DataFrame:
     """(node, depth) reachable from the roots, with the least number of steps. Raises beyond `most` levels."""
-    step = edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct()
+    step = _settle(edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct())
     front = roots.select(F.col(ident).alias("node")).distinct().withColumn("depth", F.lit(0))
     seen = _settle(front)
     front = seen
@@ -132,6 +132,7 @@ def reconcile(claims: DataFrame, evidence: DataFrame, requires: DataFrame, confl
     state = _settle(
         state.select("node", F.when(F.col("ok").isNull(), "OPEN").when(F.col("c") | ~F.col("ok"), "UNRESOLVED").otherwise("SUPPORTED").alias("state"))
     )
+    requires = _settle(requires.select("node", "needs").distinct())
     for _ in range(rounds):
         met = requires.join(state.select(F.col("node").alias("needs"), F.col("state").alias("ns")), "needs", "left")
         broken = met.groupBy("node").agg(F.bool_or(F.coalesce(F.col("ns") != "SUPPORTED", F.lit(True))).alias("broken"))

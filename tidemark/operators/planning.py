@@ -12,21 +12,21 @@ from pyspark.sql import functions as F
 def under_ceiling(requests: DataFrame, keys: list[str], order: list[str], cost: str, ceiling: float) -> DataFrame:
     """requests with `admitted`: in order, each that still fits is taken and the others are passed over.
 
-    Not a prefix sum: a later, smaller request can fit after a larger one didn't. One group's requests are a
-    plan of bounded size, so each group is one call.
+    No running sum can say this, as a later, smaller request can fit after a larger one didn't; so each group's
+    requests, a plan of bounded size, are folded in order.
     """
-    schema = requests.schema.simpleString()[len("struct<") : -1] + ",admitted:boolean"
-
-    def plan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        used, taken = 0.0, []
-        for c in frame[cost]:
-            fits = used + c <= ceiling
-            used += c if fits else 0
-            taken.append(fits)
-        return frame.assign(admitted=taken)
-
-    return requests.groupBy(*keys).applyInPandas(plan, schema)
+    rest = [c for c in requests.columns if c not in keys and c not in order]
+    plan = requests.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("_r"))
+    start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<boolean>").alias("taken"))
+
+    def step(acc, row):
+        price = row[cost].cast("double")
+        fits = F.coalesce(acc["used"] + price <= F.lit(float(ceiling)), F.lit(False))
+        return F.struct((acc["used"] + F.when(fits, price).otherwise(0.0)).alias("used"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
+
+    folded = plan.withColumn("_t", F.aggregate("_r", start, step)["taken"])
+    rows = folded.select(*keys, F.inline(F.arrays_zip(F.col("_r").alias("r"), F.col("_t").alias("admitted"))))
+    return rows.select(*[F.col(c) if c in keys else F.col("r")[c].alias(c) for c in requests.columns], "admitted")
 
 
 def merge_requests(requests: DataFrame, keys: list[str], claim: str) -> DataFrame:

@@ -117,6 +117,7 @@ def gate(states: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     Every required propagating edge gates, changed or not; RECHECK goes on as RECHECK, anything else as OPEN.
     """
     need = edges.where(F.col("relation").isin(*PROPAGATING) & (F.coalesce("role", F.lit("REQUIRED")) == "REQUIRED")).select("scene", "src", "dst").distinct()
+    need = graph._settle(need)
     for _ in range(rounds):
         premise = need.join(states.select("scene", F.col("node").alias("src"), F.col("after").alias("p")), ["scene", "src"], "left")
         bad = premise.where(~F.coalesce(F.col("p").isin(*AFFIRMATIVE), F.lit(False)))

@@ -1,5 +1,6 @@
 """Every registered query against its SQL in DuckDB on the smallest tables; order doesn't matter."""
 
+import itertools
 import math
 import os
 
@@ -56,3 +57,13 @@ def test_scans_prune_columns(spark):
     plan = catalogue.queries()["run_join"](spark, D)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(c_acctbal), GreaterThan(c_acctbal,5000.0)" in plan
     assert "c_mktsegment" not in plan
+
+
+def test_support_routes_read_every_line(spark, duck):
+    """Against brute force over the whole table: three channels at most, so at most three groups."""
+    options = {}
+    for claim, channel, grp, ok in duck.execute("SELECT l_orderkey, l_returnflag, l_suppkey % 9, l_tax < 0.06 FROM lineitem").fetchall():
+        options.setdefault(claim, {}).setdefault(channel, set()).update([grp] if ok else [])
+    sets = [s for k in (1, 2, 3) for s in itertools.combinations(range(9), k)]
+    want = {c: next((",".join(map(str, s)) for s in sets if all(g & set(s) for g in o.values())), None) for c, o in options.items()}
+    assert {r.claim: r.route for r in catalogue.queries()["support_routes"](spark, D).collect()} == want

@@ -82,19 +82,20 @@ def select_stream(streams: DataFrame, key: str, kind: str) -> DataFrame:
 def support_routes(routes: DataFrame, cap: int = 4) -> DataFrame:
     """The smallest set of groups, then the first in order, with one adequate member for every channel of a claim.
 
-    routes(claim, channel, grp, adequate). A claim has a few channels and groups, so each claim is one call.
+    routes(claim, channel, grp, adequate). A claim has a few channels and groups; one row holds them.
     """
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        claim = frame["claim"].iloc[0]
-        channels = sorted(frame["channel"].unique())
-        options = [sorted(frame[(frame["channel"] == c) & frame["adequate"]]["grp"].unique())[:cap] for c in channels]
+    @F.udf("struct<route: string, n_groups: int>")
+    def choose(options):
+        options = [sorted(o["grps"])[:cap] for o in options]
         if not all(options):
-            return pd.DataFrame({"claim": [claim], "route": [None], "n_groups": [0]})
+            return None, 0
         best = min((sorted(set(pick)) for pick in product(*options)), key=lambda s: (len(s), s))
-        return pd.DataFrame({"claim": [claim], "route": [",".join(map(str, best))], "n_groups": [len(best)]})
+        return ",".join(map(str, best)), len(best)
 
-    return routes.groupBy("claim").applyInPandas(choose, "claim long, route string, n_groups int")
+    by_channel = routes.groupBy("claim", "channel").agg(F.collect_set(F.when(F.col("adequate"), F.col("grp"))).alias("grps"))
+    by_claim = by_channel.groupBy("claim").agg(F.collect_list(F.struct("grps")).alias("options"))
+    return by_claim.select("claim", choose("options").alias("r")).select("claim", "r.route", "r.n_groups")
 
 
 def first_viable(selections: Column) -> Column:

@@ -437,8 +437,7 @@ def plan_ceiling(spark, d):
 
 @query()
 def support_routes(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 50 = 0")
-    rows = li.select(F.col("l_orderkey").alias("claim"), F.col("l_returnflag").alias("channel"), (F.col("l_suppkey") % 9).alias("grp"), (F.col("l_tax") < 0.06).alias("adequate"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim"), F.col("l_returnflag").alias("channel"), (F.col("l_suppkey") % 9).alias("grp"), (F.col("l_tax") < 0.06).alias("adequate"))
     return planning.support_routes(rows)
 
 

@@ -235,6 +235,38 @@ def test_warping():
     assert kernels.warp_distance(a, np.zeros((0, 4))) is None or True
 
 
+def slow_warp(a, b):
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    cost, best = 1.0 - unit(a) @ unit(b).T, {(0, 0): (0.0, 0)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            t, k = min((best[p] for p in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if p in best), key=lambda x: x[0])
+            best[i, j] = (t + cost[i - 1, j - 1], k + 1)
+    t, k = best[len(a), len(b)]
+    return t / k
+
+
+@pytest.mark.parametrize(("n", "m"), [(1, 1), (1, 7), (9, 1), (13, 20), (40, 31)])
+def test_warping_equals_the_full_table(n, m):
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(size=(n, 2)), rng.normal(size=(m, 2))
+    assert kernels.warp_distance(a, b) == pytest.approx(slow_warp(a, b), abs=1e-12)
+    assert kernels.warp_distance(a, np.ones((601, 2))) is None and kernels.warp_distance(a, np.ones((601, 2)), most=None) is not None
+
+
+def test_dtw_query_warps_whole_series(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tidemark.plans import catalogue
+
+    x = {k: np.random.default_rng(k).normal(size=n) for k, n in ((1, 500), (2, 701))}
+    rows = [(str(k), datetime(2024, 1, 1) + timedelta(seconds=i), float(v)) for k, s in x.items() for i, v in enumerate(s)] + [("short", datetime(2024, 1, 1), 1.0)]
+    spark.createDataFrame(rows, "event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_type: r.distance for r in catalogue.queries()["dtw_distance"](spark, str(tmp_path)).collect()}
+    frames = {str(k): np.column_stack([s[:-1], s[1:]]) for k, s in x.items()}
+    assert got == {"short": None} | {k: pytest.approx(slow_warp(f[: len(f) // 2], f[len(f) // 2 :]), abs=2e-6) for k, f in frames.items()}
+
+
 def test_clock_error_adds_up():
     starts, samples = np.arange(10) * 1.001, np.full(10, 100)
     assert kernels.sessionise_clock(starts, samples, 100.0, 0.0055)[-1] > 0

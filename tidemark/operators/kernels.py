@@ -93,21 +93,33 @@ def verify(x: np.ndarray, y: np.ndarray, offset: int, around: int = 2) -> dict:
     return {"offset": at, "score": score, "gain": gain, "worst_quarter": min(quarters), "kind": classify(min(score, min(quarters) + 0.05))}
 
 
-def warp_distance(a: np.ndarray, b: np.ndarray, most: int = 600) -> float | None:
-    """Mean cosine distance along the best ordered alignment of two frame sequences; None beyond `most` frames."""
+def warp_distance(a: np.ndarray, b: np.ndarray, most: int | None = 600) -> float | None:
+    """Mean cosine distance along the best ordered alignment of two frame sequences; None beyond `most` frames.
+
+    Cells of one antidiagonal don't depend on each other, so each is one step over arrays; three are kept.
+    """
     a, b = np.atleast_2d(np.asarray(a, float)), np.atleast_2d(np.asarray(b, float))
-    if not len(a) or not len(b) or max(len(a), len(b)) > most:
+    if not len(a) or not len(b) or (most is not None and max(len(a), len(b)) > most):
         return None
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    cost = 1.0 - unit(a) @ unit(b).T
-    total, steps = np.full((len(a) + 1, len(b) + 1), np.inf), np.zeros((len(a) + 1, len(b) + 1))
-    total[0, 0] = 0.0
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            prev = min((total[i - 1, j - 1], 0), (total[i - 1, j], 1), (total[i, j - 1], 2))
-            at = ((i - 1, j - 1), (i - 1, j), (i, j - 1))[prev[1]]
-            total[i, j], steps[i, j] = prev[0] + cost[i - 1, j - 1], steps[at] + 1
-    return float(total[-1, -1] / steps[-1, -1])
+    # Columns of b run backwards, so that a diagonal is a slice of both.
+    u, v = np.ascontiguousarray(unit(a).T), np.ascontiguousarray(unit(b)[::-1].T)
+    n, m = len(a), len(b)
+    # By row i of the table; what is outside a diagonal stays infinite.
+    before, last = (np.full(n + 1, np.inf), np.zeros(n + 1)), (np.full(n + 1, np.inf), np.zeros(n + 1))
+    before[0][0] = 0.0
+    for d in range(2, n + m + 1):
+        lo, hi = max(1, d - m), min(n, d - 1)
+        at, up = slice(lo, hi + 1), slice(lo - 1, hi)
+        cost = 1.0 - np.einsum("ki,ki->i", u[:, up], v[:, m - d + lo : m - d + hi + 1])
+        total, steps = before[0][up], before[1][up]
+        for t, k in ((last[0][up], last[1][up]), (last[0][at], last[1][at])):
+            less = t < total
+            total, steps = np.where(less, t, total), np.where(less, k, steps)
+        now = (np.full(n + 1, np.inf), np.zeros(n + 1))
+        now[0][at], now[1][at] = total + cost, steps + 1
+        before, last = last, now
+    return float(last[0][n] / last[1][n])
 
 
 def periodicity(x: np.ndarray, least_lag: int = 2, top: int = 5) -> list[tuple[int, float]]:

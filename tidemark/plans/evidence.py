@@ -484,8 +484,10 @@ def dtw_distance(spark, d):
     import pandas as pd
 
     def kernel(key, x):
-        f = np.column_stack([x[:-1], x[1:]])[:240]
-        return pd.DataFrame([(key[0], round(kernels.warp_distance(f[:120], f[120:]) or 0.0, 6))], columns=["event_type", "distance"])
+        # The first half of the whole series against the second; a series of under three values has no distance.
+        f = np.column_stack([x[:-1], x[1:]])
+        r = kernels.warp_distance(f[: len(f) // 2], f[len(f) // 2 :], most=None)
+        return pd.DataFrame([(key[0], None if r is None else round(r, 6))], columns=["event_type", "distance"])
 
     return kernels.per_series(_series(spark, d), ["event_type"], "us", "value", kernel, "event_type string, distance double")
 

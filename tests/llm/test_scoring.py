@@ -83,6 +83,21 @@ def test_grammar():
     assert kinds("ein loweisch", stems={"lowe": 1.0}) == [toxicity.PLAIN]
 
 
+@pytest.mark.parametrize("text", ["what an “idiot”", "idiot… again", "¡idiota!", "«stupid»", "idiot—really", "idiot’s"])
+def test_any_punctuation_ends_a_word(text):
+    assert kinds(text, words={"idiota": 1.0}) == [toxicity.PLAIN]
+    assert {"idiot", "idiota", "stupid"} & toxicity._entries(text)
+
+
+def test_scan_never_excludes_what_the_grammar_matches():
+    rng = np.random.default_rng(5)
+    marks = [*"“”…¡«»—’_-. \u00a0\u2003²٣\u0301", ""]
+    for _ in range(300):
+        text = "".join(rng.choice(marks) + rng.choice(["idiot", "you", "plain", "stup"]) for _ in range(6))
+        found = any(w in toxicity.INSULTS for w in toxicity._WORD.findall(text))
+        assert bool(kinds(text)) == found, text
+
+
 def test_machine_equals_the_transducers():
     moves, out = toxicity.grammar()
     rng = np.random.default_rng(1)

@@ -121,12 +121,10 @@ _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"\w+")
 _SYMBOL = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
 _SYMBOL |= {w: INSULT for w in INSULTS}
-#: Separators inside words of the fast scan; letters beyond ASCII stay.
-_PLAIN_WORDS = {i: " " for i in range(128) if not chr(i).isalnum()}
 
 
 def _entries(text: str) -> set[str]:
-    words = set(text.lower().translate(_PLAIN_WORDS).split())
+    words = set(_WORD.findall(text.lower()))
     found = {w[:k] + "*" for k in STEM_LENGTHS for w in words if len(w) >= k}
     return words | found
 
@@ -152,7 +150,8 @@ class Grammar:
         if not text:
             return sums
         lower = text.lower()
-        words = set(lower.translate(_PLAIN_WORDS).split())
+        # A clause ends between words, so these are the words of all clauses.
+        words = set(_WORD.findall(lower))
         hit = not self.alert.isdisjoint(words)
         for k in () if hit else self.lengths:
             if not {w[:k] for w in words}.isdisjoint(self.stems):

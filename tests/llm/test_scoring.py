@@ -83,6 +83,16 @@ def test_grammar():
     assert kinds("ein loweisch", stems={"lowe": 1.0}) == [toxicity.PLAIN]
 
 
+def test_threat_before_its_target():
+    menaces = lambda text: toxicity.Grammar().matches(text)[toxicity.MENACE]
+    assert kinds("I will kill you") == [toxicity.MENACE] and kinds("we hurt you") == [toxicity.MENACE]
+    assert menaces("kill a b c d you") == 1 and menaces("kill a b c d e you") == 0
+    assert menaces("kill, hurt and burn you") == menaces("you we kill, hurt and burn") == 3
+    assert menaces("kill you you") == 1 and menaces("you I will kill you") == 1
+    assert menaces("I will kill. you") == 0
+    assert kinds("I will not kill you") == [toxicity.NEGATED] and kinds("he said kill you") == [toxicity.REPORTED]
+
+
 @pytest.mark.parametrize("text", ["what an “idiot”", "idiot… again", "¡idiota!", "«stupid»", "idiot—really", "idiot’s"])
 def test_any_punctuation_ends_a_word(text):
     assert kinds(text, words={"idiota": 1.0}) == [toxicity.PLAIN]

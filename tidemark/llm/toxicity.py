@@ -6,7 +6,8 @@ Four transducers rewrite a clause's symbols from left to right and are composed
   reported   an insult or threat after a speech verb in its clause becomes a reported one
   negation   one at most NEGATION_REACH words after a negation becomes a negated one
   target     one at most TARGET_REACH words after an addressed person becomes an aimed one
-  threat     a threat verb without an addressed person near it becomes an ordinary word
+  threat     a threat verb without an addressed person at most TARGET_REACH words before or after it becomes an
+             ordinary word; one whose person follows is counted where that person stands
 
 Matched insult symbols carry the weight of the lexicon entry that matched; a logistic layer fitted on labels
 turns the sums of a document's clauses, one for each kind of match, into a probability. Insult words and
@@ -47,7 +48,7 @@ NEGATIONS = "not no never neither nor nicht kein keine nie ne pas jamais nunca j
 REPORTS = "said says wrote writes claimed claims quoted quote called sagte schrieb behauptete dit écrit disait dijo escribió".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: What the composed machine emits.
+#: What the composed machine emits; MENACE + k stands for k + 1 menaces at once.
 NOTHING, PLAIN, AIMED, NEGATED, REPORTED, MENACE = range(6)
 N_KINDS = 6
 
@@ -82,19 +83,26 @@ def _marker(trigger: int, reach: int | None, mark: int) -> Transducer:
 
 
 def _emit() -> Transducer:
-    """Marked symbols to kinds of match: reported before negated before aimed; a threat counts when aimed."""
+    """Marked symbols to kinds of match: reported before negated before aimed; a threat counts when aimed.
+
+    The state has a bit for each threat of the last TARGET_REACH words that waits for an addressed person.
+    """
+    full = (1 << TARGET_REACH) - 1
 
     def step(state, symbol):
         base, marks = symbol
+        later = state << 1 & full
+        if base == TARGET and state:
+            return 0, MENACE + state.bit_count() - 1
         if base not in (INSULT, THREAT):
-            return state, NOTHING
+            return later, NOTHING
         if marks & 1:
-            return state, REPORTED
+            return later, REPORTED
         if marks & 2:
-            return state, NEGATED
+            return later, NEGATED
         if base == THREAT:
-            return state, MENACE if marks & 4 else NOTHING
-        return state, AIMED if marks & 4 else PLAIN
+            return (later, MENACE) if marks & 4 else (later | 1, NOTHING)
+        return later, AIMED if marks & 4 else PLAIN
 
     return Transducer(0, step)
 
@@ -169,6 +177,8 @@ class Grammar:
                     symbol = INSULT if weight > 0 else OTHER
                 kind = self.out[state][symbol]
                 state = self.moves[state][symbol]
+                if kind > MENACE:
+                    kind, weight = MENACE, 1.0 + kind - MENACE
                 if kind:
                     sums[kind] += weight
                     matched |= kind in (PLAIN, AIMED, MENACE)

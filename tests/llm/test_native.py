@@ -132,3 +132,74 @@ def test_every_rule_matches_its_own_sentences(spark):
     got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, (name, _) in enumerate(licenses.RULES):
         assert name in got[i], licenses.RULES[i]
+
+
+WRAPPED = {
+    "Apache-2.0": """# Copyright 2020 Somebody
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS.
+""",
+    "MIT": """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "GPL-3.0": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+""",
+    "BSD-3-Clause": """Copyright (c) 2020, Somebody
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "Proprietary": "Copyright 2020 Somebody.  All rights  reserved.",
+}
+
+
+def test_wrapped_licenses(spark):
+    rows = [(k, v) for k, v in WRAPPED.items()] + [(k + " crlf", v.replace("\n", "\r\n")) for k, v in WRAPPED.items()]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: [k.removesuffix(" crlf")] for k, _ in rows}
+
+
+def test_runs_of_lines(spark):
+    rows = ["Licensed under the\nMIT License.", "It is not Licensed under\nCC BY 4.0.", "All rights.\nReserved.", "Licensed under CC\n\x01\n BY\x01 4.0.\n\n\nAll\nrights\nreserved", "Software under the\nMIT License\n"]
+    got = [r.identifiers for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [["mit-licensed"], [], [], ["cc-by", "reserved"], ["mit-title"]]
+    assert all(any(k in s for k in licenses.KEYWORDS) for s in licenses.known())

@@ -1,9 +1,11 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, sentences are normalised (lower case, runs of other characters than a-z and 0-9
-to one space) and mapped to identifiers of known license sentences; the sequence of identifiers, in text
-order, is then matched against ordered rules. A rule matches if its identifiers stand next to each other in
-the sequence; sentences without an identifier don't separate them.
+A text is cut into sentences at marks and into lines, all normalised (lower case, runs of other characters than
+a-z and 0-9 to one space). A line, or a run of lines within a sentence, that makes up a known license sentence
+gives its identifier; of runs from one line the longest counts, and the next one begins after it. The sequence
+of identifiers, in text order, is then matched against ordered rules. A rule matches if its identifiers stand
+next to each other in the sequence; sentences without an identifier don't separate them. The SQL takes single
+lines only: it gives the same rows where no known sentence is wrapped.
 
 Defined results: null, empty and blank texts have no sentences; a repeated license counts once; the lists are
 sorted by rule order (licenses) or text order (identifiers); repeated rows each get their row.
@@ -60,8 +62,8 @@ RULES = [
     ("MPL-2.0", ["mpl2"]),
     ("Proprietary", ["reserved"]),
 ]
-#: Every known sentence holds one of these, so a text without any of them needs no cutting.
-KEYWORDS = ("licen", "permission", "redistribut", "free software", "warranty", "rights reserved")
+#: Every known sentence holds one of these parts of words, so a text without any of them needs no cutting.
+KEYWORDS = ("licen", "permission", "redistribut", "warranty", "reserved")
 #: A sentence ends at these marks before white space, but not before a digit ("v. 2.0").
 _END = r"([.;!?])[ \t\r\n]+([^0-9])"
 
@@ -70,10 +72,16 @@ def _plain(text: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences, in order, without empty ones."""
-    cut = F.split(F.regexp_replace(F.lower(text), _END, "$1\n$2"), "\n")
-    return F.filter(F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+#: Between sentences that marks end. A text's own ones become another character that is no letter, digit or space.
+_CUT = "\x01"
+
+
+def lines(text: Column) -> Column:
+    """One string of normalised lines, without empty ones: a line break between two, _CUT between sentences."""
+    cut = F.regexp_replace(F.translate(F.lower(text), _CUT, "_"), _END, f"$1{_CUT}$2")
+    plain = F.regexp_replace(cut, f"[^a-z0-9\n{_CUT}]+", " ")
+    plain = F.regexp_replace(plain, "[ \n]*\n[ \n]*", "\n")
+    return F.trim(F.regexp_replace(plain, f"[ \n]*{_CUT}[ \n{_CUT}]*", _CUT))
 
 
 def known() -> dict[str, str]:
@@ -91,7 +99,10 @@ def identifiers(text: Column) -> Column:
     may = F.lit(False)
     for word in KEYWORDS:
         may = may | F.contains(lower, F.lit(word))
-    found = F.filter(F.transform(sentences(text), lambda s: F.element_at(table, s)), lambda s: s.isNotNull())
+    # From a line's start to a line's end; alternatives are tried in order, so the longest first.
+    runs = "|".join(s.replace(" ", "[ \n]") for s in sorted(known(), key=lambda s: (-len(s), s)))
+    whole = f"(?<![^\n{_CUT}])(?:{runs})(?![^\n{_CUT}])"
+    found = F.transform(F.regexp_extract_all(lines(text), F.lit(whole), F.lit(0)), lambda s: F.element_at(table, F.translate(s, "\n", " ")))
     return F.when(may, found).otherwise(F.array().cast("array<string>"))
 
 

@@ -88,6 +88,27 @@ def test_awkward_rows(spark, awkward, nothing):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 4, 6, 7, 8, 9])
 
 
+def test_null_and_repeated_ids_link_by_their_own_texts(spark):
+    words = [f"w{i}" for i in range(400)]
+    chain = [" ".join(words[8 * i : 8 * i + 200]) for i in range(5)]
+    # The middle of the chain has no id; without it the ends aren't linked.
+    rows = [(0, chain[0]), (1, chain[1]), (None, chain[2]), (None, chain[2]), (3, chain[3]), (4, chain[4])]
+    # Two texts of one id with equally many shingles, each with a near copy of its own.
+    x, y = [" ".join(f"{c}{i}" for i in range(200)) for c in "xy"]
+    rows += [(10, x), (10, y), (11, x + " end"), (12, y + " end")]
+    # Two linked texts without any id, and one alone.
+    z = " ".join(f"z{i}" for i in range(200))
+    rows += [(None, z), (None, z + " end"), (None, "alone")]
+    for _ in range(2):
+        out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert len(out) == len(rows)
+        got = Counter((r.doc_id, r.component_id, r.kept) for r in out)
+        want = [(0, 0, True), (1, 0, False), (None, 0, False), (None, 0, False), (3, 0, False), (4, 0, False)]
+        want += [(10, 10, True)] * 2 + [(11, 10, False), (12, 10, False)] + [(None, None, False)] * 3
+        assert got == Counter(want)
+        rows = rows[::-1]
+
+
 def test_shingle_hashes():
     s = near_dedup.Shingler()
     assert len(s("a b c d e")) == 1 and len(s("a b c d e f")) == 2

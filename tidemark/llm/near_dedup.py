@@ -16,7 +16,8 @@
 
 Links are confirmed on full sets: 100 * intersection >= 85 * union by default.
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; fewer than five
-words are one shingle; rows that repeat an id are judged by their own texts; a null id is never the smallest.
+words are one shingle; rows that repeat an id are judged by their own texts; a null id is never the smallest,
+so rows with one link others but are never the ones kept.
 """
 
 from __future__ import annotations
@@ -88,6 +89,10 @@ SKETCHES = T.StructType(
 )
 
 
+def _digest(h: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
+
+
 def _sketch_rows(batches):
     shingle = Shingler()
     for batch in batches:
@@ -97,7 +102,7 @@ def _sketch_rows(batches):
             for text in part.column(1).to_pylist():
                 h = shingle(text)
                 n.append(len(h))
-                sig.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                sig.append(_digest(h))
                 flat.append(h[:SKETCH])
                 at.append(at[-1] + len(flat[-1]))
             values = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
@@ -107,14 +112,21 @@ def _sketch_rows(batches):
 
 
 def _set_rows(batches):
+    """The set of each text under its own digest, if that is the one asked for, or none is."""
     shingle = Shingler()
     for batch in batches:
         for start in range(0, batch.num_rows, 1024):
             part = batch.slice(start, 1024)
-            sets = [shingle(t) for t in part.column(1).to_pylist()]
+            sets, sig = [], []
+            for asked, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                h = shingle(text)
+                own = _digest(h)
+                if own is not None and asked in (None, own):
+                    sets.append(h)
+                    sig.append(own)
             at = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["sig", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["sig", "members"])
     release()
 
 
@@ -147,16 +159,19 @@ def links(documents: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame
     kept = retained.join(shared, "v").groupBy("sig").agg(F.first("n").alias("n"), F.count("*").alias("k"))
     # A set no larger than a sketch is retained whole.
     kept = kept.where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.least(F.col("n"), F.lit(SKETCH)) * MIN_SHARED / SKETCH)))
-    # One text of each class left gives its full set; a null id can't be looked up, but its text can.
-    chosen = table.join(kept.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    chosen = materialise(chosen.where("doc_id is not null"), "chosen")
-    if chosen.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
+    # One text of each class left gives its full set; a class of null ids only finds it among the texts without id.
+    chosen = materialise(table.join(kept.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "chosen")
+    by_id = chosen.where("doc_id is not null")
+    if by_id.count() <= BROADCAST_IDS:
+        by_id = F.broadcast(by_id)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(chosen, "doc_id").select(F.col("sig"), "text").mapInArrow(_set_rows, "sig binary, members array<long>")
-    # The text of a repeated id can differ: only the one with this set counts.
-    digest = F.size("members")
-    sets = materialise(sets.join(classes.select("sig", "n"), "sig").where(digest == F.col("n")).dropDuplicates(["sig"]).select("sig", "n", "members"), "sets")
+    # The text of a repeated id can differ: only the one with this digest counts.
+    texts_of = texts.join(by_id, "doc_id").select("sig", "text")
+    without = chosen.where("doc_id is null").select("sig")
+    if not without.isEmpty():
+        texts_of = texts_of.unionByName(texts.where("doc_id is null").select(F.lit(None).cast("binary").alias("sig"), "text"))
+    sets = texts_of.mapInArrow(_set_rows, "sig binary, members array<long>").join(chosen.select("sig"), "sig", "left_semi")
+    sets = materialise(sets.join(classes.select("sig", "n"), "sig").dropDuplicates(["sig"]).select("sig", "n", "members"), "sets")
 
     tokens = sets.select("sig", "n", F.explode("members").alias("v"))
     shared = tokens.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
@@ -233,6 +248,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each group, with its own columns; documents without words all stay."""
+    """One document of each group, with its own columns; documents without words all stay, rows with a null id and
+    any word all go, and of rows that repeat the kept id all stay."""
     kept = near_duplicates(documents).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return documents.join(kept, documents["doc_id"] == kept["_kept_id"], "left_semi")

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -80,6 +81,19 @@ def test_support_routes(spark):
     assert got == {1: ("7", 1), 2: (None, 0)}
 
 
+def test_support_routes_look_at_every_group(spark):
+    rng = np.random.default_rng(8)
+    options = {0: {"a": [1, 2, 3, 4, 5], "b": [5]}, 1: {"a": [1, 2, 3, 4, 5, 9], "b": [6, 7, 8, 9], "c": [9, 10]}}
+    for claim in range(2, 60):
+        options[claim] = {c: sorted(rng.choice(10, rng.integers(1, 8), replace=False).tolist()) for c in "abcd"[: rng.integers(1, 5)]}
+    rows = [(i, c, g, True) for i, o in options.items() for c, groups in o.items() for g in groups]
+    got = {r.claim: (r.route, r.n_groups) for r in planning.support_routes(spark.createDataFrame(rows, "claim long, channel string, grp long, adequate boolean")).collect()}
+    for i, o in options.items():
+        best = min((sorted(set(pick)) for pick in itertools.product(*o.values())), key=lambda s: (len(s), s))
+        assert got[i] == (",".join(map(str, best)), len(best)), o
+    assert got[0] == ("5", 1)
+
+
 def test_greedy_suppression(spark):
     rows = [("k", 0.0, 10.0, 1), ("k", 1.0, 9.0, 2), ("k", 9.5, 20.0, 3)]
     df = spark.createDataFrame(rows, "k string, a double, z double, o int")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,19 +77,31 @@ def select_stream(streams: DataFrame, key: str, kind: str) -> DataFrame:
     return live.groupBy(key).agg(F.when(F.count("*") == 1, F.min("stream").cast("string")).otherwise("OPEN_SELECTION_REQUIRED").alias("selection"))
 
 
-def support_routes(routes: DataFrame, cap: int = 4) -> DataFrame:
+def support_routes(routes: DataFrame) -> DataFrame:
     """The smallest set of groups, then the first in order, with one adequate member for every channel of a claim.
 
-    routes(claim, channel, grp, adequate). A claim has a few channels and groups; one row holds them.
+    routes(claim, channel, grp, adequate). A claim has a few channels; one row holds its groups. The best set is kept
+    for every set of channels still open, from the last group to the first; no group is left out.
     """
 
     @F.udf("struct<route: string, n_groups: int>")
     def choose(options):
-        options = [sorted(o["grps"])[:cap] for o in options]
-        if not all(options):
-            return None, 0
-        best = min((sorted(set(pick)) for pick in product(*options)), key=lambda s: (len(s), s))
-        return ",".join(map(str, best)), len(best)
+        covers = {}
+        for k, o in enumerate(options):
+            for g in o["grps"]:
+                covers[g] = covers.get(g, 0) | 1 << k
+        # Of groups that cover the same channels only the first can be in the answer.
+        first = {covers[g]: g for g in sorted(covers, reverse=True)}
+        best = {0: ()}
+        for mask, g in sorted(first.items(), key=lambda x: x[1], reverse=True):
+            after = dict(best)
+            for done, rest in best.items():
+                found = (g, *rest)
+                if done | mask not in after or (len(found), found) < (len(after[done | mask]), after[done | mask]):
+                    after[done | mask] = found
+            best = after
+        route = best.get((1 << len(options)) - 1)
+        return (None, 0) if route is None else (",".join(map(str, route)), len(route))
 
     by_channel = routes.groupBy("claim", "channel").agg(F.collect_set(F.when(F.col("adequate"), F.col("grp"))).alias("grps"))
     by_claim = by_channel.groupBy("claim").agg(F.collect_list(F.struct("grps")).alias("options"))

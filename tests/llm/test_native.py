@@ -1,13 +1,12 @@
-"""Fingerprints, chat, sharding and licenses: native plans, brute force, SQL, awkward rows."""
+"""Fingerprints, sharding and licenses: native plans, brute force, SQL, awkward rows."""
 
 import hashlib
-import json
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprint, licenses, queries, sharding
+from tidemark.llm import fingerprint, licenses, queries, sharding
 
 D = "/root/testdata/sf0.001"
 NATIVE = ["op3_fingerprint", "op4_chat", "op5_sharding", "op6_licenses"]
@@ -63,34 +62,6 @@ def test_fingerprints_of_awkward_rows(spark, awkward, nothing):
     assert fingerprint.edited_fingerprints(awkward.where("doc_id is null")).first().near_next == 1
 
 
-def test_chat_links_tool_calls(spark):
-    call = lambda i, name, args, after=(): {"id": i, "name": name, "arguments": args, "after": list(after)}
-    say = lambda *calls: json.dumps({"tool_calls": calls})
-    rows = [
-        (1, 0, "assistant", say(call("a", "add", '{"y": 2, "x":1}'), call("b", "add", '{"x": "no"}'))),
-        (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "3"})),
-        (1, 2, "assistant", say(call("c", "other", "not json", ["a"]), call("d", "add", '{"x":1,"y":2}', ["z"]))),
-        (1, 3, "tool", json.dumps({"tool_call_id": "q", "content": "orphan"})),
-    ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.call_id: r for r in chat.link(df, {"add": [("x", "integer", True), ("y", "integer", True)]}).collect()}
-    assert set(got) == {"a", "b", "c", "d"}
-    assert got["a"].json == '{"arguments":{"x":1,"y":2},"id":"a","name":"add","result":"3"}' and got["a"].errors == "" and got["a"].result_turn == 1
-    assert got["b"].errors == "x: not integer; y: missing" and not got["b"].linked
-    assert got["c"].errors == "arguments: not JSON; name: unknown tool" and got["c"].in_order and not got["d"].in_order
-    assert json.loads(got["c"].json)["arguments"] is None
-
-
-def test_chat_of_awkward_rows(spark):
-    rows = [(None, 0, "user", "x"), (1, None, "user", "x"), (2, 0, None, "x"), (3, 0, "user", None), (3, 1, "assistant", None), (4, 0, "user", 'q"\\\n\x01é'), (4, 0, "user", "twice"), (5, 3, "user", "late")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(1)).withColumn("r", F.lit(2))
-    got = chat.link(df).collect()
-    assert sorted((r.conv_id, r.turn, r.linked, r.in_order) for r in got) == [(3, 0, True, True), (4, 0, False, True), (4, 0, False, True), (5, 3, False, False)]
-    assert all(json.loads(r.json)["name"] == "reply" for r in got)
-    assert json.loads(next(r for r in got if "q" in r.json).json)["arguments"]["prompt"] == 'q"\\\n\x01é'
-    assert chat.link(df.where("false")).count() == 0
-
-
 def test_table_is_even_and_stable():
     full, less = sharding.fill(), sharding.fill(sharding.SHARDS[:-1])
     counts = [full.count(i) for i in range(32)]

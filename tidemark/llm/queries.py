@@ -37,14 +37,15 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-calls AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, conv_id || ':' || (turn - 2) AS need, text FROM m WHERE role = 'user'),
-answers AS (SELECT conv_id || ':' || (turn - 1) AS call_id, min(struct_pack(t := turn, c := text)) AS r FROM m WHERE role = 'assistant' GROUP BY 1),
-known AS (SELECT DISTINCT call_id AS need FROM calls)
-SELECT c.conv_id, c.turn, 0 AS place, c.call_id, r.t AS result_turn, r IS NOT NULL AS linked,
-  c.turn < 2 OR k.need IS NOT NULL AS in_order, '' AS errors,
-  '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":' || to_json(c.call_id) || ',"name":"reply","result":'
-    || CASE WHEN r IS NULL THEN 'null' ELSE to_json(r.c) END || '}' AS json
-FROM calls c LEFT JOIN answers USING (call_id) LEFT JOIN known k ON c.need = k.need"""
+calls AS (SELECT conv_id, turn, text FROM m WHERE role = 'user'),
+answers AS (SELECT conv_id, turn, min(text) AS text FROM m WHERE role = 'assistant' GROUP BY ALL),
+known AS (SELECT DISTINCT conv_id, turn FROM calls)
+SELECT c.conv_id, c.turn, 0 AS place, 0 AS level, c.conv_id || ':' || c.turn AS call_id, a.turn AS result_turn, a.turn IS NOT NULL AS linked,
+  c.turn < 2 OR k.turn IS NOT NULL AS in_order,
+  CASE WHEN length(c.text) < 1 THEN 'prompt: too short' WHEN length(c.text) > 240 THEN 'prompt: too long' ELSE '' END AS errors,
+  '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":' || to_json(c.conv_id || ':' || c.turn) || ',"name":"reply","result":'
+    || CASE WHEN a.turn IS NULL THEN 'null' ELSE to_json(a.text) END || '}' AS json
+FROM calls c LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 LEFT JOIN known k ON k.conv_id = c.conv_id AND k.turn = c.turn - 2"""
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -16,7 +17,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
 
@@ -30,7 +31,7 @@ def brute(rows):
         for j in ids:
             if i < j and sets[i] and sets[j]:
                 both = len(sets[i] & sets[j])
-                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     a, b = find(i), find(j)
                     parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -65,6 +66,61 @@ def test_equals_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("limit", [near_dedup.BROADCAST_IDS, 0])
+def test_broadcast_and_shuffled_forms_agree(spark, monkeypatch, limit):
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", limit)
+    rows = corpus(7)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows).items()}
+
+
+def test_stage_threshold(spark):
+    rows = corpus(11)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in near_dedup.keep_one(df).collect()}
+    assert kept == {i for i, (n, c) in brute(rows, 80).items() if i == c or not n}
+
+
+def test_recall_on_the_driver_tables(spark):
+    """Every link of the smallest table, found by brute force over an index of shingles."""
+    d = "/root/testdata/sf0.01/documents.parquet"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(d).select("doc_id", "text").collect()]
+    sets = {i: shingles(t) for i, t in rows}
+    lists = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            lists[x].append(i)
+    common = Counter((a, b) for ids in lists.values() for k, a in enumerate(sorted(ids)) for b in sorted(ids)[k + 1 :])
+    linked = [p for p, n in common.items() if 100 * n >= 85 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.read.parquet(d)).collect()}
+    assert linked and all(got[a] == got[b] for a, b in linked)
+    assert all(near_dedup.chance_of_loss(p) < 2e-5 for p in (80, 85))
+
+
+def test_estimate_of_a_pair(spark):
+    """Against the definition, on sketches of random sets."""
+    rng = random.Random(2)
+    rows = []
+    for _ in range(60):
+        base = rng.sample(range(-1000, 1000), rng.choice([3, 20, 40, 90]))
+        other = [x if rng.random() < 0.8 else rng.randrange(1000, 2000) for x in base]
+        rows.append((sorted(set(base))[: near_dedup.SKETCH], sorted(set(other))[: near_dedup.SKETCH]))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    got = [r.e for r in df.select(near_dedup.estimated(df.a, df.b, 85).alias("e")).collect()]
+    for (a, b), e in zip(rows, got, strict=True):
+        union = sorted(set(a) | set(b))[: near_dedup.SKETCH]
+        k = len(union)
+        assert e == (len(set(union) & set(a) & set(b)) >= max(1, math.floor(k * 0.85 - 5 * (k * 0.85 * 0.15) ** 0.5)))
+
+
+def test_keep_one_of_null_and_repeated_ids(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(200)) for c in "xyz")
+    rows = [(1, x, "a"), (1, x, "a"), (1, y, "b"), (2, x + " end", "c"), (None, y, "d"), (None, z, "e"), (None, z, "e"), (None, z + " end", "f"), (None, "alone", "g"), (None, "", "h"), (None, None, "i"), (3, "", "j"), (3, "", "j"), (4, "  ", "k")]
+    got = Counter(r.tag for r in near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(3)).collect())
+    one_of_z = got.pop("e", 0) + got.pop("f", 0)
+    assert one_of_z == 1 and got == Counter({"a": 1, "b": 1, "g": 1, "h": 1, "i": 1, "j": 2, "k": 1})
+
+
 def test_chain_is_one_component(spark):
     """Neighbours are linked, the ends aren't: only the whole chain connects them."""
     words = [f"w{i}" for i in range(400)]
@@ -85,7 +141,9 @@ def test_awkward_rows(spark, awkward, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
     kept = near_dedup.keep_one(awkward)
     assert kept.columns == awkward.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 4, 6, 7, 8, 9])
+    # The row without id is the only one of its text, and of the two equal rows 4 one stays.
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 6, 7, 8, 9, None])
+    assert near_dedup.keep_one(nothing).count() == 0
 
 
 def test_null_and_repeated_ids_link_by_their_own_texts(spark):

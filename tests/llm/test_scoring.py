@@ -108,13 +108,94 @@ def test_scan_never_excludes_what_the_grammar_matches():
         assert bool(kinds(text)) == found, text
 
 
+def test_reports_end():
+    assert kinds("he said you are an idiot, and I agree you idiot") == [toxicity.AIMED, toxicity.REPORTED]
+    assert kinds("he said you are an idiot and a moron") == [toxicity.REPORTED]
+    assert kinds("he said “you idiot, and you moron” to me, you clown") == [toxicity.AIMED, toxicity.REPORTED]
+    assert kinds('she wrote "what an idiot" about that moron') == [toxicity.PLAIN, toxicity.REPORTED]
+    assert kinds("he said: you are an idiot") == [toxicity.REPORTED] and kinds("one thing: you are an idiot") == [toxicity.AIMED]
+    assert kinds("they essaid: you are an idiot") == [toxicity.AIMED]
+    assert kinds("“idiot”, and nothing else") == [toxicity.PLAIN]
+
+
+def interpret(text, grammar):
+    """The composed transducer, step by step over a whole text, without tables and without a scan before."""
+    sums = np.zeros(toxicity.N_KINDS + 1)
+    for clause in toxicity._CLAUSE.split((text or "").lower()):
+        machine = toxicity.composed()
+        state, matched = machine.start, False
+        for token in toxicity._TOKEN.findall(clause):
+            symbol, weight = toxicity._SYMBOL.get(token, toxicity.OTHER), 1.0
+            if symbol in (toxicity.OTHER, toxicity.INSULT):
+                weight = grammar.weight(token)
+                symbol = toxicity.INSULT if weight > 0 else toxicity.OTHER
+            state, kind = machine.step(state, (symbol, 0))
+            if kind > toxicity.MENACE:
+                kind, weight = toxicity.MENACE, 1.0 + kind - toxicity.MENACE
+            if kind:
+                sums[kind] += weight
+                matched |= kind in (toxicity.PLAIN, toxicity.AIMED, toxicity.MENACE)
+        sums[toxicity.N_KINDS] += matched
+    return sums
+
+
+def test_equals_an_interpreter_on_whole_texts():
+    rng = np.random.default_rng(9)
+    bits = ["idiot", "Moron", "stupid", "KILL", "hurt", "you", "du", "not", "never", "said", "wrote", "and", "a", "plain", "lowest", ",", ", and", ", but", '"', "“", "”", ".", "!", ":", "\n", "said:", "—"]
+    model = toxicity.Grammar(words={"vile": 0.5}, stems={"lowe": 0.7})
+    for _ in range(400):
+        text = " ".join(rng.choice(bits) for _ in range(rng.integers(0, 60)))
+        assert np.allclose(model.matches(text), interpret(text, model)), text
+
+
+def test_copies_share_a_weight_and_none_is_dropped(spark):
+    rows = [("one two three four five six", 1)] * 3 + [("one two three four five six", 0), ("seven eight nine ten eleven twelve", 0)]
+    got = toxicity._shared_weights(spark.createDataFrame(rows, "text string, y int")).collect()
+    assert sorted((r.y, r.share) for r in got) == [(0, 0.25), (0, 1.0), (1, 0.25), (1, 0.25), (1, 0.25)]
+
+
+def test_calibration_equals_gradient_descent():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, (200, toxicity.N_KINDS + 1)).astype(float)
+    y = (rng.random(200) < 1 / (1 + np.exp(1.0 - x[:, 2]))).astype(float)
+    share = rng.choice([1.0, 0.5], 200)
+    model = toxicity.Grammar().calibrate(x, y, share)
+    z, w = np.hstack([np.log1p(x), np.ones((200, 1))]), np.zeros(x.shape[1] + 1)
+    ridge = np.array([0.1] * x.shape[1] + [1e-6])
+    for _ in range(20000):
+        w -= 0.01 * (z.T @ (share * (1 / (1 + np.exp(-z @ w)) - y)) + ridge * w)
+        w[:-1] = np.maximum(w[:-1], 0)
+    assert np.allclose(np.append(model.weights, model.bias), w, atol=0.02)
+
+
+def test_samples_are_bounded(spark):
+    from tidemark.llm.common import training_rows
+
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * 100) for i in range(300)] + [(7, "again")] * 5, "doc_id long, text string")
+    lab = docs.select("doc_id", F.lit(1).alias("toxic")).distinct()
+    free = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = lambda most, size: training_rows(docs, lab, "toxic", 3, 1, most, size)
+    assert rows(1000, 1 << 20).count() == len(free) and rows(20, 1 << 20).count() == 20
+    few = rows(1000, 1050)
+    assert 9 <= few.count() <= 11 and set(few.toPandas()["text"]) <= set(rows(20, 1 << 20).toPandas()["text"])
+    assert rows(1000, 1).count() == 1
+
+
+def test_passages_cut_between_words():
+    text = ("wort " * 300 + "é" * 700 + " " + "x" * 1100 + " end").encode()
+    parts = quality.passages(text)
+    assert b"".join(parts) == text and all(0 < len(p) <= quality.PASSAGE for p in parts)
+    assert all(p.decode() for p in parts) and not any(p.endswith(b"wor") for p in parts)
+    assert quality.passages(b"") == [b""] and len(quality.encode("")) == 1
+
+
 def test_machine_equals_the_transducers():
     moves, out = toxicity.grammar()
     rng = np.random.default_rng(1)
     for _ in range(50):
-        machine = toxicity._marker(toxicity.REPORT, None, 1).then(toxicity._marker(toxicity.NEGATION, 3, 2)).then(toxicity._marker(toxicity.TARGET, 5, 4)).then(toxicity._emit())
+        machine = toxicity.composed()
         state, at = machine.start, 0
-        for s in rng.integers(0, 6, 30).tolist():
+        for s in rng.integers(0, 8, 30).tolist():
             state, want = machine.step(state, (s, 0))
             assert out[at][s] == want
             at = moves[at][s]

@@ -83,20 +83,33 @@ def held_out(doc_id, buckets: int, bucket: int):
 
 
 def training_rows(
-    documents: DataFrame, labels: DataFrame, label: str, buckets: int, bucket: int, most: int
+    documents: DataFrame, labels: DataFrame, label: str, buckets: int, bucket: int, most: int, most_bytes: int
 ) -> DataFrame:
-    """(text, y) of at most `most` labelled documents outside the held-out bucket.
+    """(text, y) of at most `most` labelled documents outside the held-out bucket, with at most `most_bytes` of text.
 
-    The sample is the rows with the smallest hashed ids, so it is the same in every run; its ids are the
-    only thing broadcast and number `most` at most.
+    The sample is the rows with the smallest hashed ids, so it is the same in every run; its ids are the only thing
+    broadcast and number `most` at most. An id labelled twice takes label 1 if it has it once; of rows that repeat an
+    id the text with the smallest hash counts. Whole texts are taken, in the order of hashed ids, until the next would
+    pass the bound; the first is taken in any case.
     """
     ids = (
-        labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
+        labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("_id"), buckets, bucket))
         .groupBy("_id")
         .agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(most)
     )
-    texts = documents.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), "_id").select("text", "y")
+    texts = documents.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    met = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    sample = materialise(met.select(F.xxhash64("_id").alias("place"), "text", "y"), "sample")
+    # At most `most` pairs of numbers.
+    sizes = sorted((r["place"], r["n"]) for r in sample.select("place", F.octet_length("text").alias("n")).collect())
+    total, last = 0, None
+    for place, n in sizes:
+        total += n
+        if total > most_bytes and last is not None:
+            sample = sample.where(F.col("place") <= last)
+            break
+        last = place
+    return sample.select("text", "y")

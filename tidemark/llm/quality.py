@@ -1,9 +1,13 @@
 """Quality classifier: gated-attention multiple-instance learning.
 
-A document is a bag of passages of PASSAGE bytes. Each passage is encoded from its byte classes and word
-statistics, an attention gate learned from document labels weighs the passages, and the weighted sum is
-scored. Defined results: null and empty texts are a bag with one empty passage; repeated rows get equal
-scores; a training set without both labels gives every text the share of label 1 (0.5 without rows).
+A document is a bag of passages of at most PASSAGE bytes, cut between words (a longer word between code points). Each
+passage is encoded from its own byte classes, words and lines, an attention gate learned from document labels weighs
+the passages, and the weighted sum is scored. Nothing else of a document is seen, so a bad passage must win its weight.
+
+Defined results: null and empty texts are a bag with one empty passage; very long texts are read whole, all their
+passages at once; ties and repeated rows: equal texts get equal scores; a training set without both labels (an empty
+one, too) gives every text the share of label 1 (0.5 without rows); an empty table gives no rows; columns beside
+doc_id and text are not looked at, and come through `keep_good` unchanged.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import training_rows
 
 PASSAGE = 512
-MAX_TRAIN_DOCS = 6000
+#: The sample that is learned from: so many documents, and so many bytes of text, at most.
+MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 6000, 48 << 20
 KEEP_AT = 0.3
 BUCKETS, HELD_BUCKET = 5, 0
 
@@ -38,29 +43,47 @@ _N = len(_CLASSES) + 1
 _CLASS_OF = np.full(256, _N - 1, dtype=np.int64)
 for _k, _members in enumerate(_CLASSES):
     _CLASS_OF[list(_members)] = _k
-#: Shares of byte classes, then word length, repeated-line share, distinct-word share, log length and filler.
-N_FEATURES = _N + 6
+#: Shares of byte classes, then word length, shares of repeated lines and of distinct words, log length and filler.
+N_FEATURES = _N + 5
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[list(b" \t\n\r\f\v")] = True
+
+
+def passages(raw: bytes) -> list[bytes]:
+    """The whole text in pieces of at most PASSAGE bytes; a piece ends after white space, or else at a code point."""
+    if len(raw) <= PASSAGE:
+        return [raw]
+    spaces = np.nonzero(_SPACE[np.frombuffer(raw, dtype=np.uint8)])[0] + 1
+    out, at = [], 0
+    while len(raw) - at > PASSAGE:
+        k = int(np.searchsorted(spaces, at + PASSAGE, side="right"))
+        to = int(spaces[k - 1]) if k else 0
+        if to <= at:
+            to = at + PASSAGE
+            while to > at + 1 and raw[to] & 0xC0 == 0x80:
+                to -= 1
+        out.append(raw[at:to])
+        at = to
+    return [*out, raw[at:]]
 
 
 def encode(text: str) -> np.ndarray:
     """One feature row for each passage of the whole text."""
-    raw = text.encode("utf-8", "replace")
-    size = len(raw)
-    n = max(1, -(-size // PASSAGE))
-    codes = _CLASS_OF[np.frombuffer(raw, dtype=np.uint8)]
-    place = np.arange(size, dtype=np.int64) // PASSAGE
-    counts = np.bincount(place * _N + codes, minlength=n * _N).reshape(n, _N).astype(np.float64)
-    total = np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
+    parts = passages(text.encode("utf-8", "replace"))
+    n = len(parts)
+    sizes = np.array([len(p) for p in parts])
+    codes = _CLASS_OF[np.frombuffer(b"".join(parts), dtype=np.uint8)]
+    counts = np.bincount(np.repeat(np.arange(n) * _N, sizes) + codes, minlength=n * _N).reshape(n, _N).astype(np.float64)
+    total = np.maximum(sizes, 1)[:, None].astype(np.float64)
     out = np.zeros((n, N_FEATURES))
     out[:, :_N] = counts / total
     out[:, _N] = np.log1p(total[:, 0] / (counts[:, 3] + counts[:, 4] + 1.0)) / 3.0
-    lines = raw.split(b"\n")
-    out[:, _N + 1] = 1.0 - len(set(lines)) / len(lines)
-    words = raw.split()
-    out[:, _N + 2] = len(set(words)) / max(1, len(words))
-    out[:, _N + 3] = np.log1p(size) / 12.0
-    out[:, _N + 4] = np.log1p(len(words)) / 10.0
-    out[:, _N + 5] = min(1.0, len(words) / (1.0 + len(set(words))) / 10.0)
+    for k, part in enumerate(parts):
+        lines, words = part.split(b"\n"), part.split()
+        out[k, _N + 1] = 1.0 - len(set(lines)) / len(lines)
+        out[k, _N + 2] = len(set(words)) / max(1, len(words))
+        out[k, _N + 3] = np.log1p(len(part)) / 6.0
+        out[k, _N + 4] = min(1.0, len(words) / (1.0 + len(set(words))) / 10.0)
     return out
 
 
@@ -146,18 +169,19 @@ class AttentionMil:
 def _features(frames):
     for frame in frames:
         bags = [encode(t) for t in frame["text"]]
-        yield pd.DataFrame({"y": frame["y"], "bag": [b.ravel() for b in bags]})
+        yield pd.DataFrame({"y": frame["y"], "bag": [b.ravel().astype(np.float32) for b in bags]})
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> AttentionMil:
-    """Learn from at most max_train_docs labelled documents outside the held-out bucket.
+def fit(documents: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_train_bytes: int = MAX_TRAIN_BYTES) -> AttentionMil:
+    """Learn from a bounded sample of labelled documents outside the held-out bucket.
 
-    Passage features, not texts, come to the driver; every passage of a sampled document counts.
+    Passage features, not texts, come to the driver: about a sixth of a byte for each byte of the sample's texts.
+    Every passage of a sampled document counts.
     """
-    sample = training_rows(documents, labels, "quality", BUCKETS, HELD_BUCKET, max_train_docs)
-    rows = sample.mapInPandas(_features, "y int, bag array<double>").toPandas()
+    sample = training_rows(documents, labels, "quality", BUCKETS, HELD_BUCKET, max_train_docs, max_train_bytes)
+    rows = sample.mapInPandas(_features, "y int, bag array<float>").toPandas()
     order = sorted(range(len(rows)), key=lambda i: (int(rows["y"][i]), bytes(np.asarray(rows["bag"][i]).data)))
-    bags = [np.asarray(rows["bag"][i]).reshape(-1, N_FEATURES) for i in order]
+    bags = [np.asarray(rows["bag"][i], dtype=np.float64).reshape(-1, N_FEATURES) for i in order]
     return AttentionMil().fit(bags, np.array([rows["y"][i] for i in order]))
 
 

@@ -1,9 +1,11 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words are read as symbols of a small alphabet (insult, threat, target, negation, reported speech, other).
-Four transducers rewrite a clause's symbols from left to right and are composed into one machine:
+Words are read as symbols of a small alphabet (insult, threat, target, negation, speech verb, break, quotation mark,
+other). Four transducers rewrite a clause's symbols from left to right and are composed into one machine:
 
-  reported   an insult or threat after a speech verb in its clause becomes a reported one
+  reported   an insult or threat after a speech verb becomes a reported one. A report ends with its clause; without
+             quotation marks also at a comma before a conjunction ("he said you are an idiot, and I agree"), with
+             them at the closing mark. A colon ends a clause except after a speech verb
   negation   one at most NEGATION_REACH words after a negation becomes a negated one
   target     one at most TARGET_REACH words after an addressed person becomes an aimed one
   threat     a threat verb without an addressed person at most TARGET_REACH words before or after it becomes an
@@ -11,10 +13,14 @@ Four transducers rewrite a clause's symbols from left to right and are composed
 
 Matched insult symbols carry the weight of the lexicon entry that matched; a logistic layer fitted on labels
 turns the sums of a document's clauses, one for each kind of match, into a probability. Insult words and
-stems are learned: an entry is kept if its document frequency under label 1 is beyond chance.
-
-Defined results: null and empty texts match nothing and get the score of the empty match; repeated rows get
-equal scores; without both labels every score is the share of label 1 (0.5 without rows).
+stems are learned: an entry is kept if its document frequency under label 1 is beyond chance. Documents of the sample
+that share the smallest hash of their runs of five words share one document's weight, so that copies don't count as
+evidence many times over; none is left out.
+
+Defined results: null and empty texts match nothing and get the score of the empty match; very long texts are read
+whole; ties and repeated rows: equal texts get equal scores; without both labels every score is the share of label 1
+(0.5 without rows); an empty table gives no rows; columns beside doc_id and text are not looked at, and come through
+`keep_civil` unchanged.
 """
 
 from __future__ import annotations
@@ -27,17 +33,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise, training_rows
 
 BUCKETS, HELD_BUCKET = 3, 1
-MAX_TRAIN_DOCS = 24000
+#: The sample that is learned from: so many documents, and so many bytes of text, at most.
+MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 24000, 256 << 20
 REJECT_AT = 0.7
 STEM_LENGTHS = (4, 5, 6)
 #: An entry's chance of arising from unrelated labels, times the number of entries tried, stays under this.
 CHANCE = 0.01
 #: And it must stand in at least this share of the documents of label 1.
 SUPPORT = 0.015
+#: And its log odds must be at least this.
+LEAST_ODDS = 1.5
 NEGATION_REACH, TARGET_REACH = 3, 5
 
 # Fixed word lists of the grammar, by symbol: English, German, French and Spanish.
@@ -47,7 +57,9 @@ TARGETS = "you your yours du dich dir ihr euch tu toi vous tú te usted ustedes"
 NEGATIONS = "not no never neither nor nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTS = "said says wrote writes claimed claims quoted quote called sagte schrieb behauptete dit écrit disait dijo escribió".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+CONJUNCTIONS = "and but und aber doch et mais y pero".split()
+
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK, QUOTE = range(8)
 #: What the composed machine emits; MENACE + k stands for k + 1 menaces at once.
 NOTHING, PLAIN, AIMED, NEGATED, REPORTED, MENACE = range(6)
 N_KINDS = 6
@@ -68,16 +80,36 @@ class Transducer:
         return Transducer((self.start, other.start), step)
 
 
-def _marker(trigger: int, reach: int | None, mark: int) -> Transducer:
-    """Adds `mark` to a match that stands at most `reach` words after a trigger (None: anywhere after)."""
+def _marker(trigger: int, reach: int, mark: int) -> Transducer:
+    """Adds `mark` to a match that stands at most `reach` words after a trigger; breaks and quotation marks are no words."""
 
     def step(state, symbol):
         base, marks = symbol
+        if base in (BREAK, QUOTE):
+            return state, symbol
         if base == trigger:
-            return (reach if reach is not None else 1), symbol
+            return reach, symbol
         if base in (INSULT, THREAT) and state:
             symbol = (base, marks | mark)
-        return (state if reach is None else max(0, state - 1)), symbol
+        return max(0, state - 1), symbol
+
+    return Transducer(0, step)
+
+
+def _reports(mark: int) -> Transducer:
+    """Adds `mark` to a match within a report. States: outside, in a report, in a quotation of a report."""
+
+    def step(state, symbol):
+        base, marks = symbol
+        if base == REPORT:
+            return max(state, 1), symbol
+        if base == QUOTE and state:
+            return (2 if state == 1 else 0), symbol
+        if base == BREAK and state == 1:
+            return 0, symbol
+        if base in (INSULT, THREAT) and state:
+            symbol = (base, marks | mark)
+        return state, symbol
 
     return Transducer(0, step)
 
@@ -91,6 +123,8 @@ def _emit() -> Transducer:
 
     def step(state, symbol):
         base, marks = symbol
+        if base in (BREAK, QUOTE):
+            return state, NOTHING
         later = state << 1 & full
         if base == TARGET and state:
             return 0, MENACE + state.bit_count() - 1
@@ -107,13 +141,17 @@ def _emit() -> Transducer:
     return Transducer(0, step)
 
 
+def composed() -> Transducer:
+    return _reports(1).then(_marker(NEGATION, NEGATION_REACH, 2)).then(_marker(TARGET, TARGET_REACH, 4)).then(_emit())
+
+
 def grammar() -> tuple[list[list[int]], list[list[int]]]:
     """The composed machine as tables: next state and emission, by state and symbol."""
-    machine = _marker(REPORT, None, 1).then(_marker(NEGATION, NEGATION_REACH, 2)).then(_marker(TARGET, TARGET_REACH, 4)).then(_emit())
+    machine = composed()
     ids, queue, moves, out = {machine.start: 0}, [machine.start], [], []
     for state in queue:
         row, said = [], []
-        for symbol in range(6):
+        for symbol in range(8):
             to, kind = machine.step(state, (symbol, 0))
             if to not in ids:
                 ids[to] = len(ids)
@@ -125,10 +163,13 @@ def grammar() -> tuple[list[list[int]], list[list[int]]]:
     return moves, out
 
 
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+#: A clause ends at these marks; a colon after a speech verb opens what is reported.
+_CLAUSE = re.compile(rf"[.!?;\n]+|(?<!\w):|(?<=\w):(?<!{':)(?<!'.join(rf'\b{w}' for w in REPORTS)}:)")
 _WORD = re.compile(r"\w+")
+#: Words, quotation marks, and commas before a conjunction.
+_TOKEN = re.compile(rf"\w+|[\"“”„«»]|,(?=\s*(?:{'|'.join(CONJUNCTIONS)})\b)")
 _SYMBOL = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
-_SYMBOL |= {w: INSULT for w in INSULTS}
+_SYMBOL |= {w: INSULT for w in INSULTS} | {",": BREAK} | {q: QUOTE for q in '"“”„«»'}
 
 
 def _entries(text: str) -> set[str]:
@@ -169,7 +210,7 @@ class Grammar:
             return sums
         for clause in _CLAUSE.split(lower):
             state, matched = 0, False
-            for word in _WORD.findall(clause):
+            for word in _TOKEN.findall(clause):
                 symbol = _SYMBOL.get(word, OTHER)
                 weight = 1.0
                 if symbol in (OTHER, INSULT):
@@ -189,8 +230,12 @@ class Grammar:
         x = np.array([self.matches(t) for t in texts]).reshape(-1, N_KINDS + 1)
         return _sigmoid(np.log1p(x) @ self.weights + self.bias)
 
-    def calibrate(self, sums: np.ndarray, y: np.ndarray, rounds: int = 60) -> Grammar:
-        """Newton's method for logistic regression with a small ridge; weights of matches stay at 0 or above."""
+    def calibrate(self, sums: np.ndarray, y: np.ndarray, share: np.ndarray | None = None, rounds: int = 60) -> Grammar:
+        """Newton's method for logistic regression with a small ridge; weights of matches stay at 0 or above.
+
+        share: how much of a document each row counts as, one by default.
+        """
+        m = np.ones(len(y)) if share is None else share
         if not len(y) or y.min() == y.max():
             share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
             self.bias = math.log(share / (1 - share))
@@ -200,10 +245,16 @@ class Grammar:
         ridge = np.diag([0.1] * (x.shape[1] - 1) + [1e-6])
         for _ in range(rounds):
             p = _sigmoid(x @ w)
-            step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-            w = w + np.clip(step, -2, 2)
+            up = x.T @ (m * (y - p)) - ridge @ w
+            # Weights that stand at 0 and would fall stay; the step is taken in the others.
+            free = (w > 0) | (up > 0)
+            free[-1] = True
+            bend = (x * (m * (p * (1 - p) + 1e-9))[:, None]).T @ x + ridge
+            step = np.zeros_like(w)
+            step[free] = np.clip(np.linalg.solve(bend[np.ix_(free, free)], up[free]), -2, 2)
+            before, w = w, w + step
             w[:-1] = np.maximum(w[:-1], 0.0)
-            if np.abs(step).max() < 1e-6:
+            if np.abs(w - before).max() < 1e-6:
                 break
         self.weights, self.bias = w[:-1], float(w[-1])
         return self
@@ -214,25 +265,27 @@ def _sigmoid(x):
 
 
 def _count_entries(frames):
-    """Document frequencies of a batch's words and stems, by label; one extra row counts the documents."""
+    """Weighted document frequencies of a batch's words and stems, by label; the row "" counts the documents."""
     for frame in frames:
         counts = (Counter(), Counter())
-        for text, y in zip(frame["text"], frame["y"]):
-            counts[int(y)].update(_entries(text))
-            counts[int(y)][""] += 1
+        for text, y, share in zip(frame["text"], frame["y"], frame["share"]):
+            mine = counts[int(y)]
+            for entry in _entries(text):
+                mine[entry] += share
+            mine[""] += share
         keys = list(counts[0].keys() | counts[1].keys())
-        yield pd.DataFrame({"entry": keys, "neg": [counts[0][k] for k in keys], "pos": [counts[1][k] for k in keys]})
+        yield pd.DataFrame({"entry": keys, "neg": [float(counts[0][k]) for k in keys], "pos": [float(counts[1][k]) for k in keys]})
 
 
 def _match_rows(model: Grammar):
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame({"y": frame["y"], "sums": [model.matches(t).tolist() for t in frame["text"]]})
+            yield pd.DataFrame({"y": frame["y"], "share": frame["share"], "sums": [model.matches(t).tolist() for t in frame["text"]]})
 
     return run
 
 
-def _tail(pos: int, n: int, share: float) -> float:
+def _tail(pos: float, n: float, share: float) -> float:
     """Log of a bound on the chance of at least pos successes in n at this share (Chernoff)."""
     q = pos / n
     if q <= share:
@@ -240,14 +293,14 @@ def _tail(pos: int, n: int, share: float) -> float:
     return -n * (q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0.0))
 
 
-def select_entries(rows: list[tuple[str, int, int]], tried: int, n_neg: int, n_pos: int) -> tuple[dict, dict]:
+def select_entries(rows: list[tuple[str, float, float]], tried: int, n_neg: float, n_pos: float) -> tuple[dict, dict]:
     """Words and stems whose frequency under label 1 is beyond chance; a stem replaces what it covers."""
     share = n_pos / max(1, n_pos + n_neg)
     limit = math.log(CHANCE / max(1, tried))
     words, stems = {}, {}
     for entry, neg, pos in sorted(rows):
         odds = math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
-        if odds > 1.5 and pos >= SUPPORT * n_pos and _tail(pos, pos + neg, share) < limit:
+        if odds > LEAST_ODDS and pos >= SUPPORT * n_pos and _tail(pos, pos + neg, share) < limit:
             (stems if entry.endswith("*") else words)[entry.rstrip("*")] = odds
     short = {}
     for stem in sorted(stems, key=len):
@@ -258,31 +311,37 @@ def select_entries(rows: list[tuple[str, int, int]], tried: int, n_neg: int, n_p
     return {w: v / top for w, v in words.items()}, {s: v / top for s, v in short.items()}
 
 
-def _one_of_copies(sample: DataFrame) -> DataFrame:
-    """One text of those that share the smallest hash of their runs of five words, so that copies of a document
-    don't count as evidence many times over. The sample's bound holds for what is shuffled."""
+def _shared_weights(sample: DataFrame) -> DataFrame:
+    """(text, y, share): one over the number of the sample's documents with the same smallest hash of five-word runs."""
     words = F.split(F.lower("text"), r"\s+")
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(F.slice("w", i + 1, 5)))
-    return sample.withColumn("w", words).withColumn("g", F.array_min(runs)).groupBy("g").agg(F.min(F.struct("text", "y")).alias("row")).select("row.text", "row.y")
-
-
-def fit(documents: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> Grammar:
-    """Learn entries and the logistic layer from at most max_train_docs labelled documents outside the held-out
-    bucket. Of the entries only those much more frequent under label 1 reach the driver; of the documents,
-    one row of sums each."""
-    sample = materialise(_one_of_copies(training_rows(documents, labels, "toxic", BUCKETS, HELD_BUCKET, max_train_docs)), "toxic")
-    counts = sample.mapInPandas(_count_entries, "entry string, neg long, pos long").groupBy("entry").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    # Entries seen in under 4 documents of label 1 can't be beyond chance; the rest are few in proportion to the sample.
-    kept = counts.where((F.col("entry") == "") | (F.col("pos") >= 4)).collect()
-    total = next(((r["neg"], r["pos"]) for r in kept if r["entry"] == ""), (0, 0))
-    rows = [(r["entry"], r["neg"], r["pos"]) for r in kept if r["entry"]]
-    words, stems = select_entries(rows, len(rows), *total) if min(total) else ({}, {})
+    # The sample's bound holds for what a group can have.
+    group = Window.partitionBy("g")
+    return sample.withColumn("w", words).withColumn("g", F.array_min(runs)).select("text", "y", (F.lit(1.0) / F.count("*").over(group)).alias("share"))
+
+
+def fit(documents: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_train_bytes: int = MAX_TRAIN_BYTES) -> Grammar:
+    """Learn entries and the logistic layer from a bounded sample of labelled documents outside the held-out bucket.
+
+    Of the entries those that are common enough and frequent enough under label 1 reach the driver, which are under
+    1 / SUPPORT for each place of a document's words; of the documents, one row of sums each.
+    """
+    sample = materialise(_shared_weights(training_rows(documents, labels, "toxic", BUCKETS, HELD_BUCKET, max_train_docs, max_train_bytes)), "toxic")
+    counts = sample.mapInPandas(_count_entries, "entry string, neg double, pos double").groupBy("entry")
+    # Sums of shares depend on their order; six digits of them don't.
+    counts = materialise(counts.agg(F.round(F.sum("neg"), 6).alias("neg"), F.round(F.sum("pos"), 6).alias("pos")), "entries")
+    total = counts.where("entry = ''").first()
+    words, stems = {}, {}
+    if total and total["neg"] and total["pos"]:
+        odds = F.ln((F.col("pos") + 0.5) / (total["pos"] + 1)) - F.ln((F.col("neg") + 0.5) / (total["neg"] + 1))
+        often = counts.where((F.col("entry") != "") & (F.col("pos") >= SUPPORT * total["pos"]) & (odds > LEAST_ODDS))
+        words, stems = select_entries([tuple(r) for r in often.collect()], counts.count(), total["neg"], total["pos"])
     model = Grammar(words, stems)
-    found = sample.mapInPandas(_match_rows(model), "y int, sums array<double>").toPandas()
+    found = sample.mapInPandas(_match_rows(model), "y int, share double, sums array<double>").toPandas()
     sums = np.array(found["sums"].tolist(), dtype=float).reshape(-1, N_KINDS + 1)
-    y = found["y"].to_numpy(dtype=float)
-    order = np.lexsort([*sums.T, y])
-    return model.calibrate(sums[order], y[order])
+    y, share = found["y"].to_numpy(dtype=float), found["share"].to_numpy(dtype=float)
+    order = np.lexsort([*sums.T, share, y])
+    return model.calibrate(sums[order], y[order], share[order])
 
 
 def scorer(model: Grammar):

@@ -335,7 +335,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN
     if total and total["neg"] and total["pos"]:
         odds = F.ln((F.col("pos") + 0.5) / (total["pos"] + 1)) - F.ln((F.col("neg") + 0.5) / (total["neg"] + 1))
         often = counts.where((F.col("entry") != "") & (F.col("pos") >= SUPPORT * total["pos"]) & (odds > LEAST_ODDS))
-        words, stems = select_entries([tuple(r) for r in often.collect()], counts.count(), total["neg"], total["pos"])
+        # Entries too rare to be beyond chance at all, whatever their labels, are no tries.
+        share = total["pos"] / (total["pos"] + total["neg"])
+        least = math.log(CHANCE / max(1, counts.count())) / math.log(share)
+        tried = counts.where(F.col("pos") + F.col("neg") >= least).count()
+        words, stems = select_entries([tuple(r) for r in often.collect()], tried, total["neg"], total["pos"])
     model = Grammar(words, stems)
     found = sample.mapInPandas(_match_rows(model), "y int, share double, sums array<double>").toPandas()
     sums = np.array(found["sums"].tolist(), dtype=float).reshape(-1, N_KINDS + 1)

@@ -54,6 +54,42 @@ def test_fingerprint_estimates(spark):
     assert abs(r.r - 0.54) < 0.2 and abs(r.c - 0.7) < 0.25 and abs(r.n - 996) < 400 and r.same and r.m >= 60
 
 
+def brute_fingerprint(text, k=fingerprint.K):
+    """Distinct five-word runs; the hash is checked for being one of the run alone."""
+    w = (text or "").lower().split() or [""]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """Sketches are the k smallest hashes of exactly the distinct runs, and likeness follows from them alone."""
+    import random
+
+    rng = random.Random(6)
+    texts = ["", " a b\n", "a b", "a  b\tc d e f", "A B C D E F"] + [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 160))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(df).collect()}
+    runs = sorted({x for t in texts for x in brute_fingerprint(t)})
+    size = [(i, *(list(x) + [None] * 5)[:5]) for i, x in enumerate(runs)]
+    named = spark.createDataFrame(size, "i long, a string, b string, c string, d string, e string").select("i", F.xxhash64("a", "b", "c", "d", "e").alias("h")).collect()
+    value = {runs[r.i]: r.h for r in named}
+    sketch = lambda t: sorted({value[x] for x in brute_fingerprint(t)})[: fingerprint.K]
+    order = sorted(range(len(texts)), reverse=True)
+    for k, i in enumerate(order):
+        nxt = order[(k + 1) % len(order)]
+        a, b = sketch(texts[i]), sketch(texts[nxt])
+        assert got[i].fingerprint == ".".join(f"{v % 2**64:x}" for v in a)
+        union = sorted(set(a) | set(b))[: fingerprint.K]
+        assert abs(got[i].near_next - len(set(union) & set(a) & set(b)) / len(union)) < 1e-12
+        h = len(texts[i]) // 2
+        edited = brute_fingerprint(texts[i][: len(texts[i]) - h] + texts[nxt][:h])
+        if edited <= value.keys():
+            e = sorted({value[x] for x in edited})[: fingerprint.K]
+            union = sorted(set(a) | set(e))[: fingerprint.K]
+            assert got[i].edited_fingerprint == ".".join(f"{v % 2**64:x}" for v in e)
+            assert abs(got[i].near_edited - len(set(union) & set(a) & set(e)) / len(union)) < 1e-12
+    assert got[1].fingerprint == got[2].fingerprint and got[0].fingerprint != got[2].fingerprint
+
+
 def test_fingerprints_of_awkward_rows(spark, awkward, nothing):
     rows = fingerprint.edited_fingerprints(awkward).collect()
     assert len(rows) == awkward.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
@@ -159,6 +195,29 @@ modification, are permitted provided that the following conditions are met:
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission.
 """,
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+ * Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+""",
+    "GPL-2.0-or-later": """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "Unlicense": "This is free and unencumbered software released into\nthe public domain.",
     "Proprietary": "Copyright 2020 Somebody.  All rights  reserved.",
 }
 

@@ -4,8 +4,13 @@ A fingerprint is the K smallest distinct 64-bit hashes of a text's five-word shi
 words). Sketches of parts merge into the sketch of the whole, and two sketches estimate resemblance,
 containment and the number of distinct shingles; they are exact while sets have at most K members.
 
-Defined results: a null text counts as empty, and an empty or blank text has the one empty shingle; equal
-texts have equal fingerprints. A row without an id is outside the order of documents and is its own next one.
+Defined results: a null text counts as empty, and an empty or blank text has the one empty shingle; white space
+around a text doesn't count; very long texts are read whole; equal texts have equal fingerprints. Ties: rows that
+repeat an id are ordered by their text's hash. A row without an id is outside the order of documents and is its own
+next one; an empty table gives no rows; columns beside doc_id and text are not looked at.
+
+Cost: ids are put in groups of 2^GROUP_BITS neighbouring numbers. Where ids are so sparse that a group holds one row,
+texts move twice instead of once.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ GROUP_BITS = 6
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
     """Hashes of all shingles of the text, not yet distinct."""
     # The words are bound to a variable, so that they are split once; single items are taken in constant time.
-    parts = F.split(F.trim(F.lower(text)), r"\s+")
+    parts = F.split(F.trim(F.lower(text), F.lit(" \t\n\x0b\f\r")), r"\s+")
     places = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
     run = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(words)])
     return F.transform(F.array(parts), lambda w: F.transform(places(w), lambda i: run(w, i)))[0]

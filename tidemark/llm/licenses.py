@@ -5,14 +5,18 @@ a-z and 0-9 to one space). A line, or a run of lines within a sentence, that mak
 gives its identifier; of runs from one line the longest counts, and the next one begins after it. The sequence
 of identifiers, in text order, is then matched against ordered rules. A rule matches if its identifiers stand
 next to each other in the sequence; sentences without an identifier don't separate them. The SQL takes single
-lines only: it gives the same rows where no known sentence is wrapped.
+lines and sentences without inner ends only: it gives the same rows where no known sentence is wrapped or holds one.
 
-Defined results: null, empty and blank texts have no sentences; a repeated license counts once; the lists are
-sorted by rule order (licenses) or text order (identifiers); repeated rows each get their row.
+Defined results: null, empty and blank texts have no sentences; very long texts are read whole; a repeated license
+counts once; ties: of sentences that begin at one place the longest counts, and the lists are sorted by rule order
+(licenses) or text order (identifiers); repeated rows each get their row; an empty table gives no rows; columns beside
+doc_id and text are not looked at.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,20 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "cc0-title": "CC0 1.0 Universal",
+    "cc0-marked": "This work is licensed under a Creative Commons Zero v1.0 Universal License.",
+    "cc-by-sa-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "epl2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "boost": "Distributed under the Boost Software License, Version 1.0.",
     "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "reserved": "All rights reserved.",
 }
@@ -51,6 +69,8 @@ RULES = [
     ("MIT", ["mit-named"]),
     ("MIT", ["mit-licensed"]),
     ("MIT", ["mit-grant", "mit-notice"]),
+    ("MIT", ["mit-heading"]),
+    ("MIT", ["mit-title"]),
     ("GPL-3.0", ["gpl3-named"]),
     ("GPL-3.0", ["gpl-free", "gpl-hope", "gpl-received"]),
     ("CC-BY-NC-4.0", ["cc-by-nc"]),
@@ -59,11 +79,24 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-long"]),
     ("CC-BY-SA-4.0", ["cc-by-sa"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-disclaimer"]),
+    ("GPL-2.0-or-later", ["gpl2-free"]),
+    ("GPL-2.0-only", ["gpl2-only"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("ISC", ["isc-grant"]),
+    ("CC0-1.0", ["cc0-title"]),
+    ("CC0-1.0", ["cc0-marked"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-long"]),
+    ("Unlicense", ["unlicense"]),
+    ("EPL-2.0", ["epl2"]),
+    ("BSL-1.0", ["boost"]),
     ("MPL-2.0", ["mpl2"]),
     ("Proprietary", ["reserved"]),
 ]
 #: Every known sentence holds one of these parts of words, so a text without any of them needs no cutting.
-KEYWORDS = ("licen", "permission", "redistribut", "warranty", "reserved")
+KEYWORDS = ("licen", "permission", "redistribut", "warrant", "reserved", "cc0", "public domain")
 #: A sentence ends at these marks before white space, but not before a digit ("v. 2.0").
 _END = r"([.;!?])[ \t\r\n]+([^0-9])"
 
@@ -92,6 +125,12 @@ def known() -> dict[str, str]:
     return out
 
 
+def _run(text: str) -> str:
+    """A pattern of a known sentence in the string of lines; a published sentence can hold sentence ends itself."""
+    parts = re.sub(_END, rf"\1{_CUT}\2", text.lower()).split(_CUT)
+    return _CUT.join(_plain(p) for p in parts).replace(" ", "[ \n]")
+
+
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
@@ -100,9 +139,9 @@ def identifiers(text: Column) -> Column:
     for word in KEYWORDS:
         may = may | F.contains(lower, F.lit(word))
     # From a line's start to a line's end; alternatives are tried in order, so the longest first.
-    runs = "|".join(s.replace(" ", "[ \n]") for s in sorted(known(), key=lambda s: (-len(s), s)))
+    runs = "|".join(sorted(map(_run, SENTENCES.values()), key=lambda s: (-len(s), s)))
     whole = f"(?<![^\n{_CUT}])(?:{runs})(?![^\n{_CUT}])"
-    found = F.transform(F.regexp_extract_all(lines(text), F.lit(whole), F.lit(0)), lambda s: F.element_at(table, F.translate(s, "\n", " ")))
+    found = F.transform(F.regexp_extract_all(lines(text), F.lit(whole), F.lit(0)), lambda s: F.element_at(table, F.translate(s, f"\n{_CUT}", "  ")))
     return F.when(may, found).otherwise(F.array().cast("array<string>"))
 
 

@@ -6,8 +6,9 @@ permutation. Shares are even to within one turn and few slots change hands when
 row's slot is a hash of its key modulo the size; the table, whose size is checked, is broadcast, so that
 placing a row takes constant time and no shuffle.
 
-Defined results: a null key hashes as the empty string; equal keys share a shard; repeated rows stay; without
-shards, or with more shards than slots, a ValueError.
+Defined results: a null key hashes as the empty string; equal keys, however long, share a shard; repeated rows stay;
+ties: a slot that two shards want goes to the one whose turn it is; an empty table gives no rows; columns named as the
+slot or the shard are replaced, all others come through; without shards, or with more shards than slots, a ValueError.
 """
 
 from __future__ import annotations
@@ -76,6 +77,7 @@ def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: in
 
 
 def write_shards(rows: DataFrame, key: str, path: str, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> None:
-    """One folder per shard; rows are dealt by slot, so that no task writes more than a slot's worth at a time."""
+    """One folder per shard. Rows are dealt by slot and by where they come from, so that a key with very many rows is
+    written by several tasks; a task can hold parts of several slots and shards."""
     placed = place(rows, key, shards, slots)
-    placed.repartition("slot").write.partitionBy("shard").parquet(path)
+    placed.repartition("slot", F.spark_partition_id() % 8).write.partitionBy("shard").parquet(path)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidemark.llm import decontaminate, queries
@@ -49,9 +50,11 @@ def fixture(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("block", [1 << 22, 150])
-def test_equals_brute_force(spark, monkeypatch, seed, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize(("bits", "keys"), [(27, 500_000), (5, 0)])
+def test_equals_brute_force(spark, monkeypatch, seed, bits, keys):
+    """Also with a bitmap that lets nearly everything through, and with the shuffled join."""
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", keys)
     docs, items = fixture(seed)
     got = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == brute(docs, items)
@@ -68,9 +71,28 @@ def test_driver_tables(spark):
     assert got == want and any(v[4] for v in want.values())
 
 
-@pytest.mark.parametrize("block", [1 << 22, 4])
-def test_awkward_rows(spark, awkward, nothing, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+def test_bitmap(spark):
+    rng = random.Random(1)
+    h = [rng.randrange(-(2**63), 2**63) for _ in range(500)]
+    bits, data = decontaminate.bitmap(spark.createDataFrame([(x,) for x in h], "h long"), "h")
+    look = decontaminate._Look(bits, data)
+    own = np.array(h, dtype=np.int64).view(np.uint64)
+    assert look(own).all() and look(np.arange(10**6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).mean() < 0.05
+
+
+def test_many_items_are_no_block(spark):
+    """A benchmark of many windows over few documents: windows no document has are gone before the documents are read again."""
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    items = [(i, text(200)) for i in range(300)]
+    docs = [(d, text(50) + " " + " ".join(items[d][1].split()[20:45]) + " " + text(50)) for d in range(20)] + [(99, text(3000))]
+    got = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == brute(docs, items)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_awkward_rows(spark, awkward, nothing):
     items = spark.createDataFrame([(1, "One  TWO"), (1, "one two"), (2, None), (None, "a b c"), (3, "word word word")], "item_id long, text string")
     rows = decontaminate.scan(awkward, items).collect()
     assert len(rows) == awkward.count()

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,45 @@ ASCII_WORDS = bytes(
 )
 
 
+# Rolling hash: an odd multiplier and its inverse modulo 2^64; a final mix spreads the low bits.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class RunHashes:
+    """64-bit hashes of all runs of so many words, by their first word."""
+
+    def __init__(self):
+        self.up, self.down = _powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)
+
+    def __call__(self, words: list[bytes], size: int) -> np.ndarray:
+        if not size or len(words) < size:
+            return np.zeros(0, dtype=np.uint64)
+        raw = b" ".join(words) + b" "
+        n = len(raw)
+        if n > len(self.up):
+            self.up, self.down = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
+        codes = np.frombuffer(raw, dtype=np.uint8)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
+        stops = np.nonzero(codes == 32)[0]
+        starts = np.concatenate([[0], stops[:-1] + 1])
+        first, last = starts[: len(starts) - size + 1], stops[size - 1 :]
+        h = (sums[last] - sums[first]) * self.down[first]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+        return h
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,127 +1,171 @@
-"""Benchmark decontamination: prefix-filtered join of item windows against whole documents.
+"""Benchmark decontamination: prefix-filtered set join of item windows and whole documents.
 
-A window is `window` consecutive words of an item (all of them in a shorter item). A document contains a
-window only if it contains the window's rarest word, so that word is the window's prefix: words are ordered
-by their document frequency over all documents, documents are joined on prefix words, the word's place in the
-window bounds where the window can start, and the window's words are then compared exactly.
+A window is `window` consecutive words of an item (all of them in a shorter item); its set is its shingles, runs of
+SHINGLE words (of all its words, if it has fewer). A document contains a window only if it has all of its shingles.
 
-Items are taken in blocks of at most BLOCK_BYTES of text, whose windows are what an executor gets at once;
-more items make more blocks, each joined with every document.
+1. Shingles of items are counted in all documents. A window with a shingle that no document has can't occur.
+2. Shingles are ordered by rarity. As all of a window's shingles are needed, its prefix is the rarest one alone.
+3. Documents give the places of their prefix shingles, each with the words around it; they are joined with the windows
+   on the shingle. Its place in the window bounds where the window starts, the window's length where it ends.
+4. What is left is verified word by word, so equal hashes of different shingles don't matter.
 
-Defined results: a null or empty text has no words and no hits; an item without an id or words has no
-windows; repeated items count once; repeated rows of documents each get their row.
+Items and windows are tables all the way, and both scans of the documents cost the same however many items there are.
+What the scans look for reaches them as a bitmap of at most MOST_BITS bits, which lets too much through and never too
+little; the joins are exact.
+
+Defined results: a null or empty text has no words and no hits; very long texts are read whole; an item without an id
+or words has no windows; ties: equal windows of several items give all of them, and repeated items count once; repeated
+rows of documents each get their row, as results belong to a text's digest; an empty table of documents gives no rows,
+one of items no hits; columns beside doc_id, item_id and text are not looked at, and come through `keep_clean` unchanged.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORDS
+from .common import ASCII_WORDS, RunHashes, materialise, release
+
+WINDOW, SHINGLE = 10, 5
+#: Bits of a bitmap for each shingle in it, and the most bits a bitmap has (16 MB).
+SPREAD, MOST_BITS = 64, 27
+#: Digests of contaminated texts (about 100 bytes each in the join's table) are broadcast up to this number.
+BROADCAST_KEYS = 500_000
 
-WINDOW = 10
-BLOCK_BYTES = 4 << 20
-FOUND = "n_words long, items array<string>, spans array<struct<start:long,stop:long>>"
+WINDOWS = "item string, words array<binary>, shingles array<long>"
+FOUND = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("around", pa.list_(pa.binary()))]))
+SCANNED = "doc_id long, digest binary, n_words long, found array<struct<h:long,at:int,before:int,around:array<binary>>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(ASCII_WORDS).split() if text else []
 
 
-class Windows:
-    """Windows of a block of items, reachable from their rarest word."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int, frequency: dict[bytes, int]):
-        self.windows: dict[tuple, list[str]] = {}
-        probes: dict[bytes, set[tuple[int, int]]] = {}
-        for item, words in items:
-            size = min(window, len(words))
-            for start in range(len(words) - size + 1 if size else 0):
-                run = tuple(words[start : start + size])
-                owners = self.windows.get(run)
-                if owners is not None:
-                    if owners[-1] != item:
-                        owners.append(item)
-                    continue
-                self.windows[run] = [item]
-                place = min(range(size), key=lambda k: (frequency.get(run[k], 0), run[k], k))
-                probes.setdefault(run[place], set()).add((place, size))
-        self.probes = {w: sorted(p) for w, p in probes.items()}
-
-    def search(self, words: list[bytes]) -> tuple[list[str], list[tuple[int, int]]]:
-        """Items with a window in these words, and the merged spans of all occurrences."""
-        if self.probes.keys().isdisjoint(words):
-            return [], []
-        items: set[str] = set()
-        spans = []
-        for at, word in enumerate(words):
-            for place, size in self.probes.get(word, ()):
-                start = at - place
-                if start < 0 or start + size > len(words):
+def _window_rows(window: int):
+    def run(batches):
+        hashes = RunHashes()
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                size = min(window, len(words))
+                if not size:
                     continue
-                owners = self.windows.get(tuple(words[start : start + size]))
-                if owners:
-                    items.update(owners)
-                    spans.append((start, start + size))
-        merged: list[tuple[int, int]] = []
-        for start, stop in sorted(spans):
-            if merged and start <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(stop, merged[-1][1]))
-            else:
-                merged.append((start, stop))
-        return sorted(items), merged
-
-
-def _count_words(vocabulary: frozenset[bytes]):
-    def run(frames):
-        counts: Counter = Counter()
-        for frame in frames:
-            for text in frame["text"]:
-                counts.update(vocabulary.intersection(words_of(text)))
-        yield pd.DataFrame({"word": list(counts.keys()), "n": list(counts.values())})
+                width = min(SHINGLE, size)
+                h = hashes(words, width).view(np.int64).tolist()
+                n = len(words) - size + 1
+                for start in range(0, n, 4096):
+                    at = range(start, min(n, start + 4096))
+                    rows = {"item": [item] * len(at), "words": [words[k : k + size] for k in at], "shingles": [h[k : k + size - width + 1] for k in at]}
+                    schema = pa.schema([("item", pa.string()), ("words", pa.list_(pa.binary())), ("shingles", pa.list_(pa.int64()))])
+                    yield pa.RecordBatch.from_pydict(rows, schema)
 
     return run
 
 
-def blocks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> list[Windows]:
-    """Windows of all items, at most BLOCK_BYTES of item text a block.
+def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item, words, shingles) of every window of every item."""
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    return items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(_window_rows(window), WINDOWS)
 
-    Items come to the driver; the blocks are what bounds each broadcast. Word frequencies count all documents.
-    """
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")
-    )
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    out = []
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        rows = sorted((r["item"], words_of(r["text"])) for r in part.collect())
-        vocabulary = frozenset(w for _, words in rows for w in words)
-        if not vocabulary:
-            continue
-        counts = documents.select("text").mapInPandas(_count_words(vocabulary), "word binary, n long")
-        found = counts.groupBy("word").agg(F.sum("n").alias("n")).collect()
-        out.append(Windows(rows, window, {bytes(r["word"]): r["n"] for r in found}))
-    return out
-
-
-def finder(block: Windows | None):
-    """A column function: text -> words, items found and spans hit."""
-
-    @F.pandas_udf(FOUND)
-    def find(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            words = words_of(text)
-            items, spans = block.search(words) if block else ([], [])
-            rows.append((len(words), items, [{"start": a, "stop": b} for a, b in spans]))
-        return pd.DataFrame(rows, columns=["n_words", "items", "spans"])
-
-    return find
+
+def bitmap(hashes: DataFrame, column: str) -> tuple[int, bytes]:
+    """(bits, bytes): a bit for each hash, at its lowest bits. Of any table at most 2^MOST_BITS bits reach the driver."""
+    bits = min(MOST_BITS, max(16, (SPREAD * hashes.count()).bit_length()))
+    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    parts = hashes.groupBy(F.shiftright(place, 5).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 31 as int))")).alias("b"))
+    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
+    for w, b in parts.collect():
+        out[w] = b
+    return bits, out.tobytes()
+
+
+class _Look:
+    """Which of the hashes may be in the bitmap."""
+
+    def __init__(self, bits: int, data: bytes):
+        self.words, self.mask = np.frombuffer(data, dtype=np.uint32), np.uint64((1 << bits) - 1)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        place = h & self.mask
+        return (self.words[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def _counted(filter_: tuple[int, bytes], widths: list[int]):
+    """In how many documents of a partition's pieces each hash of the bitmap is."""
+
+    def run(batches):
+        look, hashes = _Look(*filter_), RunHashes()
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                words = words_of(text)
+                for width in widths:
+                    h = hashes(words, width)
+                    found.append(np.unique(h[look(h)]))
+            h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+        release()
+
+    return run
+
+
+def _scanned(filter_: tuple[int, bytes], widths: list[int], window: int):
+    def run(batches):
+        look, hashes = _Look(*filter_), RunHashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                digests, sizes, found = [], [], []
+                for text in part.column(1).to_pylist():
+                    words, mine = words_of(text), []
+                    for width in widths:
+                        h = hashes(words, width)
+                        for at in np.nonzero(look(h))[0].tolist():
+                            before = min(at, window - 1)
+                            mine.append({"h": int(h[at].view(np.int64)), "at": at, "before": before, "around": words[at - before : at + window]})
+                    digests.append(hashlib.md5(text.encode("utf-8", "replace")).digest() if text is not None else None)
+                    sizes.append(len(words))
+                    found.append(mine)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, FOUND)], names=["doc_id", "digest", "n_words", "found"])
+        release()
+
+    return run
+
+
+def _probes(texts: DataFrame, own: DataFrame, filter_: tuple[int, bytes], widths: list[int]) -> DataFrame:
+    """(h, place, window, words) of every window that may occur: its rarest shingle and the place of that."""
+    counts = texts.mapInArrow(_counted(filter_, widths), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    each = own.select("window", F.size("shingles").alias("size"), F.posexplode("shingles").alias("place", "h"))
+    least = F.min(F.struct("n", "h", "place")).alias("rarest")
+    chosen = each.join(counts, "h").groupBy("window", "size").agg(least, F.count("*").alias("m")).where("m = size")
+    return own.select("window", "words").join(chosen.select("window", "rarest.h", "rarest.place"), "window")
+
+
+def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n_words, found) of every row of documents, and (digest, items, spans) of texts with hits."""
+    every = materialise(windows(benchmark, window).withColumn("window", F.md5(F.array_join(F.transform("words", F.hex), " ")).cast("binary")), "windows")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = every.groupBy("window").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles"))
+    # Windows have `window` words or fewer, so there are few widths.
+    widths = sorted({min(SHINGLE, r[0]) for r in every.select(F.size("words")).distinct().collect()})
+    asked = bitmap(every.select(F.explode("shingles").alias("h")).distinct(), "h")
+    probes = materialise(_probes(docs.select("text"), own, asked, widths), "probes")
+    table = materialise(docs.mapInArrow(_scanned(bitmap(probes.select("h").distinct(), "h"), widths, window), SCANNED), "scanned")
+
+    places = table.where(F.size("found") > 0).select("digest", F.explode("found").alias("f")).select("digest", "f.*")
+    met = places.join(probes, "h").where((F.col("place") <= F.col("before")) & (F.size("around") - F.col("before") + F.col("place") >= F.size("words")))
+    met = met.where(F.slice("around", F.col("before") - F.col("place") + 1, F.size("words")) == F.col("words"))
+    start = F.col("at") - F.col("place")
+    hits = met.select("digest", "window", start.cast("long").alias("start"), (start + F.size("words")).cast("long").alias("stop")).distinct()
+    hits = materialise(hits, "hits")
+    spans = hits.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    owners = every.select("window", "item").distinct()
+    items = hits.select("digest", "window").distinct().join(owners, "window").groupBy("digest").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return table, materialise(spans.join(items, "digest"), "found")
 
 
 def _covered(spans: Column) -> Column:
@@ -135,31 +179,21 @@ def _covered(spans: Column) -> Column:
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, spans) of every row; items sorted as strings, spans in words."""
-    parts = blocks(documents, benchmark, window) or [None]
-    docs = documents.select("doc_id", "text")
-    found = [docs.select("doc_id", "text", finder(b)(F.col("text")).alias("f")) for b in parts]
-    if len(found) == 1:
-        rows = found[0].select("doc_id", "f.n_words", "f.items", "f.spans")
-    else:
-        # One row for each block: bring those of a document together again, as often as the row was there.
-        every = found[0].select("doc_id", F.xxhash64("text").alias("h"), "f.*")
-        for more in found[1:]:
-            every = every.unionByName(more.select("doc_id", F.xxhash64("text").alias("h"), "f.*"))
-        rows = (
-            every.groupBy("doc_id", "h", "n_words")
-            .agg(
-                F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
-                (F.count("*") / len(parts)).cast("int").alias("m"),
-            )
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m"))))
-        )
-    return rows.select("doc_id", "n_words", _covered(F.col("spans")).alias("n_hit"), "items", "spans")
+    """(doc_id, n_words, n_hit, items, spans) of every row; items sorted as strings, spans of occurrences in words."""
+    table, found = find(documents, benchmark, window)
+    # Rows without any prefix shingle skip the join.
+    rows = table.where(F.size("found") > 0).select("doc_id", "digest", "n_words").join(found, "digest", "left")
+    none = table.where(F.size("found") == 0).select("doc_id", "n_words", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
+    rows = rows.select("doc_id", "n_words", "items", "spans").unionByName(none)
+    items, spans = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))
+    return rows.select("doc_id", "n_words", _covered(spans).alias("n_hit"), items.alias("items"), spans.alias("spans"))
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows in which no window of an item occurs, with their own columns only."""
-    for block in blocks(documents, benchmark, window):
-        documents = documents.where(F.size(finder(block)(F.col("text"))["items"]) == 0)
-    return documents
+    _, found = find(documents, benchmark, window)
+    bad = found.select(F.col("digest").alias("__digest"))
+    if bad.count() <= BROADCAST_KEYS:
+        bad = F.broadcast(bad)
+    own = F.unhex(F.md5(documents["text"].cast("string").cast("binary")))
+    return documents.join(bad, own == F.col("__digest"), "left_anti")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, materialise, release
+from .common import ASCII_LOWER, RunHashes, materialise, release
 from .components import connected
 
 WORDS = 5
@@ -48,45 +48,16 @@ SKETCH, DEVIATIONS = 32, 5.0
 #: it a shuffled join.
 BROADCAST_IDS = 1_000_000
 
-# Rolling hash: an odd multiplier and its inverse modulo 2^64; a final mix spreads the low bits.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
 
 class Shingler:
     """Hashes of the distinct shingles of a text, ascending."""
 
     def __init__(self):
-        self.up, self.down = _powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)
+        self.runs = RunHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "replace").translate(ASCII_LOWER).split() if text else []
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        raw = b" ".join(words) + b" "
-        n = len(raw)
-        if n > len(self.up):
-            self.up, self.down = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
-        codes = np.frombuffer(raw, dtype=np.uint8)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
-        stops = np.nonzero(codes == 32)[0]
-        starts = np.concatenate([[0], stops[:-1] + 1])
-        size = min(WORDS, len(starts))
-        first, last = starts[: len(starts) - size + 1], stops[size - 1 :]
-        h = (sums[last] - sums[first]) * self.down[first]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-        return np.unique(h)
+        return np.unique(self.runs(words, min(WORDS, len(words))))
 
 
 SKETCHES = T.StructType(

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path
+from .common import materialise, release, scratch_path
 
 #: Payloads under this many bytes are always responses.
 LEAST_REVISIT_BYTES = 0
@@ -264,15 +264,18 @@ def _write_rows(folder: str, dictionary: bytes):
             return row
 
         for batch in batches:
-            for row in batch.to_pylist():
-                data = packer.compress(record(row["page_id"], row["url"], row["html"].encode("utf-8", "replace"), row["refers_to"]))
-                held.append(data)
-                records += 1
-                size += len(data)
-                if size >= ARCHIVE_BYTES:
-                    yield close()
+            # A few rows of a batch at a time are Python objects.
+            for start in range(0, batch.num_rows, 64):
+                for row in batch.slice(start, 64).to_pylist():
+                    data = packer.compress(record(row["page_id"], row["url"], row["html"].encode("utf-8", "replace"), row["refers_to"]))
+                    held.append(data)
+                    records += 1
+                    size += len(data)
+                    if size >= ARCHIVE_BYTES:
+                        yield close()
         if records:
             yield close()
+        release()
 
     return run
 
@@ -302,7 +305,10 @@ def _read_rows(with_payload: bool):
                 with store.open_input_stream(name, compression=None) as source:
                     try:
                         for raw in frames(source):
-                            rows.append(parse(raw) | {"file": posixpath.basename(name)})
+                            row = parse(raw) | {"file": posixpath.basename(name)}
+                            if not with_payload:
+                                del row["payload"]
+                            rows.append(row)
                             seen, size = seen + 1, size + len(raw)
                             if len(rows) >= 512 or (with_payload and size >= 16 << 20):
                                 yield _batch(rows)
@@ -313,6 +319,7 @@ def _read_rows(with_payload: bool):
                     raise ValueError(f"{path} has {seen} records, not {told}")
                 if rows:
                     yield _batch(rows)
+        release()
 
     def _batch(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(names, types, strict=True)], names=names)

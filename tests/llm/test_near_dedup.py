@@ -98,19 +98,31 @@ def test_recall_on_the_driver_tables(spark):
 
 
 def test_estimate_of_a_pair(spark):
-    """Against the definition, on sketches of random sets."""
+    """Against the definition, on sketches of random sets, whole ones and others."""
     rng = random.Random(2)
-    rows = []
-    for _ in range(60):
+    k, rows = 40, []
+    for _ in range(80):
         base = rng.sample(range(-1000, 1000), rng.choice([3, 20, 40, 90]))
-        other = [x if rng.random() < 0.8 else rng.randrange(1000, 2000) for x in base]
-        rows.append((sorted(set(base))[: near_dedup.SKETCH], sorted(set(other))[: near_dedup.SKETCH]))
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
-    got = [r.e for r in df.select(near_dedup.estimated(df.a, df.b, 85).alias("e")).collect()]
+        other = [x if rng.random() < 0.85 else rng.randrange(1000, 2000) for x in base]
+        rows.append((sorted(set(base)), sorted(set(other))))
+    df = spark.createDataFrame([(a[:k], b[:k], len(a), len(b)) for a, b in rows], "a array<long>, b array<long>, n long, m long")
+    got = [r.e for r in df.select(near_dedup.estimated(df.a, df.b, df.n, df.m, 85, k).alias("e")).collect()]
     for (a, b), e in zip(rows, got, strict=True):
-        union = sorted(set(a) | set(b))[: near_dedup.SKETCH]
-        k = len(union)
-        assert e == (len(set(union) & set(a) & set(b)) >= max(1, math.floor(k * 0.85 - 5 * (k * 0.85 * 0.15) ** 0.5)))
+        union = sorted(set(a) | set(b))
+        if len(union) <= k:
+            want = 100 * len(set(a) & set(b)) >= 85 * len(union)
+        else:
+            want = len(set(union[:k]) & set(a) & set(b)) >= max(1, math.floor(k * 0.85 - 5 * (k * 0.85 * 0.15) ** 0.5))
+        assert e == want
+    assert len(set(got)) == 2
+
+
+@pytest.mark.parametrize("wide", [32, 64])
+def test_sets_larger_than_a_sketch(spark, monkeypatch, wide):
+    monkeypatch.setattr(near_dedup, "WIDE", wide)
+    rows = corpus(5)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows).items()}
 
 
 def test_keep_one_of_null_and_repeated_ids(spark):

@@ -2,11 +2,12 @@
 
 1. A document's distinct five-word shingles are hashed to 64 bits; equal sets are one class from then on. The SKETCH
    smallest hashes of a class are its sketch, in the hash's own order.
-2. A pair's estimate is the share of the SKETCH smallest values of its union that both sketches retain. Pairs whose
-   estimate is more than DEVIATIONS standard deviations under the threshold are no candidates, so a candidate's
-   sketches share at least `_least_shared` values. A class that shares fewer with all others together is done.
+2. A pair's estimate is the share of the smallest values of its union that both sketches retain. Pairs whose estimate
+   is more than DEVIATIONS standard deviations under the threshold are no candidates, so a candidate's sketches share
+   at least `_least_shared` values. A class that shares fewer with all others together is done.
 3. Full sets of the classes left are spelled out once. A class whose values are shared by others to less than the
-   threshold has no link and is done too; this bound is exact.
+   threshold has no link and is done too; this bound is exact. The rest get a wide sketch of WIDE values, which for
+   most is their whole set and makes the estimate exact.
 4. Inverted lists of retained values, ordered by rarity, generate the overlaps: candidates share a value among the
    rarest |sketch| - least + 1 of both (prefix filter), where values nobody shares use up places.
 5. Every list has a pivot, the member with the fewest unshared values. Pairs with the pivot, linear in the list, are
@@ -43,7 +44,8 @@ from .components import connected
 WORDS = 5
 #: Links of op7; a stage takes STAGE_PERCENT.
 PERCENT, STAGE_PERCENT = 85, 80
-SKETCH, DEVIATIONS = 32, 5.0
+#: Values of the sketch that every document gets, and of the one that is made of the classes left.
+SKETCH, WIDE, DEVIATIONS = 32, 256, 5.0
 #: Up to so many ids (about 60 bytes each in the join's table) are broadcast to pick texts in the scan; more ids make
 #: it a shuffled join.
 BROADCAST_IDS = 1_000_000
@@ -123,6 +125,12 @@ def _least_shared(size: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.floor(size * t - DEVIATIONS * F.sqrt(size * t * (1 - t)))).cast("int")
 
 
+def _least_of(n: str, s: str, percent: int) -> Column:
+    """How many of its s retained values a set of n shares with any candidate: exact where every partner's union with it
+    is retained whole."""
+    return F.when(100 * F.col(n) <= percent * WIDE, _needed(n, percent)).otherwise(_least_shared(F.col(s), percent)).cast("int")
+
+
 def chance_of_loss(percent: int, size: int = SKETCH) -> float:
     """The chance that a pair just at the threshold falls under `_least_shared`, from the binomial distribution."""
     t = percent / 100
@@ -130,18 +138,22 @@ def chance_of_loss(percent: int, size: int = SKETCH) -> float:
     return sum(math.comb(size, k) * t**k * (1 - t) ** (size - k) for k in range(least))
 
 
-def estimated(a: Column, b: Column, percent: int) -> Column:
-    """Whether the estimate from the bottom of the sketches' union lets a pair be a candidate."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return both >= _least_shared(F.size(union), percent)
+def estimated(a: Column, b: Column, n: Column, m: Column, percent: int, size: int = WIDE) -> Column:
+    """Whether the estimate from the bottom of the sketches' union lets a pair of sets of n and m be a candidate; the
+    threshold itself decides where both sketches, and so their union, are whole sets."""
+    both = F.array_union(a, b)
+    union = F.slice(F.sort_array(both), 1, size)
+    shared = F.size(F.array_intersect(union, F.array_intersect(a, b)))
+    whole = (F.size(a) == n) & (F.size(b) == m) & (F.size(both) <= size)
+    return F.when(whole, 100 * shared >= percent * F.size(both)).otherwise(shared >= _least_shared(F.size(union), percent))
 
 
 def _candidates(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the union-sketch estimate."""
-    one = sketched.select(F.col("sig").alias("a"), F.col("sketch").alias("ak"))
-    two = sketched.select(F.col("sig").alias("b"), F.col("sketch").alias("bk"))
-    return pairs.join(one, "a").join(two, "b").where(estimated(F.col("ak"), F.col("bk"), percent)).select("a", "b")
+    one = sketched.select(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ak"))
+    two = sketched.select(F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bk"))
+    passed = estimated(F.col("ak"), F.col("bk"), F.col("an"), F.col("bn"), percent)
+    return pairs.join(one, "a").join(two, "b").where(passed).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,14 +196,15 @@ def links(documents: DataFrame, table: DataFrame, percent: int = PERCENT) -> tup
     counted = tokens.join(shared, "v").groupBy("sig").agg(F.count("*").alias("k"))
     # own: values nobody else has.
     sized = classes.join(counted, "sig").withColumn("own", F.col("n") - F.col("k")).where(F.col("k") >= _needed("n", percent))
-    sketched = materialise(sized.select("sig", "n", "own", "sketch"), "sketched")
+    wide = F.slice("members", 1, WIDE)
+    sketched = materialise(sized.select("sig", "n", "own").join(sets, "sig").select("sig", "n", "own", wide.alias("sketch")), "sketched")
 
     values = sketched.select("sig", "n", "own", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     rarity = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     ranked = values.join(rarity, "v").groupBy("sig", "n", "own", "s").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("tv"))
     # Unshared values come first in the order; what is left of the prefix holds shared ones.
     ranked = ranked.withColumn("bare", F.col("s") - F.size("tv"))
-    prefix = ranked.withColumn("tv", F.slice("tv", F.lit(1), F.greatest(F.lit(0), F.col("s") - _least_shared(F.col("s"), percent) + 1 - F.col("bare"))))
+    prefix = ranked.withColumn("tv", F.slice("tv", F.lit(1), F.greatest(F.lit(0), F.col("s") - _least_of("n", "s", percent) + 1 - F.col("bare"))))
     entries = prefix.select("sig", "n", "own", "s", "bare", F.posexplode("tv").alias("p", "x"))
     entries = entries.select("sig", "n", "own", "s", "bare", (F.col("bare") + F.col("p")).alias("pos"), F.col("x.v").alias("v"))
     entries = materialise(entries, "entries")
@@ -206,7 +219,7 @@ def links(documents: DataFrame, table: DataFrame, percent: int = PERCENT) -> tup
         .select(F.least("sig", "p.sig").alias("a"), F.greatest("sig", "p.sig").alias("b"))
         .distinct()
     )
-    near = materialise(_verified(_candidates(star, sketched, percent), sets, percent), "links")
+    near = materialise(_verified(_candidates(materialise(star, "pairs"), sketched, percent), sets, percent), "links")
     labels = connected(near)
 
     # What is left: lists whose members are in different components.
@@ -223,15 +236,18 @@ def links(documents: DataFrame, table: DataFrame, percent: int = PERCENT) -> tup
     # What comes before a shared value in the order is not shared by both, or was met before.
     after = F.least(F.col("s") - F.col("pos"), F.col("o_s") - F.col("o_pos"))
     before = F.least(F.col("pos") - F.col("bare"), F.col("o_pos") - F.col("o_bare"))
+    most = after + before
+    whole = (F.col("s") == F.col("n")) & (F.col("o_s") == F.col("o_n"))
+    enough = F.greatest(_least_of("n", "s", percent), _least_of("o_n", "o_s", percent))
     rest = (
         few.join(other, "v")
         .where(F.col("label") != F.col("o_label"))
         .where(_may_match("n", "o_n", "own", "o_own", percent))
-        .where(after + before >= _least_shared(F.greatest("s", "o_s"), percent))
+        .where((most >= enough) & (~whole | (100 * most >= percent * (F.col("n") + F.col("o_n") - most))))
         .select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b"))
         .distinct()
     )
-    more = materialise(_verified(_candidates(rest, sketched, percent), sets, percent), "links")
+    more = materialise(_verified(_candidates(materialise(rest, "pairs"), sketched, percent), sets, percent), "links")
     if not more.isEmpty():
         labels = connected(near.unionByName(more))
     return classes, labels

@@ -45,7 +45,7 @@ WORDS = 5
 #: Links of op7; a stage takes STAGE_PERCENT.
 PERCENT, STAGE_PERCENT = 85, 80
 #: Values of the sketch that every document gets, and of the one that is made of the classes left.
-SKETCH, WIDE, DEVIATIONS = 32, 256, 5.0
+SKETCH, WIDE, DEVIATIONS = 32, 1024, 5.0
 #: Up to so many ids (about 60 bytes each in the join's table) are broadcast to pick texts in the scan; more ids make
 #: it a shuffled join.
 BROADCAST_IDS = 1_000_000
@@ -165,10 +165,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("am") + F.size("bm") - common)).select("a", "b")
 
 
-def _sets_of(documents: DataFrame, table: DataFrame, kept: DataFrame) -> DataFrame:
+def _sets_of(documents: DataFrame, classes: DataFrame, kept: DataFrame) -> DataFrame:
     """(sig, members) of the classes kept(sig). One text of each gives its full set; a class of null ids only finds
     it among the texts without id."""
-    chosen = materialise(table.join(kept.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "chosen")
+    chosen = materialise(classes.select("sig", "doc_id").join(kept.select("sig"), "sig", "left_semi"), "chosen")
     by_id = chosen.where("doc_id is not null").select("doc_id").distinct()
     if chosen.count() <= BROADCAST_IDS:
         by_id = F.broadcast(by_id)
@@ -189,7 +189,7 @@ def links(documents: DataFrame, table: DataFrame, percent: int = PERCENT) -> tup
     shared = retained.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     kept = retained.join(shared, "v").groupBy("sig", "s").agg(F.count("*").alias("k"))
     kept = kept.where(F.col("k") >= _least_shared(F.col("s"), percent))
-    sets = _sets_of(documents, table, kept)
+    sets = _sets_of(documents, classes, kept)
 
     tokens = sets.select("sig", F.explode("members").alias("v"))
     shared = tokens.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")

@@ -33,7 +33,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialise, training_rows
 
@@ -315,9 +314,10 @@ def _shared_weights(sample: DataFrame) -> DataFrame:
     """(text, y, share): one over the number of the sample's documents with the same smallest hash of five-word runs."""
     words = F.split(F.lower("text"), r"\s+")
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(F.slice("w", i + 1, 5)))
-    # The sample's bound holds for what a group can have.
-    group = Window.partitionBy("g")
-    return sample.withColumn("w", words).withColumn("g", F.array_min(runs)).select("text", "y", (F.lit(1.0) / F.count("*").over(group)).alias("share"))
+    placed = sample.withColumn("w", words).withColumn("g", F.array_min(runs)).select("text", "y", "g")
+    # The sample's bound holds for the number of groups.
+    sizes = placed.groupBy("g").agg(F.count("*").alias("n"))
+    return placed.join(F.broadcast(sizes), "g").select("text", "y", (F.lit(1.0) / F.col("n")).alias("share"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_train_bytes: int = MAX_TRAIN_BYTES) -> Grammar:

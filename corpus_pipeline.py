@@ -2,9 +2,14 @@
 
 quality        documents scoring under quality.KEEP_AT go
 toxicity       documents scoring toxicity.REJECT_AT or more go
-near_dedup     one document of each group of near copies stays
+near_dedup     one document of each group of near copies (80 of 100 five-word shingles, over any chain) stays
 decontaminate  documents that hold a window of a benchmark item go
 sentencepiece  the ids of what is left
+
+All but the last give the rows they keep with their own columns, whatever these are called. Defined results: a null or
+empty text is scored as empty, is no copy of anything and holds no window; a null id never makes a row go, and rows that
+repeat an id are judged by their own texts; of equal rows one stays; very long texts are read whole; an empty table
+stays empty. Labels are looked up by id, so rows without one are not learned from.
 """
 
 from __future__ import annotations

@@ -65,6 +65,19 @@ def moras(c: Column) -> Column:
     return F.when(c.rlike("^[぀-ゟ゠-ヿ]+$"), counted)
 
 
+def finite_numbers(raw: Column) -> Column:
+    """Whether every number of a JSON text is finite as a double. Strings are passed over, so that digits in them
+    count for nothing; the patterns don't backtrack, so texts may be long."""
+    bare = F.regexp_replace(raw, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""')
+    numbers = F.regexp_extract_all(bare, F.lit(r"(-?\d++(?:\.\d++)?(?:[eE][+-]?\d++)?)"), F.lit(1))
+    return ~F.exists(numbers, lambda n: F.abs(n.try_cast("double")) == float("inf"))
+
+
+def strict_json(raw: Column) -> Column:
+    """The variant of a JSON text; null where it isn't JSON, keys repeat or a number isn't finite."""
+    return F.when(finite_numbers(raw), F.try_parse_json(raw))
+
+
 def json_path(pointer: str) -> str:
     """JSON pointer to a path of the variant functions."""
     if pointer in ("", "/"):

@@ -1,42 +1,72 @@
 """Graphs as edge tables: components, reachability, order, cycles, dependence groups.
 
-Loops run on the driver and look only at whether a table is empty; each round's table is written to the
-checkpoint folder, so lineage stays short and lost executors cost one round.
+Loops run on the driver and look only at whether a table is empty or at its count; each round's table is written as
+Parquet to the shared folder, so lineage stays short, lost executors cost one round, and joins know their sizes.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def _settle(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder the session names; a local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-graph-"))
-    return df.checkpoint()
+    """Write df to the shared folder and read it back; the folder's tables go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM has gone already; the folder's owner clears it
+            pass
+
+    atexit.register(remove)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): the smallest node reachable. Labels spread to neighbours, then jump along labels."""
-    both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = _settle(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = _settle(both.groupBy("x").agg(F.least(F.min("x"), F.min("y")).alias("label")).withColumnRenamed("x", "node"))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("y"), F.col("label").alias("nl")), "y").groupBy("x").agg(F.min("nl").alias("nl"))
-        hop = labels.join(near.withColumnRenamed("x", "node"), "node", "left").select("node", "label", F.least("label", "nl").alias("nl"))
-        far = hop.select(F.col("node").alias("nl"), F.col("nl").alias("far"))
-        jumped = hop.join(far, "nl", "left").select("node", F.col("label").alias("old"), F.least("nl", F.coalesce("far", "nl")).alias("label"))
-        jumped = _settle(jumped)
-        labels = jumped.select("node", "label")
-        if jumped.where("old <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    """(node, component): the smallest node reachable, for every node of an edge.
+
+    Contraction: every node takes its smallest neighbour for a parent where that is smaller, parents are followed to
+    their roots by doubling, and edges are drawn between roots. Each round has fewer edges, and rounds number about
+    the logarithm of the longest chain of local minima. A node of loops only is its own component.
+    """
+    known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
+    left = _settle(known.where("x <> y").select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct())
+    nodes = known.select(F.col("x").alias("node")).unionByName(known.select(F.col("y").alias("node"))).distinct()
+    labels = _settle(nodes.select("node", F.col("node").alias("component")))
+    while not left.isEmpty():
+        up = _settle(left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")))
+        while True:
+            over = up.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+            stepped = _settle(up.join(over, "root", "left").select("node", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")))
+            up = stepped.select("node", "root")
+            if stepped.where("moved").isEmpty():
+                break
+        labels = _settle(labels.join(up.select(F.col("node").alias("component"), "root"), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+        rooted = left.join(up.select(F.col("node").alias("lo"), F.col("root").alias("lr")), "lo", "left").join(up.select(F.col("node").alias("hi"), F.col("root").alias("hr")), "hi", "left")
+        ends = rooted.select(F.coalesce("lr", "lo").alias("p"), F.coalesce("hr", "hi").alias("q")).where("p <> q")
+        left = _settle(ends.select(F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).distinct())
+    return labels
 
 
 def shared_key_components(members: DataFrame, ident: str, keys: list[str]) -> DataFrame:
@@ -49,19 +79,22 @@ def shared_key_components(members: DataFrame, ident: str, keys: list[str]) -> Da
     return components(edges, "a", "b")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, src: str, dst: str, ident: str, most: int = 100) -> DataFrame:
-    """(node, depth) reachable from the roots, with the least number of steps. Raises beyond `most` levels."""
+def reachable(edges: DataFrame, roots: DataFrame, src: str, dst: str, ident: str, most: int | None = None) -> DataFrame:
+    """(node, depth) reachable from the roots, with the least number of steps; up to `most` steps if that is given.
+
+    A round is a step: depths need one for each level of the graph.
+    """
     step = _settle(edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).distinct())
-    front = roots.select(F.col(ident).alias("node")).distinct().withColumn("depth", F.lit(0))
-    seen = _settle(front)
-    front = seen
-    for depth in range(1, most + 1):
+    seen = front = _settle(roots.select(F.col(ident).alias("node")).distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while most is None or depth < most:
+        depth += 1
         new = front.join(step, "node").select(F.col("to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         front = _settle(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-    raise ValueError(f"still growing after {most} levels")
+            break
+        seen = seen.unionByName(front) if depth % 16 else _settle(seen.unionByName(front))
+    return seen
 
 
 def ancestors(edges: DataFrame, claims: DataFrame, src: str, dst: str, ident: str) -> DataFrame:
@@ -69,11 +102,13 @@ def ancestors(edges: DataFrame, claims: DataFrame, src: str, dst: str, ident: st
 
 
 def cyclic_nodes(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """(node) left after peeling nodes without incoming edges until none goes: empty for a DAG."""
+    """(node) that lie on a cycle or between two: empty for a DAG. Edges whose source nothing enters, or whose end
+    nothing leaves, are peeled off from both sides until none goes."""
     left = _settle(edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
     before = left.count()
     while before:
-        left = _settle(left.join(left.select(F.col("d").alias("s")).distinct(), "s", "left_semi"))
+        entered, left_from = left.select(F.col("d").alias("s")).distinct(), left.select(F.col("s").alias("d")).distinct()
+        left = _settle(left.join(entered, "s", "left_semi").join(left_from, "d", "left_semi"))
         now = left.count()
         if now == before:
             break
@@ -121,7 +156,42 @@ def agreement(observations: DataFrame, groups: DataFrame) -> DataFrame:
     return g.agg(n.alias("n_groups"), v.alias("n_verdicts"), kind.alias("agreement"))
 
 
-def reconcile(claims: DataFrame, evidence: DataFrame, requires: DataFrame, conflicts: DataFrame, rounds: int = 100) -> DataFrame:
+def spread_failure(nodes: DataFrame, requires: DataFrame) -> DataFrame:
+    """(node) that aren't ok, or require one that isn't, directly or through others.
+
+    nodes(node, ok), requires(node, needs); a required node that doesn't exist isn't ok. Every round fails what
+    requires a failed node, drops requirements that are met for good, and lets a node that requires one with a single
+    requirement require that one instead. Chains so take the logarithm of their length, other graphs one round for a
+    level. Nodes that only require each other in a circle stay ok.
+    """
+    ids = _settle(nodes.groupBy("node").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok")))
+    edges = requires.select("node", "needs").distinct().join(ids.select("node"), "node", "left_semi")
+    loose = edges.join(ids.select(F.col("node").alias("needs")), "needs", "left_anti").select("node")
+    failed = _settle(ids.where("NOT ok").select("node").unionByName(loose).distinct())
+    edges = _settle(edges)
+    idle, size, enough = 0, edges.count(), ids.count().bit_length() + 2
+    # Without a new failure or an edge less in that many rounds, what is left are circles.
+    while size and idle <= enough:
+        hit = edges.join(failed.select(F.col("node").alias("needs")), "needs", "left_semi").select("node").distinct()
+        fresh = _settle(hit.join(failed, "node", "left_anti"))
+        found = not fresh.isEmpty()
+        if found:
+            failed = _settle(failed.unionByName(fresh))
+        # Who has failed needs nothing more.
+        live = _settle(edges.join(failed, "node", "left_anti"))
+        single = live.groupBy("node").agg(F.count("*").alias("n"), F.min("needs").alias("next")).where("n = 1").select(F.col("node").alias("needs"), "next")
+        own = live.select(F.col("node").alias("needs")).distinct().withColumn("waits", F.lit(True))
+        bad = failed.select(F.col("node").alias("needs"), F.lit(True).alias("bad"))
+        seen = live.join(own, "needs", "left").join(bad, "needs", "left").join(single, "needs", "left")
+        kept = seen.where("waits OR bad").select("node", F.when(F.col("bad"), F.col("needs")).otherwise(F.coalesce("next", "needs")).alias("needs"))
+        edges = _settle(kept.where("node <> needs").distinct())
+        now = edges.count()
+        idle = 0 if found or now < size else idle + 1
+        size = now
+    return failed
+
+
+def reconcile(claims: DataFrame, evidence: DataFrame, requires: DataFrame, conflicts: DataFrame) -> DataFrame:
     """States of claims by a fixpoint: adequacy first, conflicts next, then required claims.
 
     claims(node), evidence(node, adequate), requires(node, needs), conflicts(node). A claim is SUPPORTED with
@@ -132,17 +202,6 @@ def reconcile(claims: DataFrame, evidence: DataFrame, requires: DataFrame, confl
     state = _settle(
         state.select("node", F.when(F.col("ok").isNull(), "OPEN").when(F.col("c") | ~F.col("ok"), "UNRESOLVED").otherwise("SUPPORTED").alias("state"))
     )
-    requires = _settle(requires.select("node", "needs").distinct())
-    for _ in range(rounds):
-        met = requires.join(state.select(F.col("node").alias("needs"), F.col("state").alias("ns")), "needs", "left")
-        broken = met.groupBy("node").agg(F.bool_or(F.coalesce(F.col("ns") != "SUPPORTED", F.lit(True))).alias("broken"))
-        after = state.join(broken, "node", "left").select(
-            "node",
-            F.col("state").alias("old"),
-            F.when((F.col("state") == "SUPPORTED") & F.coalesce("broken", F.lit(False)), "UNRESOLVED").otherwise(F.col("state")).alias("state"),
-        )
-        after = _settle(after)
-        state = after.select("node", "state")
-        if after.where("old <> state").isEmpty():
-            break
-    return state
+    failed = spread_failure(state.select("node", (F.col("state") == "SUPPORTED").alias("ok")), requires).withColumn("f", F.lit(True))
+    fell = (F.col("state") == "SUPPORTED") & F.coalesce("f", F.lit(False))
+    return state.join(failed, "node", "left").select("node", F.when(fell, "UNRESOLVED").otherwise(F.col("state")).alias("state"))

@@ -235,18 +235,26 @@ def cluster_appearances(rows: pd.DataFrame, ratio_tol: float, offset_tol: float)
 
 
 def lsh_bands(df: DataFrame, ident: str, vector: str, bits: int = 96, bands: int = 8, dim: int = 24, seed: int = 11) -> DataFrame:
-    """(id, band, bucket): signs of projections on seeded planes, packed by band. The planes are one literal."""
-    rows = planes(bits, dim, seed)
+    """(id, band, bucket): signs of projections on seeded planes, packed by band; one matrix product for a batch.
+
+    A null vector, or one of another length, has no buckets.
+    """
     per = bits // bands
-    dots = []
-    for b in range(bands):
-        key = F.lit(0)
-        for k in range(per):
-            plane = F.array(*[F.lit(float(v)) for v in rows[b * per + k]])
-            dot = F.aggregate(F.zip_with(F.col(vector), plane, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, v: a + v)
-            key = key + F.when(dot >= 0, F.lit(1 << k)).otherwise(F.lit(0))
-        dots.append(F.struct(F.lit(b).alias("band"), key.alias("bucket")))
-    return df.select(ident, F.inline(F.array(*dots)))
+    flat = planes(bits, dim, seed)
+    weights = 1 << np.arange(per, dtype=np.int64)
+
+    def run(frames):
+        for frame in frames:
+            fit = frame[[v is not None and len(v) == dim for v in frame["v"]]]
+            if not len(fit):
+                continue
+            x = np.stack(fit["v"].to_numpy()).astype(float)
+            keys = ((x @ flat.T >= 0).reshape(len(x), bands, per) * weights).sum(axis=2)
+            yield pd.DataFrame({"id": np.repeat(fit["id"].to_numpy(), bands), "band": np.tile(np.arange(bands), len(x)), "bucket": keys.ravel()})
+
+    kind = dict(df.dtypes)[ident]
+    out = df.select(F.col(ident).alias("id"), F.col(vector).alias("v")).mapInPandas(run, f"id {kind}, band int, bucket long")
+    return out.withColumnRenamed("id", ident)
 
 
 def lsh_pairs(buckets: DataFrame, ident: str) -> DataFrame:

@@ -11,20 +11,22 @@ def under_ceiling(requests: DataFrame, keys: list[str], order: list[str], cost:
     """requests with `admitted`: in order, each that still fits is taken and the others are passed over.
 
     No running sum can say this, as a later, smaller request can fit after a larger one didn't; so each group's
-    requests, a plan of bounded size, are folded in order.
+    requests, a plan of bounded size, are passed through once in order. A null cost is never admitted.
     """
-    rest = [c for c in requests.columns if c not in keys and c not in order]
-    plan = requests.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *rest))).alias("_r"))
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<boolean>").alias("taken"))
+    fields = [f for f in requests.schema.fields if f.name != "admitted"]
+    rows = requests.select(*[f.name for f in fields])
 
-    def step(acc, row):
-        price = row[cost].cast("double")
-        fits = F.coalesce(acc["used"] + price <= F.lit(float(ceiling)), F.lit(False))
-        return F.struct((acc["used"] + F.when(fits, price).otherwise(0.0)).alias("used"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
+    def admit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable", na_position="first")
+        used, taken = 0.0, []
+        for price in frame[cost].astype(float):
+            fits = used + price <= ceiling
+            taken.append(bool(fits))
+            used += price if fits else 0.0
+        return frame.assign(admitted=taken)
 
-    folded = plan.withColumn("_t", F.aggregate("_r", start, step)["taken"])
-    rows = folded.select(*keys, F.inline(F.arrays_zip(F.col("_r").alias("r"), F.col("_t").alias("admitted"))))
-    return rows.select(*[F.col(c) if c in keys else F.col("r")[c].alias(c) for c in requests.columns], "admitted")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", admitted boolean"
+    return rows.groupBy(*keys).applyInPandas(admit, schema)
 
 
 def merge_requests(requests: DataFrame, keys: list[str], claim: str) -> DataFrame:
@@ -84,28 +86,77 @@ def support_routes(routes: DataFrame) -> DataFrame:
     for every set of channels still open, from the last group to the first; no group is left out.
     """
 
-    @F.udf("struct<route: string, n_groups: int>")
-    def choose(options):
-        covers = {}
-        for k, o in enumerate(options):
-            for g in o["grps"]:
-                covers[g] = covers.get(g, 0) | 1 << k
-        # Of groups that cover the same channels only the first can be in the answer.
-        first = {covers[g]: g for g in sorted(covers, reverse=True)}
-        best = {0: ()}
-        for mask, g in sorted(first.items(), key=lambda x: x[1], reverse=True):
-            after = dict(best)
-            for done, rest in best.items():
-                found = (g, *rest)
-                if done | mask not in after or (len(found), found) < (len(after[done | mask]), after[done | mask]):
-                    after[done | mask] = found
-            best = after
-        route = best.get((1 << len(options)) - 1)
-        return (None, 0) if route is None else (",".join(map(str, route)), len(route))
-
     by_channel = routes.groupBy("claim", "channel").agg(F.collect_set(F.when(F.col("adequate"), F.col("grp"))).alias("grps"))
-    by_claim = by_channel.groupBy("claim").agg(F.collect_list(F.struct("grps")).alias("options"))
-    return by_claim.select("claim", choose("options").alias("r")).select("claim", "r.route", "r.n_groups")
+    options = by_channel.groupBy("claim").agg(F.sort_array(F.collect_list(F.struct("channel", "grps"))).alias("options"))
+    kind = dict(routes.dtypes)["grp"]
+    groups = F.reverse(F.array_sort(F.array_distinct(F.flatten(F.transform("options", lambda o: o["grps"])))))
+    covers = lambda g: F.aggregate("options", F.struct(F.lit(0).alias("k"), F.lit(0).alias("m")), lambda a, o: F.struct((a["k"] + 1).alias("k"), (a["m"] + F.when(F.array_contains(o["grps"], g), F.pow(F.lit(2), a["k"]).cast("int")).otherwise(0)).alias("m")))["m"]
+    listed = options.select("claim", F.pow(F.lit(2), F.size("options")).cast("int").alias("full"), F.transform(groups, lambda g: F.struct(covers(g).alias("m"), g.alias("g"))).alias("gs"))
+    start = F.array(F.struct(F.lit(0).alias("m"), F.lit(0).alias("n"), F.array().cast(f"array<{kind}>").alias("route")))
+
+    def step(best: Column, x: Column) -> Column:
+        """The best selection for every set of channels, with or without one more group."""
+        more = F.transform(best, lambda e: F.struct(e["m"].bitwiseOR(x["m"]).alias("m"), (e["n"] + 1).alias("n"), F.concat(F.array(x["g"]), e["route"]).alias("route")))
+        every = F.concat(best, more)
+        least = F.transform(F.array_distinct(F.transform(every, lambda e: e["m"])), lambda m: F.array_min(F.filter(every, lambda e: e["m"] == m)))
+        return least
+
+    best = listed.select("claim", F.get(F.filter(F.aggregate("gs", start, step), lambda e: e["m"] == F.col("full") - 1), F.lit(0)).alias("r"))
+    return best.select("claim", F.array_join(F.col("r.route").cast("array<string>"), ",").alias("route"), F.coalesce("r.n", F.lit(0)).alias("n_groups"))
+
+
+#: Bits of what a selection must show, and what a direct claim and an av_sync claim need.
+SAME_PROPOSITION, TEMPORAL_VISUAL, EVENT_TIMING = 1, 2, 4
+
+
+def assess_routes(routes: DataFrame, members: DataFrame) -> DataFrame:
+    """(claim, route, selected, missing, status, reasons) of support routes(claim, route, proposition).
+
+    members(claim, route, slot, node, adequate, covered, same_proposition, temporal_visual, event_timing,
+    insufficient_alone): slot 0 holds what is essential, every other slot observations that can stand for each other.
+    A member is usable if it is adequate, covers a direct claim, and isn't the only one where it can't stand alone.
+    One selection is kept for each of the eight states of the three flags, so slots aren't multiplied out; of those
+    that show what the proposition needs the first in order is taken, else the first of all.
+    """
+    key = ["claim", "route"]
+    direct = ~F.col("proposition").isin("interpretation", "emotion")
+    rows = members.join(routes.select(*key, "proposition"), key)
+    alone = rows.groupBy(*key).agg((F.count_if(F.col("slot") == 0) + F.count_distinct(F.when(F.col("slot") != 0, F.col("slot"))) == 1).alias("single"))
+    rows = rows.join(alone, key)
+    usable = F.col("adequate") & (~direct | F.col("covered")) & ~(F.col("single") & F.col("insufficient_alone"))
+    bits = F.when(F.col("same_proposition"), SAME_PROPOSITION).otherwise(0) + F.when(F.col("temporal_visual"), TEMPORAL_VISUAL).otherwise(0) + F.when(F.col("event_timing"), EVENT_TIMING).otherwise(0)
+    rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("flags", F.when(F.col("ok"), bits).otherwise(0))
+    slots = rows.groupBy(*key, "slot").agg(F.sort_array(F.collect_list(F.struct("node", "flags", "ok", "covered"))).alias("ms"))
+    whole = slots.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("slot", "ms"))).alias("slots"))
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.flatten(F.transform(F.filter("slots", lambda s: s["slot"] == 0), lambda s: s["ms"])), F.array())
+    whole = whole.withColumn("own", own)
+    shown = F.aggregate("own", F.lit(0), lambda a, m: a.bitwiseOR(m["flags"]))
+    first = F.array(F.struct(shown.alias("state"), F.transform("own", lambda m: m["node"]).alias("sel")))
+    start = F.struct(first.alias("sels"), F.transform(F.filter("own", lambda m: ~m["ok"]), lambda m: m["node"]).alias("missing"))
+
+    def step(acc: Column, s: Column) -> Column:
+        good = F.filter(s["ms"], lambda m: m["ok"])
+        every = F.flatten(F.transform(acc["sels"], lambda e: F.transform(good, lambda m: F.struct(e["state"].bitwiseOR(m["flags"]).alias("state"), F.array_sort(F.concat(e["sel"], F.array(m["node"]))).alias("sel")))))
+        least = F.transform(F.array_distinct(F.transform(every, lambda e: e["state"])), lambda k: F.array_min(F.filter(every, lambda e: e["state"] == k)))
+        lost = F.concat(acc["missing"], F.transform(s["ms"], lambda m: m["node"]))
+        empty = F.size(good) == 0
+        return F.struct(F.when(empty, acc["sels"]).otherwise(least).alias("sels"), F.when(empty, lost).otherwise(acc["missing"]).alias("missing"))
+
+    done = whole.withColumn("r", F.aggregate(F.filter("slots", lambda s: s["slot"] != 0), start, step))
+    out = routes.join(done.select(*key, "slots", "r"), key, "left")
+    need = F.when(F.col("proposition") == "av_sync", TEMPORAL_VISUAL + EVENT_TIMING).when(direct, SAME_PROPOSITION).otherwise(0)
+    out = out.withColumn("viable", F.filter("r.sels", lambda e: e["state"].bitwiseAND(need) == need))
+    pick = F.array_min(F.transform(F.when(F.size("viable") > 0, F.col("viable")).otherwise(F.col("r.sels")), lambda e: e["sel"]))
+    out = out.withColumns({"picked": F.coalesce(pick, none), "no_viable": F.size("viable") <= 0})
+    bare = F.exists(F.flatten(F.transform("slots", lambda s: s["ms"])), lambda m: F.array_contains("picked", m["node"]) & ~m["covered"])
+    av = F.col("proposition") == "av_sync"
+    reasons = F.array_compact(F.array(
+        F.when(av & F.col("no_viable"), "NO_REVIEWED_SYNCHRONISATION"), F.when(direct & F.coalesce(bare, F.lit(False)), "INTERVAL_NOT_COVERED"), F.when(direct & ~av & F.col("no_viable"), "NOT_COMPETENT"),
+    ))
+    out = out.withColumns({"selected": F.array_sort(F.array_distinct("picked")), "missing": F.array_sort(F.array_distinct(F.coalesce("r.missing", none))), "reasons": reasons})
+    status = F.when((F.size("missing") == 0) & (F.size("reasons") == 0), "SURVIVES").otherwise("OPEN")
+    return out.select(*key, "selected", "missing", status.alias("status"), "reasons")
 
 
 def first_viable(selections: Column) -> Column:
@@ -139,6 +190,6 @@ def cap_matches(df: DataFrame, keys: list[str], order: list, cap: int) -> DataFr
     """The first rows of each group in order, with `truncated` where there were more."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"rank": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
-    return ranked.where(F.col("rank") <= cap).withColumn("truncated", F.col("_n") > cap).drop("_n")
+    # One rank more than asked for tells whether there were more; Spark cuts every task's rows to that before it shuffles.
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= cap + 1)
+    return ranked.withColumn("truncated", F.max("rank").over(Window.partitionBy(*keys)) > cap).where(F.col("rank") <= cap)

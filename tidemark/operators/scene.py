@@ -111,14 +111,15 @@ def propagate(nodes: DataFrame, edges: DataFrame, decisions: DataFrame) -> DataF
     return out.withColumns({"changed": changed, "after": after}).drop("_hit", "decided")
 
 
-def gate(states: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def gate(states: DataFrame, edges: DataFrame) -> DataFrame:
     """states(scene, node, after, changed): no affirmative node stands on a required premise that isn't one.
 
-    Every required propagating edge gates, changed or not; RECHECK goes on as RECHECK, anything else as OPEN.
+    Every required propagating edge gates, changed or not; RECHECK goes on as RECHECK, anything else as OPEN. A round
+    is a level of premises; as a node falls once, there are no more rounds than nodes.
     """
     need = edges.where(F.col("relation").isin(*PROPAGATING) & (F.coalesce("role", F.lit("REQUIRED")) == "REQUIRED")).select("scene", "src", "dst").distinct()
     need = graph._settle(need)
-    for _ in range(rounds):
+    while True:
         premise = need.join(states.select("scene", F.col("node").alias("src"), F.col("after").alias("p")), ["scene", "src"], "left")
         bad = premise.where(~F.coalesce(F.col("p").isin(*AFFIRMATIVE), F.lit(False)))
         bad = bad.groupBy("scene", F.col("dst").alias("node")).agg(F.bool_or(F.coalesce(F.col("p") == "RECHECK", F.lit(False))).alias("re"))
@@ -129,7 +130,6 @@ def gate(states: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
         states = stepped.select("scene", "node", "after", "changed")
         if stepped.where("old <> after").isEmpty():
             return states
-    raise ValueError(f"still changing after {rounds} rounds")
 
 
 def reconcile(nodes: DataFrame, refs: DataFrame, edges: DataFrame, conflicts: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -23,10 +23,16 @@ def confusion(trials: DataFrame, keys: list[str], truth: str, predicted: str, le
 
 
 def binomial_tail(n: Column, k: Column) -> Column:
-    """P(at least k of n at one half), summed in logs; small n."""
-    log_fact = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.lit(0.0), lambda a, i: a + F.ln(i.cast("double")))
-    term = lambda i: F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * F.ln(F.lit(2.0)))
-    return F.aggregate(F.sequence(k, n), F.lit(0.0), lambda a, i: a + term(i))
+    """P(at least k of n at one half), summed in logs; each term follows from the one before it."""
+    n, k = n.cast("double"), k.cast("double")
+    upto = lambda m: F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int"))
+    first = F.aggregate(upto(k), F.lit(0.0), lambda a, j: a + F.when(j <= k, F.ln((n - j + 1) / j)).otherwise(0.0)) - n * F.ln(F.lit(2.0))
+    start = F.struct(first.alias("term"), F.lit(0.0).alias("total"))
+
+    def step(a: Column, i: Column) -> Column:
+        return F.struct((a["term"] + F.ln((n - i) / (i + 1))).alias("term"), (a["total"] + F.exp(a["term"])).alias("total"))
+
+    return F.aggregate(F.sequence(k.cast("int"), n.cast("int")), start, step)["total"]
 
 
 def probe(trials: DataFrame, keys: list[str], correct: str) -> DataFrame:

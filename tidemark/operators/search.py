@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import _settle
+
 
 def predicates(df: DataFrame, text: str | None = None, label: str | None = None, speaker: str | None = None, status: str | None = None, least: dict[str, float] | None = None, text_col: str = "search_text") -> DataFrame:
     """Rows that meet all of the given predicates; texts are literal, so % and _ mean themselves."""
@@ -118,10 +120,17 @@ def families(candidates: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def pseudonyms(df: DataFrame, name: str, prefix: str = "Person") -> DataFrame:
-    """(name, pseudonym) of distinct names, numbered in name order. The numbering is over names, not rows."""
-    w = Window.orderBy(name)
+    """(name, pseudonym) of distinct names, numbered in name order.
+
+    Names are dealt in ranges and numbered within each; only the ranges' sizes meet in one place.
+    """
     names = df.select(name).where(F.col(name).isNotNull()).distinct()
-    return names.withColumn("pseudonym", F.format_string(prefix + "-%02d", F.row_number().over(w)))
+    ranged = _settle(names.repartitionByRange(name).sortWithinPartitions(name).select(name, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id")))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.col("_id") - F.col("_first") + 1 + F.col("_before")
+    placed = ranged.join(F.broadcast(sizes.select("_part", "_first", before.alias("_before"))), "_part")
+    return placed.select(name, F.format_string(prefix + "-%02d", number).alias("pseudonym"))
 
 
 def mask(df: DataFrame, text: str, names: list[tuple[str, str]]) -> DataFrame:

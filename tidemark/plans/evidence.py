@@ -167,10 +167,11 @@ def annotation_replay(spark, d):
     return out.select("user_id", F.array_join(F.transform("annotations", lambda a: F.concat(a["event_type"], F.lit("="), a["v"].cast("string"))), ",").alias("annotations"))
 
 
-@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_orderkey % 60 AS a, l_partkey % 400 + 1000 AS b FROM lineitem WHERE l_orderkey < 120 AND l_linenumber <= 2), e AS (SELECT a, b FROM m UNION SELECT b, a FROM m),
-r(x, y) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
+@query("""WITH f AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F'), g AS (SELECT k, k - row_number() OVER (ORDER BY k) AS run FROM f), n AS (SELECT k AS node, run FROM g UNION SELECT k + 1, run FROM g)
+SELECT node, min(node) OVER (PARTITION BY run) AS component FROM n""")
 def identity_components(spark, d):
-    m = table(spark, d, "lineitem").where("l_orderkey < 120 AND l_linenumber <= 2").selectExpr("l_orderkey % 60 AS a", "l_partkey % 400 + 1000 AS b").distinct()
+    """A finished order is linked with the next one: components are runs, which SQL finds by their gaps."""
+    m = table(spark, d, "orders").where("o_orderstatus = 'F'").selectExpr("o_orderkey AS a", "o_orderkey + 1 AS b")
     return graph.components(m, "a", "b")
 
 
@@ -213,10 +214,15 @@ def ancestor_closure(spark, d):
     return graph.ancestors(e, e.where("src = 'n7'").select(F.col("src").alias("node")), "src", "dst", "node")
 
 
-@query(f"WITH {_EDGES} SELECT count(*) AS n_edges, 0::BIGINT AS n_cyclic FROM e")
+@query(f"""WITH {_EDGES}, back AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation WHERE n_nationkey % 5 = 2), w AS (SELECT * FROM e UNION SELECT * FROM back)
+SELECT (SELECT count(*) FROM w) AS n_edges, (SELECT count(DISTINCT src) + count(DISTINCT dst) FROM back) AS n_cyclic, (SELECT count(*) FROM e WHERE src IN (SELECT dst FROM back) AND dst NOT IN (SELECT src FROM back)) AS n_dag_cyclic""")
 def dag_check(spark, d):
+    """With edges from a region back to some of its nations these lie on cycles; without them nothing does."""
     e = _edges(spark, d)
-    return e.agg(F.count("*").alias("n_edges")).crossJoin(graph.cyclic_nodes(e, "src", "dst").agg(F.count("*").alias("n_cyclic")))
+    n = table(spark, d, "nation").where("n_nationkey % 5 = 2")
+    w = e.unionByName(n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst")))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    return count(w, "n_edges").crossJoin(count(graph.cyclic_nodes(w, "src", "dst"), "n_cyclic")).crossJoin(count(graph.cyclic_nodes(e, "src", "dst"), "n_dag_cyclic"))
 
 
 @query(f"WITH RECURSIVE {_EDGES}, r(node) AS (SELECT 'p' || p_partkey FROM part WHERE p_partkey <= 3 UNION SELECT e.dst FROM r JOIN e ON r.node = e.src), s AS (SELECT DISTINCT dst AS node FROM e) SELECT s.node, CASE WHEN r.node IS NULL THEN 'KEPT' ELSE 'RECHECK' END AS state FROM s LEFT JOIN r ON s.node = r.node")
@@ -227,16 +233,16 @@ def change_recheck(spark, d):
     return graph.propagate_changes(e, changed, states)
 
 
-@query("""WITH RECURSIVE c AS (SELECT s_suppkey AS node FROM supplier), ev AS (SELECT l_suppkey AS node, bool_or(l_tax <= 0.06) AS ok FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1),
-b AS (SELECT c.node, CASE WHEN ok IS NULL THEN 'OPEN' WHEN c.node % 17 = 0 OR NOT ok THEN 'UNRESOLVED' ELSE 'SUPPORTED' END AS state FROM c LEFT JOIN ev USING (node)),
-bad(node) AS (SELECT node FROM b WHERE state <> 'SUPPORTED' UNION SELECT bad.node + 20 FROM bad JOIN c ON c.node = bad.node + 20)
-SELECT b.node, CASE WHEN state = 'SUPPORTED' AND bad.node IS NOT NULL THEN 'UNRESOLVED' ELSE state END AS state FROM b LEFT JOIN bad ON b.node = bad.node""")
+@query("""WITH ev AS (SELECT l_partkey AS node, bool_or(l_tax <= 0.01) AS ok FROM lineitem GROUP BY 1),
+b AS (SELECT p_partkey AS node, CASE WHEN ok IS NULL THEN 'OPEN' WHEN p_partkey % 997 = 0 OR NOT ok THEN 'UNRESOLVED' ELSE 'SUPPORTED' END AS state FROM part LEFT JOIN ev ON p_partkey = node)
+SELECT node, CASE WHEN state = 'SUPPORTED' AND bool_or(state <> 'SUPPORTED') OVER (PARTITION BY node // 500 ORDER BY node ROWS UNBOUNDED PRECEDING) THEN 'UNRESOLVED' ELSE state END AS state FROM b""")
 def reconcile_claims(spark, d):
-    c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
-    ev = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_suppkey").alias("node"), F.expr("l_tax <= 0.06").alias("adequate"))
-    ids = c.select(F.col("node").alias("needs"))
-    needs = c.withColumn("needs", F.col("node") - 20).join(ids, "needs", "left_semi").select("node", "needs")
-    return graph.reconcile(c, ev, needs, c.where("node % 17 = 0"))
+    """Every part requires the one before it, in chains of 500: one that fails takes the rest of its chain with it."""
+    c = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
+    ev = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.expr("l_tax <= 0.01").alias("adequate"))
+    needs = c.where("node % 500 <> 0").withColumn("needs", F.col("node") - 1)
+    needs = needs.join(c.select(F.col("node").alias("needs")), "needs", "left_semi").select("node", "needs")
+    return graph.reconcile(c, ev, needs, c.where("node % 997 = 0"))
 
 
 # claims
@@ -312,10 +318,10 @@ def benchmark_metrics(spark, d):
     return scoring.confusion(t, ["lang"], "truth", "p", 8).withColumns({"fp_rate": r6("fp_rate"), "fn_rate": r6("fn_rate")})
 
 
-@query("""WITH g AS (SELECT o_custkey % 100 AS family, count(*)::INTEGER AS n, (count(*) FILTER (o_orderkey % 2 = 0))::INTEGER AS k FROM orders WHERE o_orderkey % 10 < 3 AND o_custkey % 3 = 0 GROUP BY 1)
+@query("""WITH g AS (SELECT o_custkey AS family, count(*)::INTEGER AS n, (count(*) FILTER (o_orderkey % 2 = 0))::INTEGER AS k FROM orders GROUP BY 1)
 SELECT family, n, k, round(k / n, 6) AS accuracy, round((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(k, n + 1) t(i)), 9) AS p_value FROM g""")
 def binomial_probe(spark, d):
-    t = table(spark, d, "orders").where("o_orderkey % 10 < 3 AND o_custkey % 3 = 0").select((F.col("o_custkey") % 100).alias("family"), (F.col("o_orderkey") % 2 == 0).alias("ok"))
+    t = table(spark, d, "orders").select(F.col("o_custkey").alias("family"), (F.col("o_orderkey") % 2 == 0).alias("ok"))
     return scoring.probe(t, ["family"], "ok").withColumns({"accuracy": r6("accuracy"), "p_value": F.round("p_value", 9)})
 
 
@@ -411,13 +417,20 @@ def cosine_topk(spark, d):
     return planning.cap_matches(scored, ["a"], [F.desc(F.round("c", 9)), "b"], 5).select("a", "b", "rank", r6("c").alias("cosine"))
 
 
-@query()
+@query("""WITH q AS (SELECT vec_id AS a, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i % 8 = 1 THEN -x ELSE x END) AS ea FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT a, vec_id AS b, list_cosine_similarity(ea, embedding::DOUBLE[]) AS c FROM q, embeddings) SELECT a, b, round(c, 6) AS cosine FROM s WHERE c >= 0.6""")
 def lsh_candidates(spark, d):
-    """Pairs that share a bucket, with their exact cosine; the planes are seeded, so there is no SQL form."""
+    """Vectors like a query vector of which an eighth is turned round, from shared buckets, with their exact cosine.
+
+    The SQL compares every vector: at this cosine and with these bands a pair is missed once in 200.
+    """
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    pairs = kernels.lsh_pairs(kernels.lsh_bands(e, "vec_id", "embedding", dim=64), "vec_id")
-    both = pairs.join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb")), "b")
-    return both.select("a", "b", r6(kernels.cosine("ea", "eb")).alias("cosine")).where("cosine >= 0.72")
+    turned = F.transform("embedding", lambda x, i: F.when(i % 8 == 0, -x).otherwise(x))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), turned.alias("embedding"))
+    bands = lambda df, c: kernels.lsh_bands(df, c, "embedding", bits=192, bands=32, dim=64)
+    met = bands(q, "a").join(bands(e, "vec_id").withColumnRenamed("vec_id", "b"), ["band", "bucket"]).select("a", "b").distinct()
+    both = met.join(q.withColumnRenamed("embedding", "ea"), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb")), "b")
+    return both.select("a", "b", kernels.cosine("ea", "eb").alias("c")).where("c >= 0.6").select("a", "b", r6("c").alias("cosine"))
 
 
 # order-dependent kernels
@@ -429,13 +442,20 @@ def greedy_suppression(spark, d):
     return planning.greedy_suppress(t, ["event_type"], "a", "z", ["s", "event_id"], 0.5).select("event_type", "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+r AS (SELECT o_custkey, o_orderkey, n, p <= 600000 AS admitted, CASE WHEN p <= 600000 THEN p ELSE 0.0 END AS used FROM o WHERE n = 1
+UNION ALL SELECT o.o_custkey, o.o_orderkey, o.n, r.used + o.p <= 600000, r.used + CASE WHEN r.used + o.p <= 600000 THEN o.p ELSE 0.0 END FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.n = r.n + 1)
+SELECT o_custkey, o_orderkey, admitted FROM r""")
 def plan_ceiling(spark, d):
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return planning.under_ceiling(o, ["o_custkey"], ["o_orderkey"], "o_totalprice", 600000.0).select("o_custkey", "o_orderkey", "admitted")
 
 
-@query()
+@query("""WITH o AS (SELECT l_orderkey AS claim, l_returnflag AS channel, CASE WHEN l_tax < 0.06 THEN l_suppkey % 9 END AS g FROM lineitem), c AS (SELECT claim, count(DISTINCT channel) AS n FROM o GROUP BY claim),
+g AS (SELECT DISTINCT claim, channel, g FROM o WHERE g IS NOT NULL), s AS (SELECT DISTINCT claim, list_sort(list_distinct([a.g, b.g, z.g])) AS route FROM (SELECT DISTINCT claim, g FROM g) a JOIN (SELECT DISTINCT claim, g FROM g) b USING (claim) JOIN (SELECT DISTINCT claim, g FROM g) z USING (claim)),
+m AS (SELECT s.claim, s.route, count(DISTINCT g.channel) AS met FROM s JOIN g ON g.claim = s.claim AND list_contains(s.route, g.g) GROUP BY ALL),
+b AS (SELECT m.claim, min(struct_pack(n := len(route), route := route)) AS r FROM m JOIN c ON c.claim = m.claim AND c.n = m.met GROUP BY m.claim)
+SELECT c.claim, array_to_string(b.r.route, ',') AS route, coalesce(b.r.n, 0)::INTEGER AS n_groups FROM c LEFT JOIN b USING (claim)""")
 def support_routes(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim"), F.col("l_returnflag").alias("channel"), (F.col("l_suppkey") % 9).alias("grp"), (F.col("l_tax") < 0.06).alias("adequate"))
     return planning.support_routes(rows)

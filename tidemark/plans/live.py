@@ -6,17 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
 from ..streaming import streams
 from .base import query, table
 
 
 def _shared(spark) -> str:
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='tidemark-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, d):
@@ -34,15 +30,15 @@ SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY use
 def session_stream(spark, d):
     out = streams.sessions(_events(spark, d), ["user_id"], "ts", "12 hours", "400 days")
     # Complete output keeps sessions that the watermark hasn't closed.
-    name = "s" + uuid.uuid4().hex
-    return streams.run_to_table(out, name, "complete", _shared(spark)).select("user_id", "n", F.round("total", 4).alias("total"))
+    where = _shared(spark)
+    return streams.run_to_latest(out, where + "/rows", where + "/state").select("user_id", "n", F.round("total", 4).alias("total"))
 
 
 @query("""SELECT event_type, (epoch_us(ts) // 21600000000) AS six_hours, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def window_stream(spark, d):
     out = streams.windows(_events(spark, d), ["event_type"], "ts", "6 hours", "6 hours", "400 days")
-    name = "w" + uuid.uuid4().hex
-    done = streams.run_to_table(out, name, "complete", _shared(spark))
+    where = _shared(spark)
+    done = streams.run_to_latest(out, where + "/rows", where + "/state")
     # A window's number, from the wall clock the time stamps were read with.
     number = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(start_ts as timestamp_ntz)) div 6")
     return done.select("event_type", number.alias("six_hours"), "n", F.round("total", 4).alias("total"))
@@ -59,4 +55,5 @@ def dedup_stream(spark, d):
 @query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, count(*) AS n FROM events GROUP BY user_id")
 def running_ledger_stream(spark, d):
     out = streams.running_latest(_events(spark, d), ["user_id"], "event_id", ["event_type"])
-    return streams.run_to_table(out, "r" + uuid.uuid4().hex, "complete", _shared(spark)).select("user_id", "event_id", "event_type", "n")
+    where = _shared(spark)
+    return streams.run_to_latest(out, where + "/rows", where + "/state").select("user_id", "event_id", "event_type", "n")

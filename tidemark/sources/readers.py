@@ -21,8 +21,7 @@ def file_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def strict_json(spark: SparkSession, path: str) -> DataFrame:
     """One document per file, as text and variant; null where keys repeat or numbers aren't finite."""
     docs = spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw")
-    finite = ~F.col("raw").rlike(r"\d[eE]\+?[3-9]\d{2}")
-    return docs.withColumn("doc", F.when(finite, F.try_parse_json("raw")))
+    return docs.withColumn("doc", text_functions.strict_json(F.col("raw")))
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",") -> DataFrame:

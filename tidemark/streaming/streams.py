@@ -30,11 +30,20 @@ def running_latest(events: DataFrame, keys: list[str], order: str, fields: list[
     return events.groupBy(*keys).agg(F.max(F.struct(order, *fields)).alias("_e"), F.count("*").alias("n")).select(*keys, "_e.*", "n")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run what is there now to its end into a memory table; for tests and small results."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_latest(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run what is there now to its end, with every batch's whole result written as Parquet by the executors; the last
+    one. For results that windows and sessions not yet closed belong to."""
+    last = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last.append(number)
+
+    q = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if not last:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch={max(last)}")
 
 
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str) -> None:

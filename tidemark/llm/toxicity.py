@@ -312,9 +312,10 @@ def select_entries(rows: list[tuple[str, float, float]], tried: int, n_neg: floa
 
 def _shared_weights(sample: DataFrame) -> DataFrame:
     """(text, y, share): one over the number of the sample's documents with the same smallest hash of five-word runs."""
-    words = F.split(F.lower("text"), r"\s+")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(F.slice("w", i + 1, 5)))
-    placed = sample.withColumn("w", words).withColumn("g", F.array_min(runs)).select("text", "y", "g")
+    # Words are bound to a variable, so that they are split once; a group is never null, so no filter repeats the work.
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.xxhash64(F.slice(w, i + 1, 5)))
+    least = F.transform(F.array(F.split(F.lower("text"), r"\s+")), lambda w: F.array_min(runs(w)))
+    placed = materialise(sample.select("text", "y", F.coalesce(F.get(least, F.lit(0)), F.lit(0)).alias("g")), "placed")
     # The sample's bound holds for the number of groups.
     sizes = placed.groupBy("g").agg(F.count("*").alias("n"))
     return placed.join(F.broadcast(sizes), "g").select("text", "y", (F.lit(1.0) / F.col("n")).alias("share"))

@@ -12,8 +12,8 @@
    rarest |sketch| - least + 1 of both (prefix filter), where values nobody shares use up places.
 5. Every list has a pivot, the member with the fewest unshared values. Pairs with the pivot, linear in the list, are
    filtered by their union-sketch estimate and verified by exact Jaccard of the full sets; components are found.
-6. Only pairs of different components remain. They are generated from the same lists, under bounds of size and of
-   places, filtered by their estimate and verified. Nothing is capped: groups of copies end in step 1, groups of near
+6. Only pairs of different components remain. They are generated from the same lists, each where its prefixes meet
+   first, under bounds of size and of what can follow from there, filtered by their estimate and verified. Nothing is capped: groups of copies end in step 1, groups of near
    copies mostly in step 5, and chance meetings under the bounds of steps 2 to 4.
 
 Links are confirmed on full sets: 100 * intersection >= percent * union. Sets are of 64-bit hashes: two different
@@ -205,25 +205,26 @@ def links(documents: DataFrame, table: DataFrame, percent: int = PERCENT) -> tup
     # Unshared values come first in the order; what is left of the prefix holds shared ones.
     ranked = ranked.withColumn("bare", F.col("s") - F.size("tv"))
     prefix = ranked.withColumn("tv", F.slice("tv", F.lit(1), F.greatest(F.lit(0), F.col("s") - _least_of("n", "s", percent) + 1 - F.col("bare"))))
-    entries = prefix.select("sig", "n", "own", "s", "bare", F.posexplode("tv").alias("p", "x"))
-    entries = entries.select("sig", "n", "own", "s", "bare", (F.col("bare") + F.col("p")).alias("pos"), F.col("x.v").alias("v"))
-    entries = materialise(entries, "entries")
+    prefix = materialise(prefix.select("sig", "n", "own", "s", "bare", F.transform("tv", lambda x: x["v"]).alias("head")), "prefix")
+    entries = prefix.select("sig", "n", "own", "s", "bare", F.posexplode("head").alias("p", "v"))
 
     # Tables that are joined with long lists are written first: a join of plain shuffles can be split by Spark where
     # one value has many members, a join on top of an aggregation can't.
-    pivots = entries.groupBy("v").agg(F.min(F.struct("own", "sig", "n")).alias("p"), F.count("*").alias("m")).where("m > 1")
+    pivots = entries.groupBy("v").agg(F.min(F.struct("own", "sig", "n")).alias("pivot"), F.count("*").alias("m")).where("m > 1")
     pivots = materialise(pivots, "pivots")
     star = (
         entries.join(pivots, "v")
-        .where((F.col("sig") != F.col("p.sig")) & _may_match("n", "p.n", "own", "p.own", percent))
-        .select(F.least("sig", "p.sig").alias("a"), F.greatest("sig", "p.sig").alias("b"))
+        .where((F.col("sig") != F.col("pivot.sig")) & _may_match("n", "pivot.n", "own", "pivot.own", percent))
+        .select(F.least("sig", "pivot.sig").alias("a"), F.greatest("sig", "pivot.sig").alias("b"))
         .distinct()
     )
     near = materialise(_verified(_candidates(materialise(star, "pairs"), sketched, percent), sets, percent), "links")
     labels = connected(near)
 
     # What is left: lists whose members are in different components.
-    placed = entries.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    named = prefix.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    # Each entry now carries the values of its prefix that stand before it.
+    placed = named.select("sig", "n", "own", "s", "bare", "label", "head", F.posexplode("head").alias("p", "v")).withColumn("head", F.slice("head", F.lit(1), F.col("p")))
     mixed = placed.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
     mixed = materialise(mixed, "mixed")
     placed = materialise(placed.join(mixed, "v", "left_semi"), "placed")
@@ -232,11 +233,10 @@ def links(documents: DataFrame, table: DataFrame, percent: int = PERCENT) -> tup
     largest = sizes.groupBy("v").agg(F.max(F.struct("m", "label")).alias("top")).select("v", F.col("top.label").alias("top"))
     few = placed.join(materialise(largest, "largest"), "v").where(F.col("label") != F.col("top")).drop("top")
     few = materialise(few, "few")
-    other = placed.select("v", *[F.col(c).alias("o_" + c) for c in ("sig", "n", "own", "s", "bare", "pos", "label")])
-    # What comes before a shared value in the order is not shared by both, or was met before.
-    after = F.least(F.col("s") - F.col("pos"), F.col("o_s") - F.col("o_pos"))
-    before = F.least(F.col("pos") - F.col("bare"), F.col("o_pos") - F.col("o_bare"))
-    most = after + before
+    other = placed.select("v", *[F.col(c).alias("o_" + c) for c in ("sig", "n", "own", "s", "bare", "p", "head", "label")])
+    # A pair is made where it meets first, so what both retain is at most what follows from there.
+    first = ~F.arrays_overlap("head", "o_head")
+    most = F.least(F.col("s") - F.col("bare") - F.col("p"), F.col("o_s") - F.col("o_bare") - F.col("o_p"))
     whole = (F.col("s") == F.col("n")) & (F.col("o_s") == F.col("o_n"))
     enough = F.greatest(_least_of("n", "s", percent), _least_of("o_n", "o_s", percent))
     rest = (
@@ -244,6 +244,7 @@ def links(documents: DataFrame, table: DataFrame, percent: int = PERCENT) -> tup
         .where(F.col("label") != F.col("o_label"))
         .where(_may_match("n", "o_n", "own", "o_own", percent))
         .where((most >= enough) & (~whole | (100 * most >= percent * (F.col("n") + F.col("o_n") - most))))
+        .where(first)
         .select(F.least("sig", "o_sig").alias("a"), F.greatest("sig", "o_sig").alias("b"))
         .distinct()
     )

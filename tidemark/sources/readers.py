@@ -56,7 +56,7 @@ def subrip(spark: SparkSession, path: str) -> DataFrame:
     stamp = r"(\d+):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d+):(\d{2}):(\d{2})[,.](\d{3})"
     part = lambda k: F.regexp_extract("b", stamp, k).try_cast("double")
     at = lambda k: part(k) * 3600 + part(k + 1) * 60 + part(k + 2) + part(k + 3) / 1000
-    body = F.trim(F.regexp_replace("b", r"^(\s*\d+[ \t]*\n)?[^\n]*-->[^\n]*\n?", ""))
+    body = F.trim(F.regexp_replace("b", r"^(\s*\d+[ \t]*\n)?[^\n]*-->[^\n]*\n?", ""), F.lit(" \t\n"))
     out = blocks.select("path", "cue_index", at(1).alias("start_s"), at(5).alias("end_s"), text_functions.strip_tags(body).alias("text"))
     return out.withColumn("malformed", F.coalesce(F.col("start_s") >= F.col("end_s"), F.lit(True)))
 

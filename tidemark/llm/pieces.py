@@ -27,7 +27,7 @@ from .common import release
 MARK = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
 #: Characters of new words indexed at once, words kept for reuse, and the longest word relaxed with the others.
-BLOCK_CHARS, KEPT_WORDS, LONG_WORD = 200_000, 400_000, 96
+BLOCK_CHARS, KEPT_WORDS, LONG_WORD = 200_000, 150_000, 96
 
 
 def model_path(name: str = DEFAULT_MODEL) -> str:
@@ -332,6 +332,8 @@ SCHEMA = "doc_id long, n_tokens int, n_byte_tokens int, ids array<int>, round_tr
 
 def _encode_rows(model: PieceModel, block: int = 512):
     def run(batches):
+        # What other queries left in this worker goes first.
+        release()
         encoder = Encoder(model)
         is_byte = np.zeros(len(model.pieces), dtype=bool)
         is_byte[model.byte_id] = True

@@ -12,12 +12,14 @@ doc_id and text are not looked at, and come through `keep_good` unchanged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_rows
+from .common import release, training_rows
 
 PASSAGE = 512
 #: The sample that is learned from: so many documents, and so many bytes of text, at most.
@@ -189,9 +191,11 @@ def scorer(model: AttentionMil):
     """A column function: text -> probability of quality 1. Small blocks of texts bound the memory."""
 
     @F.pandas_udf("double")
-    def quality_score(texts: pd.Series) -> pd.Series:
-        values = texts.tolist()
-        return pd.Series(np.concatenate([model.score(values[i : i + 64]) for i in range(0, len(values), 64)] or [np.zeros(0)]))
+    def quality_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            values = texts.tolist()
+            yield pd.Series(np.concatenate([model.score(values[i : i + 64]) for i in range(0, len(values), 64)] or [np.zeros(0)]))
+        release()
 
     return quality_score
 

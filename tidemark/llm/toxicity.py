@@ -28,13 +28,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, training_rows
+from .common import materialise, release, training_rows
 
 BUCKETS, HELD_BUCKET = 3, 1
 #: The sample that is learned from: so many documents, and so many bytes of text, at most.
@@ -353,8 +354,10 @@ def scorer(model: Grammar):
     """A column function: text -> probability of toxic 1."""
 
     @F.pandas_udf("double")
-    def toxicity_score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score_many(texts.tolist()))
+    def toxicity_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.score_many(texts.tolist()))
+        release()
 
     return toxicity_score
 

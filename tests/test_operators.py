@@ -100,6 +100,19 @@ def test_greedy_suppression(spark):
     assert sorted(r.o for r in planning.greedy_suppress(df, ["k"], "a", "z", ["o"], 0.5).collect()) == [1, 3]
 
 
+def test_suppression_equals_every_pair_compared(spark):
+    rng = random.Random(3)
+    rows = [("k", float(a := rng.randint(0, 400)), float(a + rng.choice([0, 1, 3, 8, 40])), o) for o in range(300)] + [("k", None, 1.0, 300), ("k", 1.0, None, 301)]
+    df = spark.createDataFrame(rows, "k string, a double, z double, o int")
+    for share in (0.0, 0.3, 0.5):
+        kept = []
+        for _, a, z, o in rows[:300]:
+            if all(min(z, y) - max(a, x) <= share * max(z - a, 1e-12) for x, y, _ in kept):
+                kept.append((a, z, o))
+        got = planning.greedy_suppress(df, ["k"], "a", "z", ["o"], share).collect()
+        assert sorted(r.o for r in got) == [o for _, _, o in kept] and 1 < len(got) < 300
+
+
 def test_grid_routes_and_selection(spark):
     req = spark.createDataFrame([(1, 0.0, 1.0)], "id int, a double, z double")
     assert [r.sample_t for r in planning.frame_grid(req, "a", "z", 4.0).orderBy("k").collect()] == [0.0, 0.25, 0.5, 0.75]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,19 +173,29 @@ def frame_grid(requests: DataFrame, start: str, end: str, rate: float) -> DataFr
 
 
 def greedy_suppress(df: DataFrame, keys: list[str], start: str, end: str, order: list[str], most_overlap: float) -> DataFrame:
-    """In the given order, keep an interval unless a kept one of its group covers more than that share of it."""
+    """In the given order, keep an interval unless a kept one of its group covers more than that share of it.
+
+    Intervals without a bound aren't kept. Only intervals that overlap decide on each other, so a group is cut where
+    none does and every part is passed through alone; within it only kept intervals near by are looked at.
+    """
+    from . import intervals
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable")
-        kept, rows = [], []
-        for i, (a, z) in enumerate(zip(frame[start], frame[end], strict=True)):
+        begins, ends, longest, rows = [], [], 0, []
+        for i, (a, z) in enumerate(zip(frame[start].tolist(), frame[end].tolist(), strict=True)):
             size = max(z - a, 1e-12)
-            if all(min(z, y) - max(a, x) <= most_overlap * size for x, y in kept):
-                kept.append((a, z))
+            near = range(bisect_left(begins, a - longest), bisect_left(begins, z))
+            if all(min(z, ends[k]) - max(a, begins[k]) <= most_overlap * size for k in near):
+                k = bisect_right(begins, a)
+                begins.insert(k, a)
+                ends.insert(k, z)
+                longest = max(longest, z - a)
                 rows.append(i)
-        return frame.iloc[rows]
+        return frame.iloc[rows].drop(columns="island")
 
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    parts = intervals.islands(df.where(F.col(start).isNotNull() & F.col(end).isNotNull()), keys, start, end, 0.0)
+    return parts.groupBy(*keys, "island").applyInPandas(run, df.schema)
 
 
 def cap_matches(df: DataFrame, keys: list[str], order: list, cap: int) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import intervals
+
 
 def compare_tracks(tracks: DataFrame, segments: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair, samples_equal, layout, timing_equal, status) of pairs(pair, a, b) of decoded tracks.
@@ -87,14 +89,17 @@ def judge_trials(examples: DataFrame, trials: DataFrame) -> DataFrame:
     return rows.select("example", "split", "control", state.alias("state"), F.when(state == "JUDGED", correct).alias("correct"), on_time.alias("timing_correct"), independent.alias("independent"), F.col("predicted").alias("prediction"))
 
 
-def alignment_windows(cues: DataFrame, segments: DataFrame, rate: int, pad: float = 0.2, most: float = 30.0) -> DataFrame:
+def alignment_windows(cues: DataFrame, segments: DataFrame, rate: int, pad: float = 0.2, most: float = 30.0, width: float = 60.0) -> DataFrame:
     """cues(cue, source, kind, text, start_s, end_s) with a status and, if ELIGIBLE, first and last sample and the crop's start.
 
-    A cue must lie within exactly one segment, to a sample.
+    A cue must lie within exactly one segment, to a sample. Its middle then lies in that segment too, which is looked
+    up by buckets of `width` seconds.
     """
     seg = segments.select("source", F.col("start_s").alias("g0"), F.col("end_s").alias("g1"), F.col("sample_start").alias("n0"), F.col("sample_end").alias("n1"))
     speech = (F.length("text") > 0) & (F.col("kind") != "non_speech_caption")
-    held = cues.join(seg, "source").where((F.col("g0") <= F.col("start_s") + 1 / rate) & (F.col("g1") >= F.col("end_s") - 1 / rate))
+    wide = seg.withColumns({"_w0": F.col("g0") - 1 / rate, "_w1": F.col("g1") + 2 / rate})
+    middle = cues.withColumn("_mid", (F.col("start_s") + F.col("end_s")) / 2)
+    held = intervals.point_join(middle, wide, ["source"], "_mid", "_w0", "_w1", width).where((F.col("g0") <= F.col("start_s") + 1 / rate) & (F.col("g1") >= F.col("end_s") - 1 / rate))
     one = held.groupBy("cue").agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in ("g0", "g1", "n0", "n1")])
     rows = cues.join(one, "cue", "left")
     lo, hi = F.greatest(F.col("g0"), F.col("start_s") - pad), F.least(F.col("g1"), F.col("end_s") + pad)

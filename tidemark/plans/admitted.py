@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import admission
-from .base import query, table
+from ..operators import admission, music, reviews, scene
+from .base import HOUR, TRACK, query, r6, table, track
 
 FAULTS = "array_to_string(list_filter([{}], lambda x: x IS NOT NULL), ',')"
 
@@ -196,3 +196,86 @@ def usage_costs(spark, d):
     u = table(spark, d, "lineitem").selectExpr("l_returnflag", f"{name} AS model", "l_linestatus AS kind", "CASE WHEN l_quantity > 1 THEN l_partkey * 1000 ELSE -1 END AS tokens")
     out = admission.usage_cost(u, tariff, ["a"]).groupBy(F.col("l_returnflag").alias("model"), "kind")
     return out.agg(F.count("*").alias("n"), F.count("usd").alias("n_priced"), F.round(F.sum("usd").cast("double"), 6).alias("usd"))
+
+
+@query(f"""WITH {TRACK}, c AS (SELECT event_id, user_id, event_type, (us // {HOUR})::DOUBLE AS a, (us // {HOUR} + 1 + event_id % 5)::DOUBLE AS z FROM track),
+g AS (SELECT DISTINCT user_id, (us // {48 * HOUR}) * 48.0 AS g0, (us // {48 * HOUR}) * 48.0 + 40 AS g1 FROM track),
+h AS (SELECT event_id, count(*) AS n, min(g0) AS g0, min(g1) AS g1 FROM c JOIN g USING (user_id) WHERE g0 <= a + 0.5 AND g1 >= z - 0.5 GROUP BY 1),
+w AS (SELECT c.*, n, g0, g1, 1000 + ceil((greatest(g0, a - 0.2) - g0) * 2 - 1e-6)::BIGINT AS f, least(1080, 1000 + ceil((least(g1, z + 0.2) - g0) * 2 - 1e-6)::BIGINT) AS l FROM c LEFT JOIN h USING (event_id)),
+x AS (SELECT *, CASE WHEN event_type = 'error' THEN 'SKIPPED_NON_SPEECH' WHEN coalesce(n, 0) <> 1 THEN 'SKIPPED_AUDIO_GAP_OR_PARTIAL_COVERAGE' WHEN (l - f) / 2 > 4 THEN 'SKIPPED_WINDOW_TOO_LONG' ELSE 'ELIGIBLE' END AS status FROM w)
+SELECT event_id, status, CASE WHEN status = 'ELIGIBLE' THEN f END AS sample_first, CASE WHEN status = 'ELIGIBLE' THEN l END AS sample_last, CASE WHEN status = 'ELIGIBLE' THEN round(g0 + (f - 1000) / 2, 6) END AS crop_start_s FROM x""")
+def alignment_windows(spark, d):
+    """Events as cues of one to five hours, in segments of 40 of 48 hours, two samples an hour."""
+    t = track(spark, d)
+    kind = F.when(F.col("event_type") == "error", "non_speech_caption").otherwise("speech")
+    cues = t.select(F.col("event_id").alias("cue"), F.col("user_id").alias("source"), kind.alias("kind"), F.lit("x").alias("text"), F.expr(f"CAST(us div {HOUR} AS double)").alias("start_s"), F.expr(f"CAST(us div {HOUR} + 1 + event_id % 5 AS double)").alias("end_s"))
+    first = F.expr(f"(us div {48 * HOUR}) * 48D")
+    segments = t.select(F.col("user_id").alias("source"), first.alias("start_s"), (first + 40).alias("end_s"), F.lit(1000).cast("long").alias("sample_start"), F.lit(1080).cast("long").alias("sample_end")).distinct()
+    out = reviews.alignment_windows(cues, segments, 2, most=4.0, width=48.0)
+    return out.select(F.col("cue").alias("event_id"), "status", "sample_first", "sample_last", r6("crop_start_s").alias("crop_start_s"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS scene, l_linenumber % 3 AS node, ['REQUIRED', 'SUPPORTING', 'CONTRADICTORY', 'SUPPORTING'][l_partkey % 4 + 1] AS role,
+CASE WHEN l_suppkey % 3 = 1 THEN 'NOT_COMPETENT' WHEN l_tax = 0.08 THEN 'NOT_COVERED' WHEN l_suppkey % 3 = 2 THEN 'CONTEXT_ONLY' WHEN l_returnflag <> 'A' THEN 'NOT_QUALIFIED' END AS reason FROM lineitem)
+SELECT scene, node, count(*) FILTER (reason IS NULL) AS n_adequate, coalesce(bool_or(reason IS NULL) FILTER (role IN ('REQUIRED', 'SUPPORTING')), false) AND coalesce(bool_and(reason IS NULL) FILTER (role = 'REQUIRED'), true) AND NOT coalesce(bool_or(reason IS NULL) FILTER (role = 'CONTRADICTORY'), false) AS adequate FROM r GROUP BY 1, 2""")
+def observation_adequacy(spark, d):
+    """Lines as references of three observations an order, all about wording."""
+    refs = table(spark, d, "lineitem").selectExpr(
+        "l_orderkey AS scene",
+        "l_linenumber % 3 AS node",
+        "element_at(array('TXT', 'VIS', 'AO_STAGE2'), CAST(l_suppkey % 3 + 1 AS int)) AS channel",
+        "CASE WHEN l_returnflag = 'A' THEN 'canonical_text' ELSE 'fan_text' END AS authority",
+        "element_at(array('REQUIRED', 'SUPPORTING', 'CONTRADICTORY', null), CAST(l_partkey % 4 + 1 AS int)) AS role",
+        "l_tax <> 0.08 AS covered",
+        "true AS eligible",
+    )
+    nodes = refs.select("scene", "node").distinct().withColumn("proposition", F.lit("wording"))
+    assessed = scene.assess(refs, nodes)
+    n = assessed.groupBy("scene", "node").agg(F.count_if("adequate").alias("n_adequate"))
+    return scene.observation_adequacy(assessed).join(n, ["scene", "node"]).select("scene", "node", "n_adequate", "adequate")
+
+
+@query("""WITH m AS (SELECT DISTINCT s_suppkey AS m FROM supplier WHERE s_suppkey % 7 >= 5 AND s_suppkey % 2 = 0 AND s_acctbal > 0),
+e AS (SELECT o_orderkey AS k, o_orderstatus AS st, l_suppkey % 4 AS kind, l_partkey % 5 AS art, l_quantity > 10 AS heard, l_returnflag = 'R' AS basis, m IS NOT NULL AS matched FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN m ON m = l_suppkey // 4 WHERE l_tax < 0.07 AND (l_linestatus = 'F' OR l_linenumber > 2)),
+g AS (SELECT k, count(DISTINCT kind) FILTER (kind < 2) AS kinds, count(DISTINCT art) FILTER (kind < 2) AS credits, coalesce(bool_and(heard) FILTER (kind = 2), false) AS heard, coalesce(bool_and(basis) FILTER (kind = 2), false) AS basis, coalesce(bool_or(matched AND kind = 3), false) AS covered FROM e GROUP BY k),
+r AS (SELECT o_orderkey AS k, CASE WHEN g.k IS NULL THEN 'NO_SCOPED_EVIDENCE' WHEN o_orderstatus = 'P' THEN CASE WHEN NOT covered THEN 'NO_REFERENCE_WITH_FULL_MATCH' END WHEN o_orderstatus = 'F' AND kinds = 2 AND credits >= 2 THEN NULL WHEN NOT heard THEN 'CANDIDATE_ONLY' WHEN o_orderstatus = 'O' AND NOT basis THEN 'NO_PERFORMANCE_BASIS' WHEN o_orderstatus = 'F' THEN 'NO_COMPARISON_BASIS' END AS reason FROM orders LEFT JOIN g ON g.k = o_orderkey)
+SELECT k AS decision, reason IS NULL AS supported, reason FROM r""")
+def identity_support(spark, d):
+    """Orders as decisions about compositions, performances and recordings; their lines are the evidence."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    level = "CASE o_orderstatus WHEN 'F' THEN 'COMPOSITION' WHEN 'O' THEN 'PERFORMANCE' ELSE 'RECORDING' END"
+    decisions = o.selectExpr("o_orderkey AS decision", f"{level} AS level", "array('x') AS subjects", "'s' AS source", "0 AS stream", "0D AS start_s", "5D AS end_s")
+    evidence = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        "o_orderkey AS decision",
+        "concat('e', l_linenumber) AS evidence",
+        "element_at(array('SOURCE_VISIBLE_CREDIT', 'OFFICIAL_CREDIT', 'SCOPED_IDENTITY_REVIEW', 'REFERENCE_IDENTITY'), CAST(l_suppkey % 4 + 1 AS int)) AS kind",
+        f"CASE WHEN l_linestatus = 'F' OR l_linenumber > 2 THEN {level} ELSE 'PHRASE' END AS level",
+        "'s' AS source",
+        "0 AS stream",
+        "l_tax < 0.07 AS inspected",
+        "l_quantity > 10 AS audio_inspected",
+        "array('x', 'y') AS subjects",
+        "concat('a', l_partkey % 5) AS artifact",
+        "concat('m', l_suppkey div 4) AS match_id",
+        "'r' AS reference_source",
+        "0 AS reference_stream",
+        "false AS all_channels",
+        "CASE WHEN l_returnflag = 'R' THEN 'b' END AS performance_basis",
+        "CAST(null AS string) AS comparison_basis",
+    )
+    matches = table(spark, d, "supplier").selectExpr(
+        "concat('m', s_suppkey) AS match_id",
+        "'r' AS a_source",
+        "0 AS a_stream",
+        "0D AS a0",
+        "9D AS a1",
+        "'s' AS b_source",
+        "0 AS b_stream",
+        "0D AS b0",
+        "CAST(s_suppkey % 7 AS double) AS b1",
+        "CASE WHEN s_acctbal > 0 THEN 'EXACT' ELSE 'PROBABLE' END AS status",
+        "true AS native",
+        "true AS sufficient",
+        "s_suppkey % 2 = 0 AS exact_pcm",
+    )
+    return music.identity_support(decisions, evidence, matches)

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +114,14 @@ def test_suppression_equals_every_pair_compared(spark):
         assert sorted(r.o for r in got) == [o for _, _, o in kept] and 1 < len(got) < 300
 
 
+def test_appearances_of_one_pair():
+    rows = pd.DataFrame([(0.0, 2.0, 10.0, 12.0), (1.0, 3.0, 11.0, 13.0), (1.5, 3.5, 40.0, 42.0), (9.0, 11.0, 19.0, 21.0), (2.0, 4.0, 12.0, 16.0)], columns=["a_start", "a_end", "b_start", "b_end"])
+    got = kernels.cluster_appearances(rows, 0.05, 0.5)
+    # Another offset, another ratio and a gap in the source each begin a cluster.
+    assert dict(zip(zip(got.a_start, got.b_start), got.cluster)) == {(0.0, 10.0): 0, (1.0, 11.0): 0, (1.5, 40.0): 1, (2.0, 12.0): 2, (9.0, 19.0): 3}
+    assert len(kernels.cluster_appearances(rows[:0], 0.05, 0.5)) == 0
+
+
 def test_grid_routes_and_selection(spark):
     req = spark.createDataFrame([(1, 0.0, 1.0)], "id int, a double, z double")
     assert [r.sample_t for r in planning.frame_grid(req, "a", "z", 4.0).orderBy("k").collect()] == [0.0, 0.25, 0.5, 0.75]

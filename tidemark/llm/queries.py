@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, licenses, near_dedup, pieces, quality, sharding, toxicity, warc
+from . import chat, decontaminate, fingerprint, licenses, near_dedup, negatives, pieces, quality, sharding, toxicity, warc
 from .common import held_out, table
 
 
@@ -126,12 +126,32 @@ def _op10_sql() -> str:
     return OP10_SQL.replace("BASE32", letters)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every fiftieth vector among all vectors."""
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.usable(table(spark, sf_dir, "embeddings"), turned)
+    return negatives.mine(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+OP11_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE label = own) WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sentencepiece, op2_quality, op3_fingerprint, op4_chat, op5_sharding,
         op6_licenses, op7_near_dedup, op8_decontaminate, op9_toxicity, op10_warc,
+        op11_negatives,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op5_sharding": _op5_sql(), "op6_licenses": licenses.oracle(), "op10_warc": _op10_sql()}
+    return {"op4_chat": OP4_SQL, "op5_sharding": _op5_sql(), "op6_licenses": licenses.oracle(), "op10_warc": _op10_sql(), "op11_negatives": OP11_SQL}

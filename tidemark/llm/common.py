@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +95,72 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a bitmap for each hash in it, the fewest and the most bits it has (16 MB), bytes of a slice.
+SPREAD, LEAST_BITS, MOST_BITS, SLICE = 64, 16, 27, 1 << 16
+
+
+def _sliced(bits: int):
+    """The slices of a partition's own bitmap that have a bit."""
+
+    def run(batches):
+        marks = np.zeros(1 << bits, dtype=bool) if bits <= 20 else None
+        packed = None if bits <= 20 else np.zeros(1 << (bits - 3), dtype=np.uint8)
+        mask = np.uint64((1 << bits) - 1)
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & mask)
+            if marks is not None:
+                marks[at] = True
+            else:
+                np.bitwise_or.at(packed, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        if packed is None:
+            packed = np.packbits(marks, bitorder="little")
+        yield from _slices((k, packed[k * SLICE : (k + 1) * SLICE]) for k in range(-(-len(packed) // SLICE)))
+        release()
+
+    return run
+
+
+def _slices(pairs):
+    for k, data in pairs:
+        if data.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["k", "data"])
+
+
+def _merged(batches):
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(data, dtype=np.uint8)
+            found[k] = found[k] | part if k in found else part
+    yield from _slices(found.items())
+
+
+def bitmap(hashes: DataFrame, n: int) -> tuple[int, bytes]:
+    """(bits, bytes) with a bit for each of about n hashes, at its lowest bits: what has no bit is not among them.
+
+    Tasks mark their own hashes and send slices, tasks merge slices, and the driver gets at most 2^MOST_BITS bits of
+    binary slices, however many hashes there are; past that size the map lets more through, never too little.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (SPREAD * n).bit_length()))
+    slices = -(-(1 << (bits - 3)) // SLICE)
+    parts = hashes.mapInArrow(_sliced(bits), "k int, data binary").repartition(min(slices, 64), "k").mapInArrow(_merged, "k int, data binary")
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for k, data in parts.collect():
+        out[k * SLICE : k * SLICE + len(data)] = np.frombuffer(data, dtype=np.uint8)
+    return bits, out.tobytes()
+
+
+class Bitmap:
+    """Which of the hashes may be in a bitmap."""
+
+    def __init__(self, bits: int, data: bytes):
+        self.bytes, self.mask = np.frombuffer(data, dtype=np.uint8), np.uint64((1 << bits) - 1)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        place = h & self.mask
+        return (self.bytes[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
 def release() -> None:
     """Give a finished partition's memory back; Python workers live on and serve other queries."""
     import ctypes

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, licenses, near_dedup, negatives, pieces, quality, sharding, toxicity, warc
+from . import chat, collocations, decontaminate, fingerprint, licenses, near_dedup, negatives, pieces, quality, sharding, toxicity, warc
 from .common import held_out, table
 
 
@@ -145,13 +145,35 @@ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM p),
+d AS (SELECT lang, words, count(*) AS m FROM w GROUP BY ALL),
+e AS (SELECT lang, words, m, k, unnest(range(1, len(words) - k + 2)) AS i FROM d, (VALUES (1), (2), (3)) t(k) WHERE len(words) >= k),
+g AS (SELECT lang, k, words[i:i + k - 1] AS ws, CAST(sum(m) AS BIGINT) AS f FROM e GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY ALL),
+c AS (SELECT lang, k, ws, f AS a FROM g WHERE k > 1 AND f >= 10),
+u AS (SELECT lang, k, ws, a, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.k, u.ws, u.a, u.cut, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * u.a * u.a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM u JOIN g x ON x.lang = u.lang AND x.ws = u.ws[1:u.cut] JOIN g y ON y.lang = u.lang AND y.ws = u.ws[u.cut + 1:u.k]),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) AS place FROM s) WHERE place = 1),
+h AS (SELECT lang, ws, max(a) AS longer FROM (SELECT lang, ws[1:2] AS ws, a FROM c WHERE k = 3 UNION ALL SELECT lang, ws[2:3], a FROM c WHERE k = 3) GROUP BY ALL),
+f AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, b.l, b.r, b.score FROM b LEFT JOIN h ON h.lang = b.lang AND h.ws = b.ws WHERE h.longer IS NULL OR 100 * h.longer < 50 * b.a)
+SELECT * FROM (SELECT f.lang, row_number() OVER (PARTITION BY f.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM f JOIN n ON n.lang = f.lang) WHERE rank <= 2000"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sentencepiece, op2_quality, op3_fingerprint, op4_chat, op5_sharding,
         op6_licenses, op7_near_dedup, op8_decontaminate, op9_toxicity, op10_warc,
-        op11_negatives,
+        op11_negatives, op12_collocations,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op5_sharding": _op5_sql(), "op6_licenses": licenses.oracle(), "op10_warc": _op10_sql(), "op11_negatives": OP11_SQL}
+    return {"op4_chat": OP4_SQL, "op5_sharding": _op5_sql(), "op6_licenses": licenses.oracle(), "op10_warc": _op10_sql(), "op11_negatives": OP11_SQL, "op12_collocations": OP12_SQL}

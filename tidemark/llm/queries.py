@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontaminate, fingerprint, licenses, near_dedup, negatives, pieces, quality, sharding, toxicity, warc
+from . import chat, collocations, decontaminate, fingerprint, licenses, lm, near_dedup, negatives, pieces, quality, sharding, toxicity, warc
 from .common import held_out, table
 
 
@@ -167,11 +167,16 @@ f AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, b.a, b.l, b.r, b.scor
 SELECT * FROM (SELECT f.lang, row_number() OVER (PARTITION BY f.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM f JOIN n ON n.lang = f.lang) WHERE rank <= 2000"""
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole text under a trie of runs of up to three words."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sentencepiece, op2_quality, op3_fingerprint, op4_chat, op5_sharding,
         op6_licenses, op7_near_dedup, op8_decontaminate, op9_toxicity, op10_warc,
-        op11_negatives, op12_collocations,
+        op11_negatives, op12_collocations, op13_lm_scoring,
     )}
 
 

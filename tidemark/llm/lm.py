@@ -157,7 +157,7 @@ class Reader:
             return self.open[key]
         name = f"{self.path}/{self.model.levels[level - 1]['names'][i]}"
         if isinstance(self.store, fs.LocalFileSystem):
-            arrays = succinct.load(np.memmap(name, dtype=np.uint8, mode="r"))
+            arrays = succinct.load(np.memmap(name, dtype=np.uint8, mode="r").view(np.ndarray))
         else:
             with self.store.open_input_file(name) as f:
                 arrays = succinct.load(np.frombuffer(f.read(), dtype=np.uint8))
@@ -179,7 +179,8 @@ class Reader:
                 found = s["keys"].find(h[a:b] - firsts[i])
                 hit = np.nonzero(found >= 0)[0]
                 node[a + hit] = found[hit] + level["offset"][i]
-                count[a + hit] = s["sums"][found[hit] + 1] - s["sums"][found[hit]]
+                low, high = s["sums"].pairs(found[hit])
+                count[a + hit] = high - low
         return node, count
 
     def counts(self, level: int, nodes: np.ndarray) -> np.ndarray:
@@ -189,8 +190,8 @@ class Reader:
         at = [*np.searchsorted(nodes, told["offset"], side="left").tolist(), len(nodes)]
         for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
             if b > a:
-                local, sums = nodes[a:b] - told["offset"][i], self.shard(level, i)["sums"]
-                out[a:b] = sums[local + 1] - sums[local]
+                low, high = self.shard(level, i)["sums"].pairs(nodes[a:b] - told["offset"][i])
+                out[a:b] = high - low
         return out
 
     def children(self, level: int, p: np.ndarray, r: np.ndarray, scores: bool = True):
@@ -211,7 +212,7 @@ class Reader:
             local = local[inside]
             if scores:
                 rest[a + inside] = plain["rests"][plain["rest"][local]]
-            start, end = s["start"][local], s["start"][local + 1]
+            start, end = s["start"].pairs(local)
             want = r[a + inside]
             some = np.nonzero((end > start) & (want >= 0))[0]
             start, end = start[some], end[some]

@@ -52,6 +52,7 @@ class EliasFano:
         self.n, self.low_bits = (int(x) for x in parts["head"])
         self.low, self.high = parts["low"], parts["high"]
         self.ones, self.zeros = parts.get("ones"), parts.get("zeros")
+        self.before = parts["before"]
 
     @staticmethod
     def build(values: np.ndarray, access: bool = True, find: bool = True) -> dict[str, np.ndarray]:
@@ -64,6 +65,9 @@ class EliasFano:
         bits[at] = 1
         out = {"head": np.array([n, width], dtype=np.int64), "low": pack(values & np.uint64((1 << width) - 1), width), "high": np.packbits(bits, bitorder="little").view(np.uint64)}
         kind = np.uint32 if len(bits) < 1 << 32 else np.int64
+        counts = np.bitwise_count(out["high"]).astype(np.int64)
+        counts = np.add.reduceat(counts, np.arange(0, len(counts), 8))
+        out["before"] = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(kind)
         if access:
             out["ones"] = at[::8].astype(kind)
         if find:
@@ -71,29 +75,47 @@ class EliasFano:
         return out
 
     def _select(self, rank: np.ndarray, noted: np.ndarray, turned: bool) -> np.ndarray:
-        def look(at):
-            w = window(self.high, at)
-            return ~w if turned else w
-
         at, rest = noted[rank >> 3].astype(np.int64), rank & 7
-        w = look(at)
+        w = window(self.high, at)
+        w = ~w if turned else w
         found = np.bitwise_count(w).astype(np.int64)
         short = np.nonzero(rest >= found)[0]
-        while len(short):
-            rest[short] -= found[short]
-            at[short] += 64
-            w[short] = look(at[short])
-            found[short] = np.bitwise_count(w[short])
-            short = short[rest[short] >= found[short]]
-        for k in range(int(rest.max()) if len(rest) else 0):
-            more = rest > k
-            w[more] &= w[more] - _ONE
+        if len(short):
+            # Far from the noted place: the block of 512 bits that has it, then its words.
+            before = self.before.astype(np.int64)
+            before = np.arange(len(before)) * 512 - before if turned else before
+            block = np.searchsorted(before, rank[short], side="right") - 1
+            at[short], rest[short] = block * 512, rank[short] - before[block]
+            while len(short):
+                v = self.high[at[short] >> 6]
+                w[short] = ~v if turned else v
+                found = np.bitwise_count(w[short]).astype(np.int64)
+                more = rest[short] >= found
+                short, found = short[more], found[more]
+                rest[short] -= found
+                at[short] += 64
+        for _ in range(int(rest.max()) if len(rest) else 0):
+            more = (rest > 0).astype(np.uint64)
+            w &= w - more
+            rest = rest - 1
         return at + _trailing(w)
 
+    def _value(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return (_u(at - i) << np.uint64(self.low_bits) | unpack(self.low, i, self.low_bits)).astype(np.int64)
+
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, dtype=np.int64)
-        high = _u(self._select(i, self.ones, False) - i)
-        return (high << np.uint64(self.low_bits) | unpack(self.low, i, self.low_bits)).astype(np.int64)
+        return self._value(i, self._select(i, self.ones, False))
+
+    def pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and i + 1."""
+        at = self._select(i, self.ones, False)
+        w = window(self.high, at + 1)
+        then = at + 1 + _trailing(w)
+        far = np.nonzero(w == 0)[0]
+        if len(far):
+            then[far] = self._select(i[far] + 1, self.ones, False)
+        return self._value(i, at), self._value(i + 1, then)
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The first place of each value, -1 where it isn't in the sequence: its successor's place, if that is equal."""
@@ -104,18 +126,25 @@ class EliasFano:
         top = int(self.__getitem__(np.array([self.n - 1]))[0]) >> self.low_bits if self.n else -1
         live = np.nonzero(high <= top)[0]
         h = high[live]
-        at = np.zeros(len(live), dtype=np.int64)
-        later = h > 0
+        # Values with the same high bits stand in [first, end); their low bits are halved down to the successor's place.
+        at, later = np.zeros(len(live), dtype=np.int64), h > 0
         at[later] = self._select(h[later] - 1, self.zeros, True) + 1
-        while len(live):
-            i = at - h
-            there = (self.high[at >> 6] >> _u(at & 63)) & _ONE == _ONE
-            mine = np.full(len(live), np.iinfo(np.uint64).max)
-            mine[there] = unpack(self.low, i[there], self.low_bits)
-            hit = there & (mine == low[live])
-            out[live[hit]] = i[hit]
-            go = there & (mine < low[live])
-            live, h, at = live[go], h[go], at[go] + 1
+        w = window(self.high, at)
+        first, run = at - h, _trailing(~w)
+        end, long = first + run, np.nonzero(w == np.uint64(0xFFFFFFFFFFFFFFFF))[0]
+        if len(long):
+            end[long] = self._select(h[long], self.zeros, True) - h[long]
+        want, stop = low[live], end.copy()
+        open_ = np.nonzero(first < stop)[0]
+        while len(open_):
+            mid = (first[open_] + stop[open_]) >> 1
+            less = unpack(self.low, mid, self.low_bits) < want[open_]
+            first[open_[less]] = mid[less] + 1
+            stop[open_[~less]] = mid[~less]
+            open_ = open_[first[open_] < stop[open_]]
+        there = np.nonzero(first < end)[0]
+        hit = there[unpack(self.low, first[there], self.low_bits) == want[there]]
+        out[live[hit]] = first[hit]
         return out
 
 

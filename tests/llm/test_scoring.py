@@ -118,10 +118,37 @@ def test_reports_end():
     assert kinds("“idiot”, and nothing else") == [toxicity.PLAIN]
 
 
+def test_contracted_negations_and_more_speech():
+    for text in ("you don't kill", "I won't hurt you", "I won’t hurt you", "you aren't an idiot", "He isn't stupid", "tu n'es idiot", "we dont hurt you"):
+        assert kinds(text) == [toxicity.NEGATED], text
+    for text in ("They say you are an idiot", "he told me you are an idiot", "sie sagen du idiot", "dicen que tú idiot"):
+        assert kinds(text) == [toxicity.REPORTED], text
+    assert kinds("I told you, you idiot") == [toxicity.AIMED]
+    assert kinds("he said ‘you are an idiot’ and you idiot") == [toxicity.AIMED, toxicity.REPORTED]
+    assert kinds("he said 'you are an idiot' about you moron") == [toxicity.AIMED, toxicity.REPORTED]
+    assert kinds("you're an idiot") == [toxicity.AIMED] and kinds("the dog’s owner is an idiot") == [toxicity.PLAIN]
+
+
+def test_share_of_clauses():
+    got = toxicity.Grammar().matches("what an idiot. a fine day! ... and then? you clown")
+    assert got[toxicity.N_KINDS] == 2 and got[toxicity.N_KINDS + 1] == 50.0
+
+
+@pytest.mark.parametrize("rows,n_neg,n_pos,words,stems", [
+    ([("vile", 0.0, 40.0), ("plain", 300.0, 40.0)], 400.0, 50.0, {"vile"}, set()),
+    ([("lowe*", 0.0, 40.0), ("lowest", 0.0, 9.0), ("lowers", 1.0, 30.0)], 400.0, 50.0, set(), {"lowe"}),
+    ([("rare", 0.0, 1.0)], 400.0, 50.0, set(), set()),
+])
+def test_entries_beyond_chance(rows, n_neg, n_pos, words, stems):
+    got = toxicity.select_entries(rows, 100, n_neg, n_pos)
+    assert (set(got[0]), set(got[1])) == (words, stems)
+
+
 def interpret(text, grammar):
     """The composed transducer, step by step over a whole text, without tables and without a scan before."""
-    sums = np.zeros(toxicity.N_KINDS + 1)
-    for clause in toxicity._CLAUSE.split((text or "").lower()):
+    sums, clauses = np.zeros(toxicity.N_SUMS), 0
+    for clause in toxicity._CLAUSE.split(toxicity._plain(text or "")):
+        clauses += bool(toxicity._TOKEN.search(clause))
         machine = toxicity.composed()
         state, matched = machine.start, False
         for token in toxicity._TOKEN.findall(clause):
@@ -136,12 +163,13 @@ def interpret(text, grammar):
                 sums[kind] += weight
                 matched |= kind in (toxicity.PLAIN, toxicity.AIMED, toxicity.MENACE)
         sums[toxicity.N_KINDS] += matched
+    sums[toxicity.N_KINDS + 1] = 100 * sums[toxicity.N_KINDS] / max(1, clauses)
     return sums
 
 
 def test_equals_an_interpreter_on_whole_texts():
     rng = np.random.default_rng(9)
-    bits = ["idiot", "Moron", "stupid", "KILL", "hurt", "you", "du", "not", "never", "said", "wrote", "and", "a", "plain", "lowest", ",", ", and", ", but", '"', "“", "”", ".", "!", ":", "\n", "said:", "—"]
+    bits = ["idiot", "Moron", "stupid", "KILL", "hurt", "you", "du", "not", "never", "said", "wrote", "and", "a", "plain", "lowest", ",", ", and", ", but", '"', "“", "”", ".", "!", ":", "\n", "said:", "—", "don't", "isn’t", "‘", "’", "say", "told me"]
     model = toxicity.Grammar(words={"vile": 0.5}, stems={"lowe": 0.7})
     for _ in range(400):
         text = " ".join(rng.choice(bits) for _ in range(rng.integers(0, 60)))

@@ -3,16 +3,16 @@
 Words are read as symbols of a small alphabet (insult, threat, target, negation, speech verb, break, quotation mark,
 other). Four transducers rewrite a clause's symbols from left to right and are composed into one machine:
 
-  reported   an insult or threat after a speech verb becomes a reported one. A report ends with its clause; without
+  reported   an insult or threat after a speech verb ("say", "told me") becomes a reported one. A report ends with its clause; without
              quotation marks also at a comma before a conjunction ("he said you are an idiot, and I agree"), with
              them at the closing mark. A colon ends a clause except after a speech verb
-  negation   one at most NEGATION_REACH words after a negation becomes a negated one
+  negation   one at most NEGATION_REACH words after a negation ("not", "don't", "n'est") becomes a negated one
   target     one at most TARGET_REACH words after an addressed person becomes an aimed one
   threat     a threat verb without an addressed person at most TARGET_REACH words before or after it becomes an
              ordinary word; one whose person follows is counted where that person stands
 
 Matched insult symbols carry the weight of the lexicon entry that matched; a logistic layer fitted on labels
-turns the sums of a document's clauses, one for each kind of match, into a probability. Insult words and
+turns the sums of a document's clauses, one for each kind of match, and how many clauses match into a probability. Insult words and
 stems are learned: an entry is kept if its document frequency under label 1 is beyond chance. Documents of the sample
 that share the smallest hash of their runs of five words share one document's weight, so that copies don't count as
 evidence many times over; none is left out.
@@ -41,11 +41,11 @@ BUCKETS, HELD_BUCKET = 3, 1
 #: The sample that is learned from: so many documents, and so many bytes of text, at most.
 MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 24000, 256 << 20
 REJECT_AT = 0.7
-STEM_LENGTHS = (4, 5, 6)
+STEM_LENGTHS = (4, 5, 6, 7, 8)
 #: An entry's chance of arising from unrelated labels, times the number of entries tried, stays under this.
-CHANCE = 0.01
+CHANCE = 1.0
 #: And it must stand in at least this share of the documents of label 1.
-SUPPORT = 0.015
+SUPPORT = 0.012
 #: And its log odds must be at least this.
 LEAST_ODDS = 1.5
 NEGATION_REACH, TARGET_REACH = 3, 5
@@ -54,8 +54,8 @@ NEGATION_REACH, TARGET_REACH = 3, 5
 INSULTS = "idiot idiots moron morons stupid scum loser losers worthless pathetic disgusting trash clown clowns imbecile dumb".split()
 THREATS = "kill hurt destroy beat burn hang shoot töten umbringen verletzen tuer frapper matar golpear".split()
 TARGETS = "you your yours du dich dir ihr euch tu toi vous tú te usted ustedes".split()
-NEGATIONS = "not no never neither nor nicht kein keine nie ne pas jamais nunca jamás".split()
-REPORTS = "said says wrote writes claimed claims quoted quote called sagte schrieb behauptete dit écrit disait dijo escribió".split()
+NEGATIONS = "not no never neither nor cannot dont isnt arent wasnt wont cant nicht kein keine keinen keiner keinem nie niemals ne pas jamais aucun nunca jamás tampoco ningún".split()
+REPORTS = "say says said saying write writes wrote claim claims claimed quote quoted called sagt sagen sagte sagten schreibt schrieb behauptet behaupten behauptete dit disent disait disaient écrit écrivait dice dicen dijo dijeron escribe escribió".split()
 
 CONJUNCTIONS = "and but und aber doch et mais y pero".split()
 
@@ -63,6 +63,8 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK, QUOTE = range(8)
 #: What the composed machine emits; MENACE + k stands for k + 1 menaces at once.
 NOTHING, PLAIN, AIMED, NEGATED, REPORTED, MENACE = range(6)
 N_KINDS = 6
+#: A document's numbers: a sum for each kind, the clauses with a match, and their share in hundredths.
+N_SUMS = N_KINDS + 2
 
 
 class Transducer:
@@ -166,10 +168,20 @@ def grammar() -> tuple[list[list[int]], list[list[int]]]:
 #: A clause ends at these marks; a colon after a speech verb opens what is reported.
 _CLAUSE = re.compile(rf"[.!?;\n]+|(?<!\w):|(?<=\w):(?<!{':)(?<!'.join(rf'\b{w}' for w in REPORTS)}:)")
 _WORD = re.compile(r"\w+")
-#: Words, quotation marks, and commas before a conjunction.
-_TOKEN = re.compile(rf"\w+|[\"“”„«»]|,(?=\s*(?:{'|'.join(CONJUNCTIONS)})\b)")
+#: Words, quotation marks (single ones where no word goes on), and commas before a conjunction.
+_TOKEN = re.compile(rf"\w+|[\"“”„«»‘]|(?<!\w)'(?=\w)|(?<=[\w,])['’](?!\w)|,(?=\s*(?:{'|'.join(CONJUNCTIONS)})\b)")
+#: Negations that an apostrophe joins to a word, and speech that is only a report to some.
+_CONTRACTED, _TOLD = re.compile(r"\b\w+n['’]t\b|\bn['’](?=\w)"), re.compile(r"\b(?:tell|tells|told) (?:me|us|him|her|them|everyone|people)\b")
 _SYMBOL = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
-_SYMBOL |= {w: INSULT for w in INSULTS} | {",": BREAK} | {q: QUOTE for q in '"“”„«»'}
+_SYMBOL |= {w: INSULT for w in INSULTS} | {",": BREAK} | {q: QUOTE for q in "\"“”„«»‘’'"}
+
+
+def _plain(text: str) -> str:
+    """In lower case, with contracted negations as words: don't, isn’t and n'est have one of their own."""
+    lower = text.lower()
+    if "'" in lower or "’" in lower:
+        lower = _CONTRACTED.sub(" not ", lower)
+    return _TOLD.sub("said", lower) if "tell" in lower or "told" in lower else lower
 
 
 def _entries(text: str) -> set[str]:
@@ -185,7 +197,7 @@ class Grammar:
         self.moves, self.out = grammar()
         self.lengths = sorted({len(s) for s in self.stems})
         self.alert = set(self.words) | set(THREATS)
-        self.weights, self.bias = np.zeros(N_KINDS + 1), 0.0
+        self.weights, self.bias = np.zeros(N_SUMS), 0.0
 
     def weight(self, word: str) -> float:
         found = self.words.get(word, 0.0)
@@ -194,11 +206,11 @@ class Grammar:
         return found
 
     def matches(self, text: str | None) -> np.ndarray:
-        """Weight of matched symbols for each kind, and last the number of clauses with an unsuspended match."""
-        sums = np.zeros(N_KINDS + 1)
+        """Weight of matched symbols for each kind, then the number of clauses with an unsuspended match and their share."""
+        sums = np.zeros(N_SUMS)
         if not text:
             return sums
-        lower = text.lower()
+        lower = _plain(text)
         # A clause ends between words, so these are the words of all clauses.
         words = set(_WORD.findall(lower))
         hit = not self.alert.isdisjoint(words)
@@ -208,9 +220,12 @@ class Grammar:
                 break
         if not hit:
             return sums
+        clauses = 0
         for clause in _CLAUSE.split(lower):
             state, matched = 0, False
-            for word in _TOKEN.findall(clause):
+            tokens = _TOKEN.findall(clause)
+            clauses += bool(tokens)
+            for word in tokens:
                 symbol = _SYMBOL.get(word, OTHER)
                 weight = 1.0
                 if symbol in (OTHER, INSULT):
@@ -224,10 +239,11 @@ class Grammar:
                     sums[kind] += weight
                     matched |= kind in (PLAIN, AIMED, MENACE)
             sums[N_KINDS] += matched
+        sums[N_KINDS + 1] = 100.0 * sums[N_KINDS] / max(1, clauses)
         return sums
 
     def score_many(self, texts) -> np.ndarray:
-        x = np.array([self.matches(t) for t in texts]).reshape(-1, N_KINDS + 1)
+        x = np.array([self.matches(t) for t in texts]).reshape(-1, N_SUMS)
         return _sigmoid(np.log1p(x) @ self.weights + self.bias)
 
     def calibrate(self, sums: np.ndarray, y: np.ndarray, share: np.ndarray | None = None, rounds: int = 60) -> Grammar:
@@ -344,7 +360,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN
         words, stems = select_entries([tuple(r) for r in often.collect()], tried, total["neg"], total["pos"])
     model = Grammar(words, stems)
     found = sample.mapInPandas(_match_rows(model), "y int, share double, sums array<double>").toPandas()
-    sums = np.array(found["sums"].tolist(), dtype=float).reshape(-1, N_KINDS + 1)
+    sums = np.array(found["sums"].tolist(), dtype=float).reshape(-1, N_SUMS)
     y, share = found["y"].to_numpy(dtype=float), found["share"].to_numpy(dtype=float)
     order = np.lexsort([*sums.T, share, y])
     return model.calibrate(sums[order], y[order], share[order])

@@ -106,7 +106,9 @@ def test_awkward_rows(spark):
     rows = [(None, 0, "user", "x"), (1, None, "user", "x"), (2, 0, None, "x"), (3, 0, "user", None), (3, 1, "assistant", None), (4, 0, "user", 'q"\\\n\x01é'), (4, 0, "user", "twice"), (4, 0, "user", "twice"), (5, 3, "user", "late"), (6, 0, "user", "long " * 60_000)]
     df = spark.createDataFrame(rows, ROWS).withColumns({"place": F.lit(1), "r": F.lit(2), "kind": F.lit(0), "level": F.lit("x")})
     got = chat.link(df).collect()
-    assert sorted((r.conv_id, r.turn, r.linked, r.in_order) for r in got) == [(3, 0, True, True), (4, 0, False, True), (4, 0, False, True), (4, 0, False, True), (5, 3, False, False), (6, 0, False, True)]
+    assert sorted(((r.conv_id, r.turn, r.linked, r.in_order) for r in got), key=repr) == [(1, None, False, True), (3, 0, True, True), (4, 0, False, True), (4, 0, False, True), (4, 0, False, True), (5, 3, False, False), (6, 0, False, True), (None, 0, False, True)]
+    assert all(r.call_id is None for r in got if r.conv_id is None or r.turn is None)
+    got = [r for r in got if r.call_id is not None]
     assert all(json.loads(r.json)["name"] == "reply" for r in got)
     assert json.loads(next(r for r in got if "q" in r.json).json)["arguments"]["prompt"] == 'q"\\\n\x01é'
     assert {r.conv_id: r.errors for r in got} == {3: "prompt: too short", 4: "", 5: "", 6: "prompt: too long"}
@@ -117,3 +119,21 @@ def test_calls_that_cannot_be_linked_keep_their_rows(spark):
     rows = [(None, 0, "assistant", say(call("a"))), (1, None, "assistant", say(call("a"), call(None))), (1, 1, "assistant", say(call(None), {"id": "b"})), (1, 2, "tool", answer("b", "yes")), (1, 2, "tool", "no json"), (1, 3, "assistant", '{"tool_calls": 5}'), (1, 3, "assistant", '{"tool_calls": []}')]
     got = Counter((r.conv_id, r.turn, r.call_id, r.linked) for r in linked(spark, rows))
     assert got == Counter([(None, 0, "a", False), (1, None, "a", False), (1, None, None, False), (1, 1, None, False), (1, 1, "b", True)])
+
+
+def test_only_what_an_assistant_lists_is_a_call(spark):
+    """User turns stay turns whatever they look like, and lists that are empty or can't be read are plain text."""
+    looks = ['{"tool_calls": []}', '{"tool_calls": oops', say(call("planted")), '{"tool_calls": [{"id": "x"']
+    rows = [(c, 0, "user", text) for c, text in enumerate(looks)] + [(c, 1, "assistant", "fine") for c in range(4)] + [(c, 2, "user", "more") for c in range(4)]
+    rows += [(7, 0, "user", "q"), (7, 1, "assistant", '{"tool_calls": oops'), (8, 0, "user", "q"), (8, 1, "assistant", "\n  " + say(call("real"))), (8, 2, "tool", say(call("also planted")))]
+    got = {(r.conv_id, r.turn, r.call_id): (r.result_turn, r.in_order) for r in linked(spark, rows)}
+    want = {(c, 0, f"{c}:0"): (1, True) for c in range(4)} | {(c, 2, f"{c}:2"): (None, True) for c in range(4)}
+    assert got == want | {(7, 0, "7:0"): (1, True), (8, 0, "8:0"): (None, True), (8, 1, "real"): (None, True)}
+
+
+def test_whole_numbers_and_canonical_results(spark):
+    rows = [(1, 0, "assistant", say(call("a", "reply", '{"turn": 1.0, "prompt": "x"}'), call("b", "reply", '{"turn": 1.5, "prompt": "x"}'))), (1, 1, "tool", '{"tool_call_id": "a", "content": {"z": 1, "a": [true, null]}}'), (1, 1, "tool", '{"tool_call_id": "b", "content": 7}')]
+    df = spark.createDataFrame(rows, ROWS)
+    got = {r.call_id: r for r in chat.link(df).collect()}
+    assert got["a"].errors == "" and got["b"].errors == "turn: not integer"
+    assert got["a"].json.endswith('"result":{"a":[true,null],"z":1}}') and got["b"].json.endswith('"result":7}')

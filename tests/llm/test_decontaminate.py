@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm import decontaminate, queries
+from tidemark.llm import common, decontaminate, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {k: k + 32 for k in range(65, 91)}
@@ -53,7 +53,7 @@ def fixture(seed):
 @pytest.mark.parametrize(("bits", "keys"), [(27, 500_000), (5, 0)])
 def test_equals_brute_force(spark, monkeypatch, seed, bits, keys):
     """Also with a bitmap that lets nearly everything through, and with the shuffled join."""
-    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    monkeypatch.setattr(common, "MOST_BITS", bits)
     monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", keys)
     docs, items = fixture(seed)
     got = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
@@ -74,8 +74,8 @@ def test_driver_tables(spark):
 def test_bitmap(spark):
     rng = random.Random(1)
     h = [rng.randrange(-(2**63), 2**63) for _ in range(500)]
-    bits, data = decontaminate.bitmap(spark.createDataFrame([(x,) for x in h], "h long"), "h")
-    look = decontaminate._Look(bits, data)
+    bits, data = common.bitmap(spark.createDataFrame([(x,) for x in h], "h long"), len(h))
+    look = common.Bitmap(bits, data)
     own = np.array(h, dtype=np.int64).view(np.uint64)
     assert look(own).all() and look(np.arange(10**6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).mean() < 0.05
 

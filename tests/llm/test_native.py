@@ -21,7 +21,7 @@ def test_plans_are_native(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
+    for t in ("documents", "conversations", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     df = queries.queries()[name](spark, D)
     found = con.execute(queries.oracle_sql()[name])
@@ -233,3 +233,21 @@ def test_runs_of_lines(spark):
     got = [r.identifiers for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == [["mit-licensed"], [], [], ["cc-by", "reserved"], ["mit-title"]]
     assert all(any(k in s for k in licenses.KEYWORDS) for s in licenses.known())
+
+
+def test_every_sentence_wrapped_at_every_space(spark):
+    """A line break, or two spaces, at any one space of any sentence doesn't lose it."""
+    rows = []
+    for name, text in licenses.SENTENCES.items():
+        words = text.split(" ")
+        rows += [(name, " ".join(words[:k]) + gap + " ".join(words[k:])) for k in range(1, len(words)) for gap in ("\n", "  ", "\n\t")]
+        rows.append((name, text.replace(" ", "\n")))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    lost = {r.doc_id for r in got if r.doc_id not in r.identifiers}
+    assert len(got) == len(rows) and not lost, lost
+
+
+def test_tags(spark):
+    rows = [("a", "# SPDX-License-Identifier: MIT\nimport x"), ("b", "/* SPDX-License-Identifier: GPL-3.0-or-later */"), ("c", "// SPDX-License-Identifier: Unheard-Of-1.0"), ("d", "GNU General Public License v3.0")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": ["MIT"], "b": ["GPL-3.0-or-later"], "c": [], "d": ["GPL-3.0"]}

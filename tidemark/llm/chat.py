@@ -3,10 +3,11 @@
 Calls and results are joined by conversation and identifier, put in topological order, their arguments validated
 against schemas and serialised as canonical JSON (sorted keys, no spaces).
 
-A message carries calls if its text is a JSON object with `tool_calls` (id, name, arguments, after); a message
-of role `tool` with a `tool_call_id` is a result. Plain chats have neither, so for them every user turn is
-a call of the tool `reply` with identifier `conversation:turn`, answered by the assistant's message of the
-next turn and depending on the user turn two before.
+A message of role `assistant` carries calls if its text is a JSON object, whatever white space stands before it, whose
+`tool_calls` (id, name, arguments, after) can be read and list one call at least; no other role calls tools. A message of
+role `tool` with a `tool_call_id` is a result. Every user turn, whatever its text looks like, is a call of the tool
+`reply` with identifier `conversation:turn`, answered by the assistant's plain message of the next turn and depending on
+the user turn two before. So a text that only looks like calls, or lists none, is a plain message of its role.
 
 Linking: identifiers belong to their conversation. A result answers the last call of its identifier in an earlier
 turn, and a call takes the first result it gets, so an identifier that is used again starts anew.
@@ -16,8 +17,10 @@ earlier turn. `level` is the longest chain of dependencies within the message, f
 message's calls until none changes; calls that stand on a cycle, or follow one, have none. A call is `in_order` if
 it has a level and all it depends on exists in its message or earlier.
 
+A result's content that is a JSON text counts as that text; any other JSON value is serialised canonically as itself.
+
 Defined results: null texts are empty; calls and results without a conversation, a turn or an identifier link with
-nothing, and such calls keep their rows; ties: calls that repeat an identifier in one turn all get the same result,
+nothing, and such calls, plain user turns among them, keep their rows and have a null call_id if it can't be formed; ties: calls that repeat an identifier in one turn all get the same result,
 and of results of one turn the smallest text counts; repeated rows keep their rows; results without an earlier call
 are left out; an empty table gives no rows; texts of any length are read whole; columns beside conv_id, turn, role and
 text are not looked at. A task sorts at most the calls and results of one identifier of one conversation.
@@ -55,8 +58,12 @@ def _identifier(turn: Column) -> Column:
     return F.concat_ws(":", F.col("conv_id"), turn)
 
 
-def _coded() -> Column:
-    return F.col("text").startswith("{") & F.contains("text", F.lit('"tool_calls"'))
+def _told() -> Column:
+    """The calls that an assistant's message lists; null where it lists none."""
+    start = F.regexp_replace("text", r"^[ \t\r\n]+", "")
+    found = F.from_json(start, _CALLS, {"mode": "PERMISSIVE"})["tool_calls"]
+    looks = (F.col("role") == "assistant") & F.contains("text", F.lit('"tool_calls"')) & F.startswith(start, F.lit("{"))
+    return F.when(looks & F.try_parse_json(start).isNotNull() & (F.size(found) > 0), found)
 
 
 def _levels(listed: Column) -> Column:
@@ -85,35 +92,37 @@ def _levels(listed: Column) -> Column:
 def calls(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, place, call_id, name, arguments, level, outside) of every call."""
     rows = messages(rows)
-    listed = F.from_json("text", _CALLS, {"mode": "PERMISSIVE"})["tool_calls"]
-    told = rows.where(_coded()).select("conv_id", "turn", listed.alias("c")).where(F.size("c") > 0)
+    told = rows.where(F.contains("text", F.lit('"tool_calls"'))).select("conv_id", "turn", _told().alias("c")).where(F.size("c") > 0)
     told = told.select("conv_id", "turn", F.posexplode(F.arrays_zip(F.col("c").alias("c"), _levels(F.col("c")).alias("o"))).alias("place", "x"))
     told = told.select("conv_id", "turn", "place", F.col("x.c.id").alias("call_id"), "x.c.name", "x.c.arguments", "x.o.level", "x.o.outside")
-    plain = rows.where((F.col("role") == "user") & ~_coded() & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    plain = rows.where(F.col("role") == "user")
     plain = plain.select(
         "conv_id",
         "turn",
         F.lit(0).alias("place"),
-        _identifier(F.col("turn")).alias("call_id"),
+        F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), _identifier(F.col("turn"))).alias("call_id"),
         F.lit("reply").alias("name"),
         F.to_json(F.struct(F.col("turn"), F.col("text").alias("prompt"))).alias("arguments"),
         F.lit(0).alias("level"),
-        F.when(F.col("turn") >= 2, F.array(_identifier(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("outside"),
+        F.when((F.col("turn") >= 2) & F.col("conv_id").isNotNull(), F.array(_identifier(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("outside"),
     )
     return told.unionByName(plain)
 
 
 def results(rows: DataFrame) -> DataFrame:
-    """(conv_id, call_id, result_turn, content) of every result that can be linked."""
+    """(conv_id, call_id, result_turn, content, raw) of every result that can be linked; raw content is JSON already."""
     rows = messages(rows)
+    value = F.try_variant_get(F.try_parse_json("text"), "$.content", "variant")
+    raw = value.isNotNull() & (F.schema_of_variant(value) != "STRING")
     told = rows.where(F.col("role") == "tool").select(
         "conv_id",
         F.get_json_object("text", "$.tool_call_id").alias("call_id"),
         F.col("turn").alias("result_turn"),
-        F.coalesce(F.get_json_object("text", "$.content"), F.lit("")).alias("content"),
+        F.coalesce(F.when(raw, F.to_json(value)), F.get_json_object("text", "$.content"), F.lit("")).alias("content"),
+        F.coalesce(raw, F.lit(False)).alias("raw"),
     )
-    plain = rows.where((F.col("role") == "assistant") & ~_coded())
-    plain = plain.select("conv_id", _identifier(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("result_turn"), F.col("text").alias("content"))
+    plain = rows.where((F.col("role") == "assistant") & _told().isNull())
+    plain = plain.select("conv_id", _identifier(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("result_turn"), F.col("text").alias("content"), F.lit(False).alias("raw"))
     return told.unionByName(plain).where("conv_id is not null and result_turn is not null and call_id is not null")
 
 
@@ -135,7 +144,11 @@ def violations(name: Column, arguments: Column, schemas: dict = SCHEMAS) -> Colu
         known = known | own
         for field, kind, required, *limits in fields:
             value = F.try_variant_get(parsed, f"$.{field}", "variant")
-            wrong = value.isNotNull() & ~F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0).isin(*_TYPES[kind])
+            type_ = F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
+            wrong = value.isNotNull() & ~type_.isin(*_TYPES[kind])
+            if kind == "integer":  # a whole number is one however it is written
+                real = F.try_variant_get(parsed, f"$.{field}", "double")
+                wrong = wrong & ~(type_.isin(*_TYPES["number"]) & F.coalesce(real == F.floor(real), F.lit(False)))
             if required:
                 found.append(F.when(own & parsed.isNotNull() & value.isNull(), F.lit(f"{field}: missing")))
             found.append(F.when(own & wrong, F.lit(f"{field}: not {kind}")))
@@ -167,10 +180,10 @@ def link(rows: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """
     call = calls(rows)
     own = F.struct("place", "level", "name", "arguments", "outside")
-    call_rows = call.select("conv_id", "call_id", "turn", own.alias("c"), F.lit(None).cast("string").alias("content"), F.lit(0).alias("kind"))
+    call_rows = call.select("conv_id", "call_id", "turn", own.alias("c"), F.lit(None).cast("string").alias("content"), F.lit(False).alias("raw"), F.lit(0).alias("kind"))
     no_call = F.lit(None).cast(call_rows.schema["c"].dataType)
-    result_rows = results(rows).select("conv_id", "call_id", F.col("result_turn").alias("turn"), no_call.alias("c"), "content", F.lit(1).alias("kind"))
-    unmet_rows = _unmet(call).select("conv_id", "call_id", "turn", no_call.alias("c"), F.col("need").alias("content"), F.lit(2).alias("kind"))
+    result_rows = results(rows).select("conv_id", "call_id", F.col("result_turn").alias("turn"), no_call.alias("c"), "content", "raw", F.lit(1).alias("kind"))
+    unmet_rows = _unmet(call).select("conv_id", "call_id", "turn", no_call.alias("c"), F.col("need").alias("content"), F.lit(False).alias("raw"), F.lit(2).alias("kind"))
     stacked = call_rows.unionByName(result_rows).unionByName(unmet_rows)
     # Calls that can't be linked are dealt by their arguments, so that they don't meet in one task.
     loose = F.col("conv_id").isNull() | F.col("call_id").isNull() | F.col("turn").isNull()
@@ -178,7 +191,7 @@ def link(rows: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     falling = Window.partitionBy("conv_id", "call_id", "alone").orderBy(F.desc("turn"))
     later, same = falling.rangeBetween(Window.unboundedPreceding, -1), falling.rangeBetween(Window.currentRow, Window.currentRow)
     placed = stacked.withColumns({
-        "r": F.min(F.when(F.col("kind") == 1, F.struct(F.col("turn").alias("result_turn"), "content"))).over(later),
+        "r": F.min(F.when(F.col("kind") == 1, F.struct(F.col("turn").alias("result_turn"), "content", "raw"))).over(later),
         "again": F.min(F.when(F.col("kind") == 0, F.col("turn"))).over(later),
         "unmet": F.collect_set(F.when(F.col("kind") == 2, F.col("content"))).over(same),
     }).where("kind = 0")
@@ -198,7 +211,7 @@ def link(rows: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
         F.lit(',"name":'),
         value(F.coalesce("c.name", F.lit(""))),
         F.lit(',"result":'),
-        text(F.col("r.content")),
+        F.when(F.col("r.raw"), F.col("r.content")).otherwise(text(F.col("r.content"))),
         F.lit("}"),
     )
     return placed.select(

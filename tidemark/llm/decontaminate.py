@@ -9,9 +9,10 @@ SHINGLE words (of all its words, if it has fewer). A document contains a window
    on the shingle. Its place in the window bounds where the window starts, the window's length where it ends.
 4. What is left is verified word by word, so equal hashes of different shingles don't matter.
 
-Items and windows are tables all the way, and both scans of the documents cost the same however many items there are.
-What the scans look for reaches them as a bitmap of at most MOST_BITS bits, which lets too much through and never too
-little; the joins are exact.
+Items and windows are tables all the way. What the scans look for reaches them as a bitmap that tasks build in slices, of
+at most 16 MB however many items there are; it lets too much through and never too little, and the joins are exact. Up to
+two million shingles of items about one document word in 64 passes by chance; beyond, more and more do, and as each takes
+the words around it along, the scanned table grows, at a hundred million shingles to several times the documents.
 
 Defined results: a null or empty text has no words and no hits; very long texts are read whole; an item without an id
 or words has no windows; ties: equal windows of several items give all of them, and repeated items count once; repeated
@@ -28,11 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORDS, RunHashes, materialise, release
+from .common import ASCII_WORDS, Bitmap, RunHashes, bitmap, materialise, release
 
 WINDOW, SHINGLE = 10, 5
-#: Bits of a bitmap for each shingle in it, and the most bits a bitmap has (16 MB).
-SPREAD, MOST_BITS = 64, 27
 #: Digests of contaminated texts (about 100 bytes each in the join's table) are broadcast up to this number.
 BROADCAST_KEYS = 500_000
 
@@ -72,33 +71,11 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(_window_rows(window), WINDOWS)
 
 
-def bitmap(hashes: DataFrame, column: str) -> tuple[int, bytes]:
-    """(bits, bytes): a bit for each hash, at its lowest bits. Of any table at most 2^MOST_BITS bits reach the driver."""
-    bits = min(MOST_BITS, max(16, (SPREAD * hashes.count()).bit_length()))
-    place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    parts = hashes.groupBy(F.shiftright(place, 5).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 31 as int))")).alias("b"))
-    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    for w, b in parts.collect():
-        out[w] = b
-    return bits, out.tobytes()
-
-
-class _Look:
-    """Which of the hashes may be in the bitmap."""
-
-    def __init__(self, bits: int, data: bytes):
-        self.words, self.mask = np.frombuffer(data, dtype=np.uint32), np.uint64((1 << bits) - 1)
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        place = h & self.mask
-        return (self.words[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
-
-
 def _counted(filter_: tuple[int, bytes], widths: list[int]):
     """In how many documents of a partition's pieces each hash of the bitmap is."""
 
     def run(batches):
-        look, hashes = _Look(*filter_), RunHashes()
+        look, hashes = Bitmap(*filter_), RunHashes()
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
@@ -115,7 +92,7 @@ def _counted(filter_: tuple[int, bytes], widths: list[int]):
 
 def _scanned(filter_: tuple[int, bytes], widths: list[int], window: int):
     def run(batches):
-        look, hashes = _Look(*filter_), RunHashes()
+        look, hashes = Bitmap(*filter_), RunHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
@@ -152,9 +129,10 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tu
     own = every.groupBy("window").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles"))
     # Windows have `window` words or fewer, so there are few widths.
     widths = sorted({min(SHINGLE, r[0]) for r in every.select(F.size("words")).distinct().collect()})
-    asked = bitmap(every.select(F.explode("shingles").alias("h")).distinct(), "h")
+    shingles = materialise(every.select(F.explode("shingles").alias("h")).distinct(), "shingles")
+    asked = bitmap(shingles, shingles.count())
     probes = materialise(_probes(docs.select("text"), own, asked, widths), "probes")
-    table = materialise(docs.mapInArrow(_scanned(bitmap(probes.select("h").distinct(), "h"), widths, window), SCANNED), "scanned")
+    table = materialise(docs.mapInArrow(_scanned(bitmap(probes.select("h"), probes.count()), widths, window), SCANNED), "scanned")
 
     places = table.where(F.size("found") > 0).select("digest", F.explode("found").alias("f")).select("digest", "f.*")
     met = places.join(probes, "h").where((F.col("place") <= F.col("before")) & (F.size("around") - F.col("before") + F.col("place") >= F.size("words")))

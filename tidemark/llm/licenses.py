@@ -61,7 +61,32 @@ SENTENCES = {
     "boost": "Distributed under the Boost Software License, Version 1.0.",
     "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "reserved": "All rights reserved.",
+    "gpl3-title": "GNU General Public License v3.0",
+    "gpl3-heading": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-title": "GNU General Public License v2.0",
+    "gpl2-heading": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl3-heading": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-heading": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "agpl3-heading": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "apache-heading": "Apache License Version 2.0, January 2004",
+    "apache-as-is": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "bsd3-title": "BSD 3-Clause License",
+    "bsd2-title": "BSD 2-Clause License",
+    "isc-title": "ISC License",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "mpl2-title": "Mozilla Public License Version 2.0",
+    "cc-by-nd-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nc-nd-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "wtfpl": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "artistic2-title": "The Artistic License 2.0",
 }
+# Identifiers of the SPDX list whose tags are known.
+TAGS = (
+    "Apache-2.0 MIT MIT-0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later "
+    "AGPL-3.0-only AGPL-3.0-or-later BSD-2-Clause BSD-3-Clause ISC MPL-2.0 EPL-2.0 BSL-1.0 Zlib Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 Artistic-2.0 WTFPL"
+).split()
+SENTENCES |= {f"spdx-{name.lower()}": f"SPDX-License-Identifier: {name}" for name in TAGS}
 # Rules as identifier sequences, with the license each shows.
 RULES = [
     ("Apache-2.0", ["apache-named"]),
@@ -94,11 +119,33 @@ RULES = [
     ("BSL-1.0", ["boost"]),
     ("MPL-2.0", ["mpl2"]),
     ("Proprietary", ["reserved"]),
+    ("GPL-3.0", ["gpl3-title"]),
+    ("GPL-3.0", ["gpl3-heading"]),
+    ("GPL-2.0", ["gpl2-title"]),
+    ("GPL-2.0", ["gpl2-heading"]),
+    ("LGPL-3.0", ["lgpl3-heading"]),
+    ("LGPL-2.1", ["lgpl21-heading"]),
+    ("AGPL-3.0", ["agpl3-heading"]),
+    ("Apache-2.0", ["apache-heading"]),
+    ("Apache-2.0", ["apache-as-is"]),
+    ("BSD-3-Clause", ["bsd3-title"]),
+    ("BSD-2-Clause", ["bsd2-title"]),
+    ("ISC", ["isc-title"]),
+    ("Zlib", ["zlib-grant"]),
+    ("MPL-2.0", ["mpl2-title"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-long"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-long"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-long"]),
+    ("WTFPL", ["wtfpl"]),
+    ("Artistic-2.0", ["artistic2-title"]),
+    ("MIT", ["mit-warranty"]),
 ]
-#: Every known sentence holds one of these parts of words, so a text without any of them needs no cutting.
-KEYWORDS = ("licen", "permission", "redistribut", "warrant", "reserved", "cc0", "public domain")
+RULES += [(name, [f"spdx-{name.lower()}"]) for name in TAGS]
+#: Every known sentence holds one of these parts of words (no white space, so that no line break parts it); a text without
+#: any of them needs no cutting.
+KEYWORDS = ("licen", "permission", "redistribut", "warrant", "reserved", "cc0", "unencumbered")
 #: A sentence ends at these marks before white space, but not before a digit ("v. 2.0").
-_END = r"([.;!?])[ \t\r\n]+([^0-9])"
+_END = r"([.;!?])[ \t\r\n]+([^0-9 \t\r\n])"
 
 
 def _plain(text: str) -> str:

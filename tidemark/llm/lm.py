@@ -109,7 +109,12 @@ class Model:
                 met[p] = met.get(p, 0) + 1
                 start.setdefault(p, at if p == r["first_p"] else at + r["last_start"])
         cut = sorted(p for p in kept if met[p] > 1)
-        level = {"names": [r["name"] for r in rows], "bounds": [bounds[r["shard"]] for r in rows], "shards": [r["shard"] for r in rows], "n": n, "offset": offset, "total": total}
+        # A bound inside a parent's children stays one only if the parent has children on both sides.
+        found = [bounds[r["shard"]] for r in rows]
+        for i, (p, _) in enumerate(found if self.levels else []):
+            before, later = i and rows[i - 1]["last_p"] == p, rows[i]["first_p"] == p
+            found[i] = found[i] if before and later else (p + 1, -1) if before else (p, -1)
+        level = {"names": [r["name"] for r in rows], "bounds": found, "shards": [r["shard"] for r in rows], "n": n, "offset": offset, "total": total}
         level |= {"widest": max([r["widest"] for r in rows], default=0), "marks": [np.frombuffer(r["marks"], dtype=np.float64).reshape(-1, 2) for r in rows]}
         level |= {"cut": np.array(cut, dtype=np.int64), "cut_kept": np.array([kept[p] for p in cut]), "cut_start": np.array([start[p] for p in cut], dtype=np.int64)}
         self.levels.append(level)

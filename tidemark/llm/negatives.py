@@ -104,7 +104,7 @@ class _Group:
         self.ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
         self.labels = np.array([r["label"] for r in rows], dtype=np.int64)
         sizes = np.array([len(r["x"]) for r in rows])
-        self.parts = {int(s): np.array([r["x"] for r in rows if len(r["x"]) == s], dtype=np.float64).reshape(-1, s) for s in np.unique(sizes)}
+        self.parts = {int(s): np.array([r["x"] for r in rows if len(r["x"]) == s], dtype=np.float64).reshape(int((sizes == s).sum()), s) for s in np.unique(sizes)}
         self.first = {int(s): int(np.searchsorted(sizes, s)) for s in np.unique(sizes)}
 
     def blocks(self, size: int):

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import succinct
 from .common import held_out, release, scratch_path
 from .succinct import EliasFano
-from .tokens import Words, chunks, gathered, mix
+from .tokens import Words, chunks, distinct, gathered
 
 BUCKETS, HELD_BUCKET = 7, 2
 ORDER, DISCOUNT, LEAST = 3, 0.75, 2
@@ -263,15 +263,15 @@ def _runs(nodes: np.ndarray, first: np.ndarray, whole: bool) -> tuple[np.ndarray
     context = np.concatenate([[-1], nodes[:-1]])
     at = np.nonzero((context >= 0) & ~first & (whole | (nodes >= 0)))[0]
     width = int(nodes.max(initial=-1)) + 2
-    key, inverse, times = np.unique(context[at] * width + nodes[at] + 1, return_inverse=True, return_counts=True)
-    return at, key // width, key % width - 1, inverse, times
+    key, inverse = distinct(context[at] * width + nodes[at] + 1)
+    return at, key // width, key % width - 1, inverse, np.bincount(inverse, minlength=len(key))
 
 
 def _descend(reader: Reader, s: Stream, top: int, score: bool):
     """Look the runs of 1 to `top` words up. Returns each place's local number at level `top`, (node, place) by local
     number, counts of words by place and, with `score`, each place's probability."""
     model = reader.model
-    h, inverse = np.unique(s.h, return_inverse=True)
+    h, inverse = distinct(s.h)
     node, count = reader.words(h)
     counts = count[inverse]
     p = (counts + 1) / (model.tokens + model.words + 1) if score else None
@@ -304,7 +304,8 @@ def _counting(told, level: int, bounds: list[tuple[int, int]]):
         for _, part in _texts(batches, 0):
             s = Stream(part)
             if level == 1:
-                p, n = np.unique(s.h[~s.first], return_counts=True)
+                p, inverse = distinct(s.h[~s.first])
+                n = np.bincount(inverse, minlength=len(p))
                 r = np.zeros(len(p), dtype=np.int64)
             else:
                 local, node, place, *_ = _descend(reader, s, level - 1, False)

@@ -52,7 +52,8 @@ class EliasFano:
         self.n, self.low_bits = (int(x) for x in parts["head"])
         self.low, self.high = parts["low"], parts["high"]
         self.ones, self.zeros = parts.get("ones"), parts.get("zeros")
-        self.before = parts["before"]
+        self.before = parts["before"].astype(np.int64)
+        self.zeros_before = np.arange(len(self.before)) * 512 - self.before
 
     @staticmethod
     def build(values: np.ndarray, access: bool = True, find: bool = True) -> dict[str, np.ndarray]:
@@ -82,8 +83,7 @@ class EliasFano:
         short = np.nonzero(rest >= found)[0]
         if len(short):
             # Far from the noted place: the block of 512 bits that has it, then its words.
-            before = self.before.astype(np.int64)
-            before = np.arange(len(before)) * 512 - before if turned else before
+            before = self.zeros_before if turned else self.before
             block = np.searchsorted(before, rank[short], side="right") - 1
             at[short], rest[short] = block * 512, rank[short] - before[block]
             while len(short):

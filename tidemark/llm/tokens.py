@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from .common import ASCII_LOWER, _powers
@@ -51,6 +52,12 @@ def gathered(batches, column: int, most: int) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, the place among them of each): as np.unique, but only the distinct ones are sorted."""
+    inverse, found = pd.factorize(x, sort=True)
+    return found, inverse
+
+
 def chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) with about `most` bytes of text each; a longer text is a slice of its own."""
     if len(texts) == 0:
@@ -85,7 +92,7 @@ class Words:
         before = np.concatenate([[False], inside[:-1]])
         self.starts = np.nonzero(inside & (~before | cut))[0]
         self.ends = np.nonzero(before & (~inside | cut))[0]
-        self.row = np.searchsorted(offsets, self.starts, side="right") - 1
+        self.row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(self.starts, offsets)))
         self.rows = len(texts)
 
     def raw(self) -> bytes:

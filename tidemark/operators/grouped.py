@@ -86,4 +86,8 @@ def _columns(frames: list[pd.DataFrame]) -> dict[str, np.ndarray]:
 
 
 def _frame(parts: list[dict], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({k: [x for p in parts for x in p[k]] for k in names})
+    def column(k: str):
+        held = [p[k] for p in parts]
+        return np.concatenate(held) if all(isinstance(x, np.ndarray) and x.dtype == held[0].dtype for x in held) else [v for x in held for v in x]
+
+    return pd.DataFrame({k: column(k) for k in names})

@@ -4,31 +4,31 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .grouped import by_group
+
 
 def under_ceiling(requests: DataFrame, keys: list[str], order: list[str], cost: str, ceiling: float) -> DataFrame:
     """requests with `admitted`: in order, each that still fits is taken and the others are passed over.
 
     No running sum can say this, as a later, smaller request can fit after a larger one didn't; so each group's
-    requests, a plan of bounded size, are passed through once in order. A null cost is never admitted.
+    requests, a plan of bounded size, are passed through once in order, thousands of groups to a Python call. A null cost is never admitted.
     """
     fields = [f for f in requests.schema.fields if f.name != "admitted"]
     rows = requests.select(*[f.name for f in fields])
 
-    def admit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable", na_position="first")
+    def admit(g: dict) -> dict:
         used, taken = 0.0, []
-        for price in frame[cost].astype(float):
+        for price in g[cost].astype(float).tolist():
             fits = used + price <= ceiling
-            taken.append(bool(fits))
+            taken.append(fits)
             used += price if fits else 0.0
-        return frame.assign(admitted=taken)
+        return {f.name: g[f.name] for f in fields} | {"admitted": taken}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", admitted boolean"
-    return rows.groupBy(*keys).applyInPandas(admit, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", `admitted` boolean"
+    return by_group(rows, keys, order, admit, schema)
 
 
 def merge_requests(requests: DataFrame, keys: list[str], claim: str) -> DataFrame:
@@ -180,10 +180,11 @@ def greedy_suppress(df: DataFrame, keys: list[str], start: str, end: str, order:
     """
     from . import intervals
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
+    names = df.columns
+
+    def run(g: dict) -> dict:
         begins, ends, longest, rows = [], [], 0, []
-        for i, (a, z) in enumerate(zip(frame[start].tolist(), frame[end].tolist(), strict=True)):
+        for i, (a, z) in enumerate(zip(g[start].tolist(), g[end].tolist(), strict=True)):
             size = max(z - a, 1e-12)
             near = range(bisect_left(begins, a - longest), bisect_left(begins, z))
             if all(min(z, ends[k]) - max(a, begins[k]) <= most_overlap * size for k in near):
@@ -192,10 +193,10 @@ def greedy_suppress(df: DataFrame, keys: list[str], start: str, end: str, order:
                 ends.insert(k, z)
                 longest = max(longest, z - a)
                 rows.append(i)
-        return frame.iloc[rows].drop(columns="island")
+        return {k: g[k][rows] for k in names}
 
     parts = intervals.islands(df.where(F.col(start).isNotNull() & F.col(end).isNotNull()), keys, start, end, 0.0)
-    return parts.groupBy(*keys, "island").applyInPandas(run, df.schema)
+    return by_group(parts, [*keys, "island"], order, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
 
 
 def cap_matches(df: DataFrame, keys: list[str], order: list, cap: int) -> DataFrame:

@@ -7,12 +7,12 @@ dependent; decisions(scene, node, state). States are texts and undecided is OPEN
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import graph
+from .grouped import by_group
 
 #: What each evidence channel can establish.
 COMPETENCE = {
@@ -203,18 +203,17 @@ def plan_queries(claims: DataFrame, max_requests: int = 60, max_frames: int = 36
     rows = rows.withColumn("nth", F.row_number().over(same))
     fields = [f for f in rows.schema.fields if f.name not in ("status", "request")]
 
-    def admit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ord", "k"], kind="stable").reset_index(drop=True)
+    def admit(g: dict) -> dict:
         number, left_frames, left_audio = 0, max_frames, max_audio
         taken: list[int | None] = []
-        for first, is_long, n, s in zip(frame["nth"] == 1, frame["long"], frame["frames"], frame["audio_s"], strict=True):
+        for first, is_long, n, s in zip(g["nth"] == 1, g["long"], g["frames"].tolist(), g["audio_s"].tolist(), strict=True):
             fits = first and not is_long and number < max_requests and n <= left_frames and s <= left_audio
             if fits:
                 number, left_frames, left_audio = number + 1, left_frames - n, left_audio - s
             taken.append(number if fits else None)
-        return frame.assign(request=pd.array(taken, dtype="Int32"))
+        return {f.name: g[f.name] for f in fields} | {"request": taken}
 
-    planned = rows.groupBy("scene").applyInPandas(admit, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", request int")
+    planned = by_group(rows, ["scene"], ["ord", "k"], admit, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", `request` int")
     # Those merged take the number of the request they are equal to, if that one was admitted.
     key = Window.partitionBy("scene", "route", "profile", "start_s", "end_s", "subject", "long")
     owner = F.max("request").over(key)

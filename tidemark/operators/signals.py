@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals
+from .graph import _settle
 from .grouped import by_group
 
 #: What a match is, in the order of strength.
@@ -121,7 +122,8 @@ def pitch_grid(x: np.ndarray, rate: float, step: int, floor: float, ceiling: flo
     k = np.arange(n)
     before, here, after = r[k, at - 1], r[k, at], r[k, np.minimum(at + 1, size - 1)]
     bend = before - 2 * here + after
-    lag = at + np.divide(0.5 * (before - after), bend, out=np.zeros(n), where=bend != 0)
+    # Only a true peak is refined; at the range's ends the lag itself counts.
+    lag = at + np.clip(np.divide(0.5 * (before - after), bend, out=np.zeros(n), where=bend < -1e-12), -0.5, 0.5)
     return np.where(here >= 0.45, rate / lag, np.nan), np.where(here > 0, here, 0.0), lead + size / 2
 
 
@@ -251,12 +253,13 @@ def apart(df: DataFrame, keys: list[str], place: str, order: list, distance: str
     return by_group(df, keys, order, step, kinds)
 
 
-def candidates(pairs: DataFrame, df: DataFrame, size: int, rate: float, fragments: tuple[float, ...] = FRAGMENTS, least: float = LEAST_SCORE, whole_s: float = WHOLE_S, together: int = 64) -> DataFrame:
+def candidates(pairs: DataFrame, df: DataFrame, size: int, rate: float, fragments: tuple[float, ...] = FRAGMENTS, least: float = LEAST_SCORE, whole_s: float = WHOLE_S, together: int = 64, distance: float = PEAK_DISTANCE, apart_from_query: bool = False) -> DataFrame:
     """Places where a window of a pair's query series correlates with its target series.
 
     pairs(pair, query, target, same) name series of df(series, channel, block, values). Windows of one length come to the
     target's blocks `together` at a time as a matrix; a block's halo is a window's length, so every stretch starts in one
-    block only. Peaks of one window are at least PEAK_DISTANCE window lengths apart, the strongest first.
+    block only. Peaks of one window are at least `distance` window lengths apart, the strongest first. Of a series that is
+    compared with itself (same) only what comes after the window counts; with apart_from_query, all that doesn't overlap it.
     """
     lengths = sorted({round(s * rate) for s in fragments})
     sizes = df.groupBy("series", "channel").agg(F.max(F.col("block") * size + F.size("values")).alias("size"))
@@ -289,6 +292,8 @@ def candidates(pairs: DataFrame, df: DataFrame, size: int, rate: float, fragment
                 score = np.abs(_scores(y, x[live]))
                 low = int(r.block) * size - int(r.first)
                 for i, s in zip(live, score, strict=True):
+                    if apart_from_query:  # a stretch that overlaps the window hides no neighbour
+                        s = np.where(np.abs(np.arange(len(s)) + int(r.first) - int(starts[i])) >= n, s, -1.0)
                     for k in _maxima(s, least, low, low + size):
                         at = int(r.first) + int(k)
                         if not r.same or at >= starts[i] + n:
@@ -296,7 +301,7 @@ def candidates(pairs: DataFrame, df: DataFrame, size: int, rate: float, fragment
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     found = units.select("pair", "same", "channel_a", "channel_b", "length", "starts", "flat", "block", "first", "values").mapInPandas(run, FOUND)
-    spaced = found.withColumn("_least", F.greatest(F.lit(1), F.floor((F.col("query_end") - F.col("query_start")) * PEAK_DISTANCE)).cast("double"))
+    spaced = found.withColumn("_least", F.greatest(F.lit(1), F.floor((F.col("query_end") - F.col("query_start")) * distance)).cast("double"))
     return apart(spaced, ["pair", "channel_a", "channel_b", "query_start", "query_end"], "target_start", [F.desc("score"), "target_start"], "_least").drop("_least")
 
 
@@ -342,7 +347,8 @@ def verified(found: DataFrame, pairs: DataFrame, df: DataFrame, size: int, aroun
     b = df.withColumnsRenamed({"series": "target", "channel": "channel_b"})
     both = slices(slices(rows, a, ["query", "channel_a"], size, "query_start", "query_end", "x"), b, ["target", "channel_b"], size, "_from", "_to", "y")
     checked = both.select("rid", "target_start", "x", "y").mapInPandas(_checked(around), CHECKED)
-    rows = rows.drop("_from", "_to", "target_start").join(checked, "rid")
+    # Written, as what follows looks at it several times.
+    rows = _settle(rows.drop("_from", "_to", "target_start").join(checked, "rid"))
 
     # Every channel of the two, where the one compared has equal samples.
     n_channels = df.groupBy("series").agg(F.countDistinct("channel").alias("n"), F.collect_set("channel").alias("channels"))
@@ -397,8 +403,8 @@ def compare(pairs: DataFrame, df: DataFrame, size: int, rate: float, around: int
     sizes = df.groupBy("series").agg(F.max(F.col("block") * size + F.size("values")).alias("n"))
     told = pairs.join(sizes.withColumnsRenamed({"series": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"series": "b", "n": "nb"}), "b")
     told = told.withColumns({"same": F.col("a") == F.col("b"), "turned": (F.col("na") > F.col("nb")) & (F.col("a") != F.col("b"))})
-    told = told.select("pair", "same", "turned", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("query"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("target"), F.least("na", "nb").alias("n_query"), (F.col("na") == F.col("nb")).alias("level"))
-    rows = verified(candidates(told, df, size, rate, **search), told, df, size, around).join(told.select("pair", "turned", "n_query", "level"), "pair")
+    told = _settle(told.select("pair", "same", "turned", F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("query"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("target"), F.least("na", "nb").alias("n_query"), (F.col("na") == F.col("nb")).alias("level")))
+    rows = _settle(verified(_settle(candidates(told, df, size, rate, **search)), told, df, size, around)).join(told.select("pair", "turned", "n_query", "level"), "pair")
 
     is_whole = (F.col("query_start") == 0) & (F.col("query_end") == F.col("n_query"))
     slack = round(0.002 * rate)
@@ -498,7 +504,7 @@ def hypotheses() -> list[tuple[float, float]]:
 TRANSFORMED = "pair string, channel_a int, channel_b int, query_start long, query_end long, ratio double, semitones double, frame long, score double, median_cosine double, support double, shift_s double, _least double"
 
 
-def transformed(pairs: DataFrame, df: DataFrame, size: int, rate: float = 16000.0, lengths: tuple[float, ...] = TRANSFORM_WINDOWS, least: float = TRANSFORM_LEAST, whole_s: float = WHOLE_S) -> DataFrame:
+def transformed(pairs: DataFrame, df: DataFrame, size: int, rate: float = 16000.0, lengths: tuple[float, ...] = TRANSFORM_WINDOWS, least: float = TRANSFORM_LEAST, whole_s: float = WHOLE_S, least_s: float = 0.35) -> DataFrame:
     """Stretches of the target that match a window of the query at another speed or pitch, for pairs(pair, query, target).
 
     Every window meets every hypothesis as a row of its own; the target's features are computed once for a block and its
@@ -511,7 +517,7 @@ def transformed(pairs: DataFrame, df: DataFrame, size: int, rate: float = 16000.
     most = round(whole_s * rate)
     sizes = df.groupBy("series", "channel").agg(F.max(F.col("block") * size + F.size("values")).alias("size"), F.sum(F.expr("aggregate(values, 0D, (s, v) -> s + v * v)")).alias("_square"))
     of_query = pairs.join(sizes.withColumnRenamed("series", "query"), "query").select("pair", "query", "target", F.col("channel").alias("channel_a"), "size")
-    asked = windows(of_query, lens, most).where((F.col("length") >= 0.35 * rate) & (F.col("length") <= most)).withColumn("rid", F.concat_ws("/", "pair", "channel_a", "length", "start"))
+    asked = windows(of_query, lens, most).where((F.col("length") >= least_s * rate) & (F.col("length") <= most)).withColumn("rid", F.concat_ws("/", "pair", "channel_a", "length", "start"))
     held = slices(asked, df.withColumnsRenamed({"series": "query", "channel": "channel_a"}), ["query", "channel_a"], size, "start", "end", "x")
     grid = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.lit(p).alias("semitones")) for r, p in hypotheses()]))
     rows = held.select("rid", "pair", "target", "channel_a", "start", "end", "length", "x", grid.alias("h")).select("*", "h.ratio", "h.semitones").drop("h")

@@ -132,7 +132,7 @@ def match_classes(spark, d):
     return table(spark, d, "events").select("event_id", media.match_class(F.col("value") / 100).alias("kind"), r6(media.decibels(F.col("value"))).alias("db"))
 
 
-@query("""SELECT o_orderkey AS orderkey, '[' || array_to_string(list_filter([CASE WHEN NOT regexp_matches(o_orderpriority, '^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$') THEN 'o_orderpriority: identifier' END, CASE WHEN NOT o_orderstatus IN ('F', 'O') THEN 'o_orderstatus: choice' END,
+@query("""SELECT o_orderkey AS orderkey, '[' || array_to_string(list_filter([CASE WHEN NOT regexp_matches(o_orderpriority, '^[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}$') THEN 'o_orderpriority: identifier' END, CASE WHEN NOT o_orderstatus IN ('F', 'O') THEN 'o_orderstatus: choice' END,
 CASE WHEN NOT (o_totalprice >= 1000 AND o_totalprice <= 400000) THEN 'o_totalprice: number' END], lambda x: x IS NOT NULL), ', ') || ']' AS violations FROM orders""")
 def contract_violations(spark, d):
     o = contracts.check(table(spark, d, "orders"), contracts.is_id("o_orderpriority"), contracts.is_choice("o_orderstatus", ["F", "O"]), contracts.is_number("o_totalprice", 1000, 400000))

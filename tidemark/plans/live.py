@@ -38,7 +38,8 @@ def session_stream(spark, d):
 def window_stream(spark, d):
     out = streams.windows(_events(spark, d), ["event_type"], "ts", "6 hours", "6 hours", "400 days")
     where = _shared(spark)
-    done = streams.run_to_latest(out, where + "/rows", where + "/state")
+    streams.run_updates(out, where + "/rows", where + "/state")
+    done = streams.merged(spark, where + "/rows", out.schema, ["event_type", "start_ts"])
     # A window's number, from the wall clock the time stamps were read with.
     number = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(start_ts as timestamp_ntz)) div 6")
     return done.select("event_type", number.alias("six_hours"), "n", F.round("total", 4).alias("total"))
@@ -56,4 +57,15 @@ def dedup_stream(spark, d):
 def running_ledger_stream(spark, d):
     out = streams.running_latest(_events(spark, d), ["user_id"], "event_id", ["event_type"])
     where = _shared(spark)
-    return streams.run_to_latest(out, where + "/rows", where + "/state").select("user_id", "event_id", "event_type", "n")
+    streams.run_updates(out, where + "/rows", where + "/state")
+    return streams.merged(spark, where + "/rows", out.schema, ["user_id"]).select("user_id", "event_id", "event_type", "n")
+
+
+@query("""SELECT user_id, max(event_id) AS revision, arg_max(event_type, event_id) AS action, CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'UNDECIDED' ELSE upper(arg_max(event_type, event_id)) END AS state, count(*) AS n_events
+FROM events GROUP BY user_id""")
+def decision_state_stream(spark, d):
+    """Each user's last event as a decision that is kept as keyed state; an error takes it back."""
+    out = streams.decisions(_events(spark, d), ["user_id"], "event_id", "event_type", "error")
+    where = _shared(spark)
+    streams.run_updates(out, where + "/rows", where + "/state")
+    return streams.merged(spark, where + "/rows", out.schema, ["user_id"])

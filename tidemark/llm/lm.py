@@ -217,9 +217,11 @@ class Reader:
             local = local[inside]
             if scores:
                 rest[a + inside] = plain["rests"][plain["rest"][local]]
-            start, end = s["start"].pairs(local)
+            # Those without a last word have been answered; pointers are read for the others only.
+            inside = inside[r[a + inside] >= 0]
+            start, end = s["start"].pairs(p[a + inside] - int(plain["first"][0]))
             want = r[a + inside]
-            some = np.nonzero((end > start) & (want >= 0))[0]
+            some = np.nonzero(end > start)[0]
             start, end = start[some], end[some]
             base = np.zeros(len(some), dtype=np.int64)
             later = start > 0

@@ -102,3 +102,10 @@ def test_awkward_rows(spark, awkward, nothing):
     assert decontaminate.scan(nothing, items).count() == 0
     assert {r.n_hit for r in decontaminate.scan(awkward, items.where("false")).collect()} == {0}
     assert decontaminate.keep_clean(awkward, items).columns == awkward.columns
+
+
+def test_runs():
+    there = np.array([1, 1, 0, 1, 1, 1, 0, 0, 1], dtype=bool)
+    for least, want in ((1, there), (2, [1, 1, 0, 1, 1, 1, 0, 0, 0]), (3, [0, 0, 0, 1, 1, 1, 0, 0, 0]), (4, [0] * 9)):
+        assert decontaminate.in_runs(there, least).tolist() == [bool(x) for x in want]
+    assert decontaminate.in_runs(np.zeros(0, dtype=bool), 2).tolist() == []

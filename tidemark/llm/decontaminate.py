@@ -10,9 +10,9 @@ SHINGLE words (of all its words, if it has fewer). A document contains a window
 4. What is left is verified word by word, so equal hashes of different shingles don't matter.
 
 Items and windows are tables all the way. What the scans look for reaches them as a bitmap that tasks build in slices, of
-at most 16 MB however many items there are; it lets too much through and never too little, and the joins are exact. Up to
-two million shingles of items about one document word in 64 passes by chance; beyond, more and more do, and as each takes
-the words around it along, the scanned table grows, at a hundred million shingles to several times the documents.
+at most 16 MB however many items there are; it lets too much through and never too little, and the joins are exact. A
+probe only counts where it stands in a run of as many shingles as a window has, six for windows of ten words: while items
+have under two million shingles, one word in 64^6 passes by chance, and one in 64 of a map that is half full.
 
 Defined results: a null or empty text has no words and no hits; very long texts are read whole; an item without an id
 or words has no windows; ties: equal windows of several items give all of them, and repeated items count once; repeated
@@ -90,18 +90,32 @@ def _counted(filter_: tuple[int, bytes], widths: list[int]):
     return run
 
 
-def _scanned(filter_: tuple[int, bytes], widths: list[int], window: int):
+def in_runs(there: np.ndarray, least: int) -> np.ndarray:
+    """Which places stand in a run of at least so many true ones."""
+    edges = np.diff(np.concatenate([[0], there.view(np.int8), [0]]))
+    starts, stops = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+    long = stops - starts >= least
+    marks = np.zeros(len(there) + 1, dtype=np.int32)
+    marks[starts[long]] += 1
+    marks[stops[long]] -= 1
+    return np.cumsum(marks[:-1]) > 0
+
+
+def _scanned(asked: tuple[int, bytes], filter_: tuple[int, bytes], widths: dict[int, int], window: int):
+    """widths: the fewest shingles that a window with shingles of that width has. All of them follow one another in a text
+    that holds the window, so a probe that doesn't stand in such a run of shingles of items is passed over."""
+
     def run(batches):
-        look, hashes = Bitmap(*filter_), RunHashes()
+        every, look, hashes = Bitmap(*asked), Bitmap(*filter_), RunHashes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 digests, sizes, found = [], [], []
                 for text in part.column(1).to_pylist():
                     words, mine = words_of(text), []
-                    for width in widths:
+                    for width, least in widths.items():
                         h = hashes(words, width)
-                        for at in np.nonzero(look(h))[0].tolist():
+                        for at in np.nonzero(in_runs(every(h), least) & look(h))[0].tolist():
                             before = min(at, window - 1)
                             mine.append({"h": int(h[at].view(np.int64)), "at": at, "before": before, "around": words[at - before : at + window]})
                     digests.append(hashlib.md5(text.encode("utf-8", "replace")).digest() if text is not None else None)
@@ -128,11 +142,13 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tu
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = every.groupBy("window").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles"))
     # Windows have `window` words or fewer, so there are few widths.
-    widths = sorted({min(SHINGLE, r[0]) for r in every.select(F.size("words")).distinct().collect()})
+    widths: dict[int, int] = {}
+    for n in sorted(r[0] for r in every.select(F.size("words")).distinct().collect()):
+        widths.setdefault(min(SHINGLE, n), n - min(SHINGLE, n) + 1)
     shingles = materialise(every.select(F.explode("shingles").alias("h")).distinct(), "shingles")
     asked = bitmap(shingles, shingles.count())
-    probes = materialise(_probes(docs.select("text"), own, asked, widths), "probes")
-    table = materialise(docs.mapInArrow(_scanned(bitmap(probes.select("h"), probes.count()), widths, window), SCANNED), "scanned")
+    probes = materialise(_probes(docs.select("text"), own, asked, list(widths)), "probes")
+    table = materialise(docs.mapInArrow(_scanned(asked, bitmap(probes.select("h"), probes.count()), widths, window), SCANNED), "scanned")
 
     places = table.where(F.size("found") > 0).select("digest", F.explode("found").alias("f")).select("digest", "f.*")
     met = places.join(probes, "h").where((F.col("place") <= F.col("before")) & (F.size("around") - F.col("before") + F.col("place") >= F.size("words")))

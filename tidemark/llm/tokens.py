@@ -11,6 +11,8 @@ import pyarrow as pa
 from .common import ASCII_LOWER, _powers
 
 _LOWER = np.frombuffer(ASCII_LOWER, dtype=np.uint8)
+#: Bytes that are hashed together.
+HASHED = 1 << 17
 #: Space, and tab to carriage return.
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -100,13 +102,22 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word: equal words have equal ones, others as good as never."""
-        n = len(self.codes)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        if n:
-            np.multiply(self.codes.astype(np.uint64) + np.uint64(1), _grown(n)[0][:n], out=sums[1:])
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        at = 0
+        # Sums of so few bytes at a time stay in a core's cache, as do the powers, which are the same each time.
+        while at < len(out):
+            base = int(self.starts[at])
+            to = max(at + 1, int(np.searchsorted(self.ends, base + HASHED, side="right")))
+            starts, ends = self.starts[at:to] - base, self.ends[at:to] - base
+            n = int(ends[-1])
+            up, down = _grown(n)
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.multiply(self.codes[base : base + n], up[:n], out=sums[1:])
+            sums[1:] += up[:n]
             np.cumsum(sums, out=sums)
-        h = (sums[self.ends] - sums[self.starts]) * _grown(n)[1][self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64))
+            out[at:to] = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+            at = to
+        return out
 
 
 _tables: list[np.ndarray] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,6 +81,57 @@ def duplicate_groups(df: DataFrame, key: str, ident: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"), F.min(ident).alias("first_id")).where("n > 1")
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, block_bytes: int = 16 << 20) -> DataFrame:
+    """(a, b, rank, cosine): the k vectors nearest to each query by cosine, itself left out; ties by smaller id.
+
+    Queries, a stated set, are taken in groups of at most block_bytes, each broadcast; a task multiplies a group with its
+    own rows and keeps k for each query, so k rows a query and task are shuffled, never a pair for every two vectors.
+    Vectors of another length than the query's, nulls and zero vectors have no cosine and don't take part.
+    """
+    spark = vectors.sparkSession
+    usable = lambda df: df.select(F.col(ident).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x))")
+    rows, asked = usable(vectors), usable(queries)
+    held = asked.agg(F.sum(8 * F.greatest(F.size("v"), F.lit(8)))).first()[0] or 0
+    groups = -(-held // block_bytes)
+    found = None
+    for g in range(groups):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).collect()  # bounded by block_bytes
+        by_size: dict[int, list] = {}
+        for r in part:
+            by_size.setdefault(len(r["v"]), []).append(r)
+        told = spark.sparkContext.broadcast({n: (np.array([r["id"] for r in rs]), np.array([r["v"] for r in rs], dtype=float).reshape(len(rs), n)) for n, rs in by_size.items() if n})
+        best = rows.mapInPandas(_nearest(told, k), "a long, b long, cosine double")
+        found = best if found is None else found.unionByName(best)
+    if found is None:
+        found = spark.createDataFrame([], "a long, b long, cosine double")
+    order = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("a", "b", "rank", "cosine")
+
+
+def _nearest(told, k: int):
+    def run(frames):
+        kept: dict[tuple[int, int], list[tuple[float, int, float]]] = {}
+        for frame in frames:
+            sizes = frame["v"].map(len).to_numpy()
+            for n, (ids, q) in told.value.items():
+                fit = frame[sizes == n]
+                for at in range(0, len(fit), 4096):
+                    own = fit["id"].to_numpy()[at : at + 4096]
+                    x = np.stack(fit["v"].to_numpy()[at : at + 4096])
+                    norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+                    c = np.divide(x @ q.T, norms, out=np.full(norms.shape, -np.inf), where=norms > 0)
+                    c[own[:, None] == ids[None, :]] = -np.inf
+                    # Of equal cosines, to nine digits, the smaller id comes first.
+                    order = np.lexsort((np.broadcast_to(own[:, None], c.shape), -np.round(c, 9)), axis=0)[:k]
+                    for j in range(len(ids)):
+                        best = kept.get((n, j), []) + [(-round(float(c[i, j]), 9), int(own[i]), float(c[i, j])) for i in order[:, j] if c[i, j] > -np.inf]
+                        kept[n, j] = sorted(best)[:k]
+        out = [(int(told.value[n][0][j]), b, c) for (n, j), best in kept.items() for _, b, c in best]
+        yield pd.DataFrame(out, columns=["a", "b", "cosine"])
+
+    return run
+
+
 def upsert(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """current without the rows whose key comes anew, and the new rows; running it again changes nothing."""
     return current.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

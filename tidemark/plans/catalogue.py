@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import admitted, evidence, live, records, sounds, timed  # noqa: F401  registers on import
+from . import admitted, evidence, live, records, reviewed, sounds, timed  # noqa: F401  registers on import
 from .base import QUERIES, SQL
 
 

@@ -412,11 +412,8 @@ def merged_requests(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) AS rank FROM s) SELECT a, b, rank::INTEGER AS rank, round(c, 6) AS cosine FROM r WHERE rank <= 5""")
 def cosine_topk(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    # The query set is one vector in a hundred; beyond a fixed number it would be taken in blocks.
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"))
-    pairs = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb")).join(q, F.col("a") != F.col("b"))
-    scored = pairs.select("a", "b", kernels.cosine("ea", "eb").alias("c"))
-    return planning.cap_matches(scored, ["a"], [F.desc(F.round("c", 9)), "b"], 5).select("a", "b", "rank", r6("c").alias("cosine"))
+    found = search.nearest(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 5)
+    return found.select("a", "b", "rank", r6("cosine").alias("cosine"))
 
 
 @query("""WITH q AS (SELECT vec_id AS a, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN i % 8 = 1 THEN -x ELSE x END) AS ea FROM embeddings WHERE vec_id % 100 = 0),

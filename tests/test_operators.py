@@ -353,6 +353,7 @@ def test_runs_and_packs(spark, tmp_path):
     root = f"file://{tmp_path}/runs"
     assert writers.publish({"cues": spark.range(5)}, root, "r1") == {"cues": 5}
     assert writers.committed(spark, root, "r1", "cues").count() == 5
+    assert writers.committed(spark, root, "r1", "cues", verify=True).count() == 5
     with pytest.raises(FileExistsError):
         writers.publish({"cues": spark.range(5)}, root, "r1")
     with pytest.raises(ValueError):
@@ -370,3 +371,42 @@ def test_webvtt_stream_bounds_and_tags(spark):
     assert (r.start_s, r.end_s, r.estimated) == (1.0, 2.0, True)
     t = spark.createDataFrame([("s", {"TITLE": "x", "secret": "y"}), ("s", {"title": "z"})], "source string, tags map<string,string>")
     assert [(r.tag, r.conflict) for r in readers.tags(t, ["title"]).collect()] == [("title", True)]
+
+
+def test_published_tables_are_held_to_their_digest(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    df = spark.range(50).select("id", (F.col("id") / 7).alias("x"), F.create_map(F.lit("k"), "id").alias("m"))
+    assert writers.digest(df) == writers.digest(df.repartition(5).orderBy(F.desc("id"))) != writers.digest(df.withColumn("x", F.col("x") + 1))
+    assert writers.digest(df.where("false"))[0] == 0
+    writers.publish({"t": df}, root, "r")
+    df.where("id < 49").write.mode("overwrite").parquet(f"{root}/r/t")
+    with pytest.raises(ValueError, match="isn't what was published"):
+        writers.committed(spark, root, "r", "t", verify=True)
+
+
+def test_a_failed_run_leaves_a_mark(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    bad = spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        writers.publish({"good": spark.range(3), "bad": bad}, root, "r")
+    marks = {r.artifact: (r.n_rows, r.state) for r in spark.read.schema(writers.MANIFEST).json(f"{root}/_manifests").collect()}
+    assert marks == {"good": (3, "FAILED"), "bad": (None, "FAILED")}
+    with pytest.raises(FileNotFoundError):
+        writers.committed(spark, root, "r", "good")
+
+
+def test_an_appearance_at_another_speed_is_one():
+    rows = pd.DataFrame([(0.0, 1.0, 10.0, 11.1), (0.5, 1.5, 10.55, 11.65), (1.0, 2.0, 11.1, 12.2)], columns=["a_start", "a_end", "b_start", "b_end"])
+    assert kernels.cluster_appearances(rows, 0.05, 0.01).cluster.tolist() == [0, 0, 0]
+
+
+def test_nearest_by_blocks(spark):
+    x = np.random.default_rng(3).normal(size=(120, 5)).round(1)
+    x[7] = x[9]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [1.0]), (502, [0.0] * 5), (None, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, r + 1): j for i in range(0, 120, 20) for r, (_, j) in enumerate(sorted((-round(float(n[i] @ n[j]), 9), j) for j in range(120) if j != i)[:4])}
+    for size in (16 << 20, 100):
+        got = search.nearest(df.repartition(3), df.where("id % 20 = 0 AND id < 120"), "id", "v", 4, size).collect()
+        assert {(r.a, r["rank"]): r.b for r in got} == want

@@ -12,7 +12,7 @@ def readiness(claims: DataFrame, evidence: DataFrame, required: DataFrame) -> Da
     """claims(claim, kind), evidence(claim, modality), required(kind, modality): what is met, what is missing."""
     have = evidence.groupBy("claim").agg(F.sort_array(F.collect_set("modality")).alias("have"))
     need = required.groupBy("kind").agg(F.sort_array(F.collect_set("modality")).alias("need"))
-    out = claims.join(F.broadcast(need), "kind", "left").join(have, "claim", "left")
+    out = claims.join(need, "kind", "left").join(have, "claim", "left")
     none = F.array().cast("array<string>")
     out = out.withColumns({"have": F.coalesce("have", none), "need": F.coalesce("need", none)})
     out = out.withColumn("missing", F.sort_array(F.array_except("need", "have")))

@@ -62,8 +62,10 @@ def query(contours: DataFrame, segments: DataFrame, queries: DataFrame, rate: in
     )
     need = asked.select("query_id", "source", F.col("q0").alias("start_s"), F.col("q1").alias("end_s"))
     gaps = need.select("query_id", "source", "start_s", "end_s")
-    cover = need.select("query_id", "source").join(segments.select("source", "start_s", "end_s"), "source")
-    bare = intervals.missing(gaps.drop("source"), cover.drop("source"), ["query_id"]).select("query_id").distinct().withColumn("_gap", F.lit(True))
+    # Segments are looked up by buckets, so a query meets only those that it touches.
+    own = segments.select("source", F.col("start_s").alias("s0"), F.col("end_s").alias("s1"))
+    cover = intervals.overlap_join(need, own, ["source"], "start_s", "end_s", "s0", "s1", 30 * width).select("query_id", F.col("s0").alias("start_s"), F.col("s1").alias("end_s"))
+    bare = intervals.missing(gaps.drop("source"), cover, ["query_id"]).select("query_id").distinct().withColumn("_gap", F.lit(True))
     out = asked.join(found, "query_id", "left").join(bare, "query_id", "left")
     low = (F.col("voiced_fraction") < 0.4) | (F.col("n_voiced") < 5) | (F.col("_edge") > 0.1) | (F.col("octave_jumps") > 0) | (F.col("strength_median") < 0.6)
     flags = F.array_compact(F.array(

@@ -26,10 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back; the folder's tables go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what lies there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def remove() -> None:
         try:
@@ -39,6 +38,13 @@ def _settle(df: DataFrame) -> DataFrame:
             pass
 
     atexit.register(remove)
+    return path
+
+
+def _settle(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back; the folder's tables go when the driver ends."""
+    spark = df.sparkSession
+    path = scratch(spark, "round")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -219,7 +219,8 @@ def cluster_appearances(rows: pd.DataFrame, ratio_tol: float, offset_tol: float)
     clusters: list[dict] = []
     which = []
     for r in rows.sort_values(["a_start", "b_start"], kind="stable").itertuples():
-        ratio, offset = (r.b_end - r.b_start) / max(1e-9, r.a_end - r.a_start), r.b_start - r.a_start
+        ratio = (r.b_end - r.b_start) / max(1e-9, r.a_end - r.a_start)
+        offset = r.b_start - ratio * r.a_start
         for i, c in enumerate(clusters):
             if abs(c["ratio"] - ratio) <= ratio_tol and abs(c["offset"] - offset) <= offset_tol and r.a_start <= c["a_end"]:
                 c["a_end"] = max(c["a_end"], r.a_end)

@@ -78,10 +78,15 @@ def final_slope(df: DataFrame, keys: list[str], t: str, value: str, tail_s: floa
     return tail.groupBy(*keys).agg(F.count("*").alias("n_points"), slope(F.col(value), F.col(t), least).alias("final_slope"))
 
 
-def adjacent_duplicates(df: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
-    """df with `duplicate`: equal text right before or right after."""
+def adjacent_duplicates(df: DataFrame, keys: list[str], order: list[str], text: str, start: str | None = None, end: str | None = None, gap: float = 0.05) -> DataFrame:
+    """df with `duplicate`: equal text right before or right after. With start and end, the later of two must also start at
+    most `gap` after the earlier one's end."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    same = (F.col(text) == F.lag(text).over(w)) | (F.col(text) == F.lead(text).over(w))
+    before, after = F.col(text) == F.lag(text).over(w), F.col(text) == F.lead(text).over(w)
+    if start and end:
+        before = before & (F.col(start) <= F.lag(end).over(w) + gap)
+        after = after & (F.lead(start).over(w) <= F.col(end) + gap)
+    same = F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
     return df.withColumn("duplicate", F.coalesce(same, F.lit(False)))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import media, text
@@ -441,7 +439,7 @@ def index_generations(spark, d):
     """
     t = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     near = t.select((F.col("id") + 1000000000).alias("id"), F.transform("v", lambda x, i: x + 0.6 * F.get(F.col("v"), (i + 1) % F.size("v"))).alias("v"))
-    where = f"{graph.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    where = graph.scratch(spark, "index")
     for part in (t, near):
         index.extend(part, where, "id", "v", bits=480, bands=60, dim=64, least=0.8)
     return index.pairs(spark, where).select("a", "b", r6("cosine").alias("cosine"))

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..operators.graph import shared_folder
+from ..operators.graph import scratch
 from ..streaming import streams
 from .base import query, table
 
 
 def _shared(spark) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 def _events(spark, d):

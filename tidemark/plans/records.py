@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -56,7 +55,7 @@ def subtitle_files(spark, d):
     start = F.col("n_nationkey").cast("double")
     block = F.concat_ws("\n", F.col("n_nationkey").cast("string"), F.concat(at(start), F.lit(" --> "), at(start + 0.5)), F.concat(F.lit("<i>"), "n_name", F.lit("</i>")))
     files = n.select("n_regionkey", F.struct("n_nationkey", block.alias("b")).alias("x")).groupBy("n_regionkey").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    where = f"{graph.shared_folder(spark)}/srt-{uuid.uuid4().hex}"
+    where = graph.scratch(spark, "srt")
     files.select(F.array_join(F.transform("xs", lambda x: x["b"]), "\n\n").alias("value"), F.col("n_regionkey").alias("region")).repartition("region").write.partitionBy("region").text(where)
     cues = readers.subrip(spark, f"{where}/*")
     return cues.select(F.regexp_extract("path", r"region=(\d+)", 1).cast("long").alias("region"), "start_s", "end_s", "text", "malformed")
@@ -64,7 +63,7 @@ def subtitle_files(spark, d):
 
 @query("SELECT c_custkey::VARCHAR AS c_custkey, c_name FROM customer")
 def csv_files(spark, d):
-    where = f"{graph.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    where = graph.scratch(spark, "csv")
     writers.create(table(spark, d, "customer").select("c_custkey", "c_name"), where, "csv")
     return readers.csv(spark, where)
 
@@ -72,7 +71,7 @@ def csv_files(spark, d):
 @query("SELECT 'nation' AS artifact, n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
 def published_run(spark, d):
     """Two tables published as one run and read back through its manifest."""
-    root, run = f"{graph.shared_folder(spark)}/runs-{uuid.uuid4().hex}", "run-1"
+    root, run = graph.scratch(spark, "runs"), "run-1"
     n, s = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     writers.publish({"nation": n, "supplier": s}, root, run)
     read = lambda name: writers.committed(spark, root, run, name).select(F.lit(name).alias("artifact"), "id", "name")

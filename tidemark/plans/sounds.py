@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import kernels, signals
+from ..operators import kernels, signals, tracks
 from ..operators.graph import _settle
 from ..operators.grouped import by_group
 from .base import TRACK, query, r6, table, track
@@ -101,6 +101,15 @@ def channel_mean(spark, d):
     return signals.channel(rows, ["series"]).select("series", "sample_index", r6("value").alias("value"))
 
 
+@query(f"""WITH {TRACK}, e AS (SELECT *, us / 1e6 AS a, us / 1e6 + 3600 * (1 + event_id % 12) AS z FROM track),
+l AS (SELECT *, lag(event_type) OVER w AS bt, lag(z) OVER w AS bz, lead(event_type) OVER w AS ft, lead(a) OVER w AS fa FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
+SELECT event_id, coalesce(event_type = bt AND a <= bz + 0.05, false) OR coalesce(event_type = ft AND fa <= z + 0.05, false) AS duplicate FROM l""")
+def adjacent_repeats(spark, d):
+    """Events of one type that follow each other before the earlier one's hours are over."""
+    e = track(spark, d).withColumns({"a": F.col("us") / 1e6, "z": F.col("us") / 1e6 + 3600 * (1 + F.col("event_id") % 12)})
+    return tracks.adjacent_duplicates(e, ["user_id"], ["us", "event_id"], "event_type", "a", "z").select("event_id", "duplicate")
+
+
 EDGES = """e AS (SELECT o_custkey AS a, o_orderpriority AS b, l_orderkey * 8 + l_linenumber AS edge, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))::DOUBLE AS a0, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))::DOUBLE AS a1,
   CASE WHEN l_linenumber % 3 = 0 THEN 1.05 ELSE 1.0 END AS ratio, 50.0 * (l_suppkey % 2) AS off, l_returnflag = 'R' AS same FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
 

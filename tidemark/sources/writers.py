@@ -32,33 +32,57 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(tables: dict[str, DataFrame], root: str, run_id: str) -> dict[str, int]:
-    """Write a run's tables under _staging, count them back, rename, and write the manifest last.
+    """Write a run's tables under _staging, count and digest them as read back, rename, and write the manifest last.
 
-    A run without a manifest isn't committed. Returns rows by table.
+    A run without a COMMITTED manifest isn't committed; one that fails leaves a FAILED one. Returns rows by table.
     """
     spark = next(iter(tables.values())).sparkSession
     fs, final = _fs(spark, f"{root}/{run_id}")
     if fs.exists(final):
         raise FileExistsError(run_id)
     staged = f"{root}/_staging/{run_id}"
-    counts = {}
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{staged}/{name}")
-        counts[name] = spark.read.parquet(f"{staged}/{name}").count()
-    _, source = _fs(spark, staged)
-    if not fs.rename(source, final):
-        raise OSError(f"can't rename {staged}")
-    rows = spark.createDataFrame([(run_id, k, v) for k, v in counts.items()], "run_id string, artifact string, n_rows long")
-    rows.coalesce(1).write.mode("append").json(f"{root}/_manifests")
-    return counts
-
-
-def committed(spark: SparkSession, root: str, run_id: str, table: str) -> DataFrame:
-    """A table of a committed run."""
-    manifest = spark.read.schema("run_id string, artifact string, n_rows long").json(f"{root}/_manifests")
-    if manifest.where((F.col("run_id") == run_id) & (F.col("artifact") == table)).isEmpty():
+    found: dict[str, tuple[int, str]] = {}
+
+    def manifest(state: str) -> None:
+        listed = [(run_id, k, *found.get(k, (None, None)), state) for k in tables]
+        spark.createDataFrame(listed, MANIFEST).coalesce(1).write.mode("append").json(f"{root}/_manifests")
+
+    try:
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{staged}/{name}")
+            found[name] = digest(spark.read.parquet(f"{staged}/{name}"))
+        _, source = _fs(spark, staged)
+        if not fs.rename(source, final):
+            raise OSError(f"can't rename {staged}")
+    except Exception:
+        manifest("FAILED")
+        raise
+    manifest("COMMITTED")
+    return {k: n for k, (n, _) in found.items()}
+
+
+MANIFEST = "run_id string, artifact string, n_rows long, digest string, state string"
+
+
+def digest(df: DataFrame) -> tuple[int, str]:
+    """(rows, digest) of a table, whatever the order of its rows and files: the sum of its rows' hashes, in one pass."""
+    held = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    # Two hashes of a row, so that equal sums of different tables don't happen by chance.
+    a, b = F.xxhash64(*held), F.xxhash64(F.lit("row"), *held)
+    r = df.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(x.cast("decimal(20,0)")), F.lit(0)).cast("string").alias(k) for k, x in (("a", a), ("b", b))]).first()
+    return r["n"], hashlib.sha256(f"{r['n']}/{r['a']}/{r['b']}/{df.schema.simpleString()}".encode()).hexdigest()
+
+
+def committed(spark: SparkSession, root: str, run_id: str, table: str, verify: bool = False) -> DataFrame:
+    """A table of a committed run; with verify, one that isn't what was published is an error."""
+    manifest = spark.read.schema(MANIFEST).json(f"{root}/_manifests")
+    mark = manifest.where((F.col("run_id") == run_id) & (F.col("artifact") == table) & (F.col("state") == "COMMITTED")).first()
+    if mark is None:
         raise FileNotFoundError(f"{run_id} has no committed {table}")
-    return spark.read.parquet(f"{root}/{run_id}/{table}")
+    df = spark.read.parquet(f"{root}/{run_id}/{table}")
+    if verify and digest(df)[1] != mark["digest"]:
+        raise ValueError(f"{table} of {run_id} isn't what was published")
+    return df
 
 
 def pack(files: list[Path], target: Path) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contours, graph, reviews
+from ..operators import contours, graph, readings, reviews
 from .base import query, r6, table
 
 
@@ -83,3 +83,32 @@ def typed_edges(spark, d):
     edges = table(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"), F.col("l_returnflag").alias("relation"))
     found = graph.edge_violations(edges, parts.unionByName(suppliers))
     return found.select("src", "dst", "relation", F.array_join("violations", ",").alias("violations"))
+
+
+READINGS = """v AS (SELECT l_orderkey AS reading, l_linenumber AS version, l_suppkey % 4 AS place, sha256('{"reading":' || l_orderkey || ',"place":' || (l_suppkey % 4) || '}') AS digest FROM (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)),
+t AS (SELECT *, version = max(version) OVER (PARTITION BY reading) AS latest FROM v),
+x AS (SELECT l_orderkey AS reading, l_partkey * 8 + l_linenumber AS decision_id, CASE WHEN l_returnflag = 'R' THEN 'REJECT' ELSE 'ACCEPT' END AS decision, sha256('{"reading":' || l_orderkey || ',"place":' || (l_partkey % 5) || '}') AS digest FROM lineitem),
+s AS (SELECT reading, digest, max(latest) AS latest FROM t GROUP BY ALL),
+j AS (SELECT x.reading, decision_id, decision, CASE WHEN s.latest IS NULL THEN 'UNKNOWN_DIGEST' WHEN s.latest THEN 'APPLIES' ELSE 'STALE' END AS status FROM x LEFT JOIN s ON s.reading = x.reading AND s.digest = x.digest)"""
+
+
+def _readings(spark, d):
+    li = table(spark, d, "lineitem")
+    own = li.groupBy(F.col("l_orderkey").alias("reading"), F.col("l_linenumber").alias("version")).agg((F.max("l_suppkey") % 4).alias("place"))
+    frozen = readings.freeze(own, "reading", "version", ["place"])
+    told = F.sha2(F.to_json(F.struct(F.col("l_orderkey").alias("reading"), (F.col("l_partkey") % 5).alias("place"))), 256)
+    decisions = li.select(F.col("l_orderkey").alias("reading"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("decision_id"), F.when(F.col("l_returnflag") == "R", "REJECT").otherwise("ACCEPT").alias("decision"), told.alias("told_digest"))
+    return frozen, readings.judge(decisions, frozen, "reading")
+
+
+@query(f"WITH {READINGS} SELECT reading, decision_id, decision, status FROM j")
+def judged_readings(spark, d):
+    """Lines as versions of an order's reading, and decisions that were made on one of its states or on none."""
+    return _readings(spark, d)[1].select("reading", "decision_id", "decision", "status")
+
+
+@query(f"""WITH {READINGS}, g AS (SELECT reading, min(decision) FILTER (status = 'APPLIES') AS a, max(decision) FILTER (status = 'APPLIES') AS z, count(*) FILTER (status = 'STALE') AS n_stale FROM j GROUP BY reading)
+SELECT t.reading, t.digest, CASE WHEN a IS NULL THEN 'OPEN' WHEN a = z THEN a ELSE 'CONFLICT' END AS state, coalesce(n_stale, 0) AS n_stale FROM t LEFT JOIN g ON g.reading = t.reading WHERE t.latest""")
+def projected_readings(spark, d):
+    """The latest state of every reading under the decisions that still apply to it."""
+    return readings.projected(*_readings(spark, d), "reading", "decision")

@@ -161,15 +161,22 @@ class Bitmap:
         return (self.bytes[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Arrow's own pool keeps what it frees, as does the C library."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if back:
+        back(0)
+
+
 def release() -> None:
     """Give a finished partition's memory back; Python workers live on and serve other queries."""
-    import ctypes
     import gc
 
     gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    trim()
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:

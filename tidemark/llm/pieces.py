@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import release, trim
 
 MARK = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
@@ -330,7 +330,7 @@ def _search(keys: np.ndarray, wanted: np.ndarray, upper: bool) -> np.ndarray:
 SCHEMA = "doc_id long, n_tokens int, n_byte_tokens int, ids array<int>, round_trip boolean"
 
 
-def _encode_rows(model: PieceModel, block: int = 512):
+def _encode_rows(model: PieceModel, block: int = 256):
     def run(batches):
         # What other queries left in this worker goes first.
         release()
@@ -356,6 +356,9 @@ def _encode_rows(model: PieceModel, block: int = 512):
                     ],
                     names=["doc_id", "n_tokens", "n_byte_tokens", "ids", "round_trip"],
                 )
+                del part, texts, ids, at, back, mask, byte_runs, lists
+            del batch
+            trim()
         del encoder
         release()
 

@@ -1,7 +1,7 @@
 """Monotone sequences after Elias and Fano, as NumPy arrays that may be memory-mapped, with whole arrays of queries at once.
 
 A sequence of n values below u takes about 2 + log2(u / n) bits a value: the low bits of each value are packed, the high
-ones stand in unary in one bit vector. Every eighth one (for access) or zero (for the successor search) has its place
+ones stand in unary in one bit vector. Every fourth one (for access) or zero (for the successor search) has its place
 noted, so a query reads a 64-bit window and seldom a second one.
 """
 
@@ -70,13 +70,13 @@ class EliasFano:
         counts = np.add.reduceat(counts, np.arange(0, len(counts), 8))
         out["before"] = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(kind)
         if access:
-            out["ones"] = at[::8].astype(kind)
+            out["ones"] = at[::4].astype(kind)
         if find:
-            out["zeros"] = np.nonzero(bits == 0)[0][::8].astype(kind)
+            out["zeros"] = np.nonzero(bits == 0)[0][::4].astype(kind)
         return out
 
     def _select(self, rank: np.ndarray, noted: np.ndarray, turned: bool) -> np.ndarray:
-        at, rest = noted[rank >> 3].astype(np.int64), rank & 7
+        at, rest = noted[rank >> 2].astype(np.int64), rank & 3
         w = window(self.high, at)
         w = ~w if turned else w
         found = np.bitwise_count(w).astype(np.int64)

@@ -28,6 +28,7 @@ from functools import reduce
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,9 +94,14 @@ def _sums(size: int, frequent):
                         at = at[look(shorter[at])]
                         at = at[look(shorter[at + 1])]
                     weight = m[rows[first + words.row[at]]]
-                    _, where, inverse = np.unique(runs[size - 1][at], return_index=True, return_inverse=True)
-                    f = np.zeros(len(where), dtype=np.int64)
-                    np.add.at(f, inverse, weight)
+                    codes_, found = pd.factorize(runs[size - 1][at])
+                    where = np.empty(len(found), dtype=np.int64)
+                    where[codes_[::-1]] = np.arange(len(codes_))[::-1]  # the first of each
+                    if weight.sum() < 2**53:  # whole numbers that a double holds
+                        f = np.bincount(codes_, weights=weight, minlength=len(found)).astype(np.int64)
+                    else:
+                        f = np.zeros(len(found), dtype=np.int64)
+                        np.add.at(f, codes_, weight)
                     raw, starts, ends = words.raw(), words.starts[at[where]], words.ends[at[where] + size - 1]
                     # Runs whose words stand further apart than one space are written with single ones.
                     gap = np.concatenate([[0], np.cumsum((words.starts[1:] - words.ends[:-1] != 1) | (words.codes[words.ends[:-1]] != 32))])

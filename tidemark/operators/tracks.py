@@ -48,7 +48,10 @@ def contrast(df: DataFrame, key: str, a: str, b: str, level: str, pitch: str) ->
 
 
 def semitones(b: Column, a: Column) -> Column:
-    return 12 * F.log2(F.try_divide(F.nullif(b, F.lit(0)), F.nullif(a, F.lit(0))))
+    """The step from a to b: infinite where one of them is zero, NaN between zeros, null where one is under zero."""
+    inf = float("inf")
+    step = F.when((a == 0) & (b == 0), float("nan")).when((a == 0) & (b > 0), inf).when((b == 0) & (a > 0), -inf)
+    return step.otherwise(F.when((a > 0) & (b > 0), 12 * F.log2(F.try_divide(b, a))))
 
 
 def jumps(df: DataFrame, keys: list[str], t: str, value: str, most_gap: float, least_semitones: float) -> DataFrame:

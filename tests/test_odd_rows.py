@@ -32,3 +32,9 @@ def events(spark, values, kinds=("view",), step=timedelta(hours=1)):
 def test_jumps_from_and_to_zero(spark, tmp_path):
     got = agree(spark, "adjacent_jumps", tmp_path, events=events(spark, [20.0, 0.0, 0.0, 20.0, 21.0, 45.0, None, 3.0]))
     assert [r.event_id for r in sorted(got, key=lambda r: r.event_id)] == [1, 2, 3, 5]
+
+
+def test_cues_and_medians_with_zeros(spark, tmp_path):
+    values = [20.0, 0.0, 30.0, 0.0, 0.0, 0.0, 5.0, 0.0]
+    got = agree(spark, "cue_contours", tmp_path / "a", events=events(spark, values))
+    assert sorted((r.n_rows, r.median_hz) for r in got) == [(2, None), (6, 0.0)]

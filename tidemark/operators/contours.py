@@ -8,7 +8,7 @@ one without finite energy NO_ROWS; neither gets figures.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -85,10 +85,15 @@ def query(contours: DataFrame, segments: DataFrame, queries: DataFrame, rate: in
     return out.select("query_id", "status", *[F.when(F.col("status") == "MEASURED", F.col(c)).alias(c) for c in measured], "flags", "baseline_eligible")
 
 
-def cue_summary(contours: DataFrame, cues: DataFrame, width: float = 1.0) -> DataFrame:
+def _voiced(unvoiced: float | None) -> Column:
+    """pitch_hz where it is over `unvoiced`; wherever it isn't null, if that is None."""
+    return F.col("pitch_hz") if unvoiced is None else F.when(F.col("pitch_hz") > unvoiced, F.col("pitch_hz"))
+
+
+def cue_summary(contours: DataFrame, cues: DataFrame, width: float = 1.0, unvoiced: float | None = 0.0) -> DataFrame:
     """Pitch of cues with at least three voiced rows, and both means of energy."""
     rows = intervals.point_join(contours, cues.select("cue_id", "source", F.col("start_s").alias("c0"), F.col("end_s").alias("c1")), ["source"], "time_s", "c0", "c1", width)
-    f0 = F.when(F.col("pitch_hz") > 0, F.col("pitch_hz"))
+    f0 = _voiced(unvoiced)
     g = rows.groupBy("cue_id").agg(
         F.count("*").alias("n_rows"), F.count(f0).alias("n_voiced"), F.when(F.count(f0) >= 3, F.percentile(f0, F.lit(0.5))).alias("median_hz"),
         power_mean(F.col("rms_dbfs")).alias("power_mean_dbfs"), F.avg("rms_dbfs").alias("plain_mean_dbfs"),

@@ -38,3 +38,5 @@ def test_cues_and_medians_with_zeros(spark, tmp_path):
     values = [20.0, 0.0, 30.0, 0.0, 0.0, 0.0, 5.0, 0.0]
     got = agree(spark, "cue_contours", tmp_path / "a", events=events(spark, values))
     assert sorted((r.n_rows, r.median_hz) for r in got) == [(2, None), (6, 0.0)]
+    for name, kinds in (("b", ("view", "click")), ("c", ("click", "view")), ("d", ("view", "view", "click"))):
+        assert len(agree(spark, "separation_change", tmp_path / name, events=events(spark, values, kinds))) == 1

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import intervals
-from .tracks import power_mean
+from .tracks import power_mean, semitones
 
 #: Boundary origins that count as phonetic, and flags that bar a row from baselines.
 PHONETIC = ["forced_aligned_verified", "manual_verified"]
@@ -101,10 +101,10 @@ def cue_summary(contours: DataFrame, cues: DataFrame, width: float = 1.0, unvoic
     return cues.select("cue_id").join(g, "cue_id", "left")
 
 
-def separation(before: DataFrame, after: DataFrame, keys: list[str], most: float = 1.0) -> DataFrame:
+def separation(before: DataFrame, after: DataFrame, keys: list[str], most: float = 1.0, unvoiced: float | None = 0.0) -> DataFrame:
     """Median pitch change in semitones of a separated track, and whether it is an artifact."""
-    med = lambda df, name: df.groupBy(*keys).agg(F.percentile(F.when(F.col("pitch_hz") > 0, F.col("pitch_hz")), F.lit(0.5)).alias(name))
-    out = med(before, "f0_before").join(med(after, "f0_after"), keys, "full").withColumn("change_st", 12 * F.log2(F.col("f0_after") / F.col("f0_before")))
+    med = lambda df, name: df.groupBy(*keys).agg(F.percentile(_voiced(unvoiced), F.lit(0.5)).alias(name))
+    out = med(before, "f0_before").join(med(after, "f0_after"), keys, "full").withColumn("change_st", semitones(F.col("f0_after"), F.col("f0_before")))
     return out.withColumn("flag", F.when(F.col("change_st").isNull(), "UNMEASURED").when(F.abs("change_st") > most, "SEPARATION_ARTIFACT").otherwise("NONE"))
 
 

@@ -40,3 +40,10 @@ def test_cues_and_medians_with_zeros(spark, tmp_path):
     assert sorted((r.n_rows, r.median_hz) for r in got) == [(2, None), (6, 0.0)]
     for name, kinds in (("b", ("view", "click")), ("c", ("click", "view")), ("d", ("view", "view", "click"))):
         assert len(agree(spark, "separation_change", tmp_path / name, events=events(spark, values, kinds))) == 1
+
+
+def test_usage_of_many_tokens(spark, tmp_path):
+    rows = [(1, 2_000_000, 5.0, "A", "F"), (2, 7, 5.0, "A", "F"), (3, 9_000_000_000_000, 5.0, "N", "O"), (4, 3, 1.0, "N", "O"), (5, 3, 2.0, "R", "F")]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string")
+    got = agree(spark, "usage_costs", tmp_path, lineitem=li)
+    assert {(r.model, r.n_priced) for r in got} == {("A", 2), ("N", 1), ("R", 0)}

@@ -321,16 +321,17 @@ def delta_dispositions(deltas: DataFrame) -> DataFrame:
     return deltas.withColumn("violation", wrong).withColumn("disposition", F.when(wanted.isNotNull() & F.col("violation").isNull(), wanted).otherwise(automatic))
 
 
-def usage_cost(usage: DataFrame, tariff: DataFrame, aliases: list[str]) -> DataFrame:
+def usage_cost(usage: DataFrame, tariff: DataFrame, aliases: list[str], most: int | None = 10**9) -> DataFrame:
     """usage(model, kind, tokens) in decimal dollars by tariff(model, kind, usd_per_million).
 
-    A dated revision of a model in `aliases` has its price; other names must be equal. Counts outside 0 to 10**9 and
-    unknown models have no cost, which is null and not 0.
+    A dated revision of a model in `aliases` has its price; other names must be equal. Counts under 0 or over `most` (None:
+    no limit) and unknown models have no cost, which is null and not 0.
     """
     base = F.col("model")
     for alias in aliases:
         base = F.when(F.col("model").startswith(alias + "-"), alias).otherwise(base)
     price = tariff.select(F.col("model").alias("_model"), "kind", F.col("usd_per_million").cast("decimal(12,6)").alias("_price"))
     priced = usage.withColumn("_model", base).join(price, ["_model", "kind"], "left")
-    tokens = F.when(F.col("tokens").between(0, 10**9), F.col("tokens")).cast("decimal(10,0)")
-    return priced.withColumn("usd", (tokens * F.col("_price") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(24,12)")).drop("_model", "_price")
+    n = F.col("tokens")
+    tokens = F.when((n >= 0) if most is None else n.between(0, most), n).cast("decimal(19,0)")
+    return priced.withColumn("usd", (tokens * F.col("_price") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,12)")).drop("_model", "_price")

@@ -26,9 +26,16 @@ def judge(decisions: DataFrame, frozen: DataFrame, reading: str) -> DataFrame:
     """decisions(decision, reading, told_digest, ..) with `status`: APPLIES where the digest is the latest state's, STALE
     where an earlier one's, AMBIGUOUS where the reading has no latest state, UNKNOWN_DIGEST and NO_READING. Only those
     that apply may change a state; the others are violations."""
-    states = frozen.groupBy(reading, "digest").agg(F.max("latest").alias("_latest"))
-    latest = states.groupBy(reading).agg(F.max("_latest").alias("_some"))
-    rows = decisions.join(latest, reading, "left").join(states.withColumnRenamed("digest", "told_digest"), [reading, "told_digest"], "left")
+    # States and decisions are stacked, so that both are dealt once, by reading, and both windows run there.
+    rest = [c for c in decisions.columns if c not in (reading, "told_digest")]
+    told = decisions.select(reading, "told_digest", F.lit(None).cast("boolean").alias("latest"), F.struct(*rest).alias("_held"))
+    states = frozen.select(reading, F.col("digest").alias("told_digest"), "latest", F.lit(None).cast(told.schema["_held"].dataType).alias("_held"))
+    known = F.col(reading).isNotNull()
+    rows = told.unionByName(states).withColumns({
+        "_some": F.when(known, F.max("latest").over(Window.partitionBy(reading))),
+        "_latest": F.when(known & F.col("told_digest").isNotNull(), F.max("latest").over(Window.partitionBy(reading, "told_digest"))),
+    })
+    rows = rows.where("_held IS NOT NULL").select(reading, "told_digest", "_held.*", "_some", "_latest")
     status = (
         F.when(F.col("_some").isNull(), "NO_READING")
         .when(F.col("_latest").isNull(), "UNKNOWN_DIGEST")

@@ -20,7 +20,7 @@ def dealt(spark, name):
     return [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
 
 
-@pytest.mark.parametrize("name", ["judged_readings"])
+@pytest.mark.parametrize("name", ["judged_readings", "projected_readings"])
 def test_digests_are_dealt_by_reading_only(spark, name):
     keys = dealt(spark, name)
     assert keys and not any("digest" in k for k in keys)

@@ -15,7 +15,8 @@ def freeze(versions: DataFrame, reading: str, version: str, fields: list[str]) -
     state only if they say the same, else the reading has no latest one (AMBIGUOUS in `judge`).
     """
     held = F.struct(F.col(reading), *[F.col(f) for f in sorted(fields)])
-    rows = versions.withColumn("digest", F.sha2(F.to_json(held, {"ignoreNullFields": "false"}), 256))
+    # Dealt by reading before digests are made, which are wider than what they are made of.
+    rows = versions.repartition(reading).withColumn("digest", F.sha2(F.to_json(held, {"ignoreNullFields": "false"}), 256))
     per = Window.partitionBy(reading)
     top = rows.withColumn("_top", F.max(version).over(per))
     one = F.min(F.when(F.col(version) == F.col("_top"), F.col("digest"))).over(per) == F.max(F.when(F.col(version) == F.col("_top"), F.col("digest"))).over(per)

@@ -118,14 +118,17 @@ def _nearest(told, k: int):
                 for at in range(0, len(fit), 4096):
                     own = fit["id"].to_numpy()[at : at + 4096]
                     x = np.stack(fit["v"].to_numpy()[at : at + 4096])
-                    norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
-                    c = np.divide(x @ q.T, norms, out=np.full(norms.shape, -np.inf), where=norms > 0)
-                    c[own[:, None] == ids[None, :]] = -np.inf
-                    # Of equal cosines, to nine digits, the smaller id comes first.
-                    order = np.lexsort((np.broadcast_to(own[:, None], c.shape), -np.round(c, 9)), axis=0)[:k]
-                    for j in range(len(ids)):
-                        best = kept.get((n, j), []) + [(-round(float(c[i, j]), 9), int(own[i]), float(c[i, j])) for i in order[:, j] if c[i, j] > -np.inf]
-                        kept[n, j] = sorted(best)[:k]
+                    # Not all of a group's queries at once: the table of cosines has a million cells at most.
+                    for first in range(0, len(ids), 256):
+                        asked, own_q = ids[first : first + 256], q[first : first + 256]
+                        norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(own_q, axis=1)[None, :]
+                        c = np.divide(x @ own_q.T, norms, out=np.full(norms.shape, -np.inf), where=norms > 0)
+                        c[own[:, None] == asked[None, :]] = -np.inf
+                        # Of equal cosines, to nine digits, the smaller id comes first.
+                        order = np.lexsort((np.broadcast_to(own[:, None], c.shape), -np.round(c, 9)), axis=0)[:k]
+                        for j in range(len(asked)):
+                            best = kept.get((n, first + j), []) + [(-round(float(c[i, j]), 9), int(own[i]), float(c[i, j])) for i in order[:, j] if c[i, j] > -np.inf]
+                            kept[n, first + j] = sorted(best)[:k]
         out = [(int(told.value[n][0][j]), b, c) for (n, j), best in kept.items() for _, b, c in best]
         yield pd.DataFrame(out, columns=["a", "b", "cosine"])
 

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import kernels
 from .graph import _settle
 
+#: Vectors of one block of `within` and `alike`, and the blocks of a table that has fewer than so many blocks of that size.
+BLOCK_ROWS, BLOCKS = 1 << 17, 4
+#: Halves are rounded by 2^-11 of a unit vector's length at most, so no product of two is off by this much.
+HALVES_OFF = 0.0015
+
 
 def predicates(df: DataFrame, text: str | None = None, label: str | None = None, speaker: str | None = None, status: str | None = None, least: dict[str, float] | None = None, text_col: str = "search_text") -> DataFrame:
     """Rows that meet all of the given predicates; texts are literal, so % and _ mean themselves."""
@@ -135,6 +143,84 @@ def _nearest(told, k: int):
     return run
 
 
+def within(queries: DataFrame, vectors: DataFrame, ident: str, vector: str, least: float) -> DataFrame:
+    """(a, b, cosine): every query and every vector, itself included, at a cosine of at least `least`; none is missed.
+
+    Both tables are cut into blocks by id, and each block of one meets each of the other in a task of its own, as a matrix
+    product of unit vectors in half precision. What may reach `least` by that precision gets its cosine from the whole
+    vectors. A task holds two blocks, and a vector is dealt as often as the other table has blocks. Nulls, zero vectors
+    and ones with a component that is null or not finite have no cosine.
+    """
+    left, right = _halves(queries, ident, vector), _halves(vectors, ident, vector)
+    m, n = _blocks(queries), _blocks(vectors)
+    block = lambda k: F.pmod(F.xxhash64("id"), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    dealt = left.select("id", "half", F.lit(0).alias("side"), block(m).alias("i"), every(n).alias("j"))
+    dealt = dealt.unionByName(right.select("id", "half", F.lit(1).alias("side"), every(m).alias("i"), block(n).alias("j")))
+    return _confirmed(_met(dealt, left.schema["id"].dataType.simpleString(), least), queries, vectors, ident, vector, least)
+
+
+def alike(vectors: DataFrame, ident: str, vector: str, least: float) -> DataFrame:
+    """(a, b, cosine), a < b: every two vectors at a cosine of at least `least`, in blocks as `within`."""
+    held, n = _halves(vectors, ident, vector), _blocks(vectors)
+    own, other = F.pmod(F.xxhash64("id"), F.lit(n)).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("other")
+    dealt = held.select("id", "half", own, other)
+    # A block meets itself with its rows on both sides.
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select("id", "half", side.alias("side"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = _met(dealt, held.schema["id"].dataType.simpleString(), least).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return _confirmed(met, vectors, vectors, ident, vector, least)
+
+
+def _blocks(df: DataFrame) -> int:
+    n = df.count()
+    return max(-(-n // BLOCK_ROWS), min(BLOCKS, -(-n // 1024)), 1)
+
+
+def _halves(df: DataFrame, ident: str, vector: str) -> DataFrame:
+    """(id, half): unit vectors as bytes of half precision."""
+
+    def run(frames):
+        for frame in frames:
+            ids, halves = [], []
+            for i, v in zip(frame["id"], frame["v"], strict=True):
+                x = np.asarray(v, dtype=float)
+                x = x / top if (top := np.abs(x).max(initial=0)) > 0 and np.isfinite(top) else x
+                if (norm := np.linalg.norm(x)) > 0 and np.isfinite(norm):
+                    ids.append(i)
+                    halves.append((x / norm).astype("<f2").tobytes())
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=frame["id"].dtype), "half": pd.Series(halves, dtype=object)})
+
+    rows = df.select(F.col(ident).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, half binary")
+
+
+def _met(dealt: DataFrame, kind: str, least: float) -> DataFrame:
+    """(a, b) of the sides of each (i, j) that may have that cosine."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(frames), ignore_index=True)
+        for _, fit in frame.groupby(frame["half"].map(len)):
+            side, ids = fit["side"].to_numpy(), fit["id"].to_numpy()
+            x = np.frombuffer(b"".join(fit["half"]), dtype="<f2").reshape(len(fit), -1).astype(np.float32)
+            a, b = np.nonzero(side != 1)[0], np.nonzero(side != 0)[0]
+            left, right = x[a], x[b].T
+            step = max(1, (1 << 22) // max(1, len(b)))  # 16 MB of products at a time
+            for at in range(0, len(a), step):
+                i, j = np.nonzero(left[at : at + step] @ right >= least - HALVES_OFF)
+                if len(i):
+                    yield pd.DataFrame({"a": ids[a[at + i]], "b": ids[b[j]]})
+
+    return dealt.groupBy("i", "j").applyInPandas(run, f"a {kind}, b {kind}")
+
+
+def _confirmed(met: DataFrame, left: DataFrame, right: DataFrame, ident: str, vector: str, least: float) -> DataFrame:
+    met = _settle(met.distinct())
+    own = met.join(left.select(F.col(ident).alias("a"), F.col(vector).alias("va")), "a")
+    other = met.join(right.select(F.col(ident).alias("b"), F.col(vector).alias("vb")), "b")
+    return own.join(other, ["a", "b"]).select("a", "b", kernels.cosine("va", "vb").alias("cosine")).where(F.col("cosine") >= least)
+
+
 def upsert(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """current without the rows whose key comes anew, and the new rows; running it again changes nothing."""
     return current.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

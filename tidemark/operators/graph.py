@@ -122,11 +122,20 @@ def cyclic_nodes(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return left.select(F.col("s").alias("node")).unionByName(left.select(F.col("d").alias("node"))).distinct()
 
 
+#: Edges that a task of edge_violations takes, about.
+EDGES_TOGETHER = 500_000
+
+
 def edge_violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Typed edges checked as rows: repeated, dangling, or from a claim to an observation."""
+    """Typed edges checked as rows: repeated, dangling, or from a claim to an observation.
+
+    Edges are dealt to as many tasks as hold EDGES_TOGETHER each; left to itself, Spark joins partitions up to a size in
+    compressed bytes, of which a task's memory is a large multiple.
+    """
+    parts = max(1, -(-edges.count() // EDGES_TOGETHER))
     kind = lambda end: nodes.select(F.col("node").alias(end), F.col("kind").alias(end + "_kind"))
-    counted = edges.groupBy("src", "dst", "relation").agg(F.count("*").alias("n"))
-    typed = counted.join(kind("src"), "src", "left").join(kind("dst"), "dst", "left")
+    counted = edges.repartition(parts, "src", "dst", "relation").groupBy("src", "dst", "relation").agg(F.count("*").alias("n"))
+    typed = counted.repartition(parts, "src").join(kind("src"), "src", "left").repartition(parts, "dst").join(kind("dst"), "dst", "left")
     checks = F.array(
         F.when(F.col("n") > 1, F.lit("repeated")),
         F.when(F.col("src_kind").isNull() | F.col("dst_kind").isNull(), F.lit("dangling")),

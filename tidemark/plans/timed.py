@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import asof, intervals, tracks
-from .base import HOUR, ISLANDS, SPANS, TRACK, day, query, r6, spans, table, track
+from .base import HOUR, ISLANDS, SPAN_DAYS, SPANS, TRACK, day, query, r6, spans, table, track
 
 
 @query(f"WITH {SPANS}, {ISLANDS} SELECT custkey, sum(end_s - start_s)::BIGINT AS covered, count(*) AS n_intervals FROM merged GROUP BY custkey")
@@ -34,7 +34,7 @@ FROM spans s JOIN win w ON s.custkey = w.custkey AND s.start_s < we AND s.end_s
 def interval_overlap_join(spark, d):
     s = spans(spark, d)
     win = s.groupBy("custkey").agg((F.min("start_s") + 100).alias("ws"), (F.min("start_s") + 400).alias("we"))
-    out = intervals.overlap_join(s, win, ["custkey"], "start_s", "end_s", "ws", "we", 64)
+    out = intervals.overlap_join(s, win, ["custkey"], "start_s", "end_s", "ws", "we", SPAN_DAYS)
     return out.select("custkey", "orderkey", "line", "overlap_start", "overlap_end", F.expr("start_s >= ws AND end_s <= we").alias("whole"))
 
 
@@ -44,14 +44,14 @@ FROM spans s JOIN win w ON s.custkey = w.custkey AND s.start_s < we AND s.end_s
 def contained_or_crossing(spark, d):
     s = spans(spark, d)
     win = s.groupBy("custkey").agg((F.min("start_s") + 100).alias("ws"), (F.min("start_s") + 400).alias("we"))
-    return intervals.contained(s, win, ["custkey"], "start_s", "end_s", "ws", "we", 64).groupBy("relation").agg(F.count("*").alias("n"))
+    return intervals.contained(s, win, ["custkey"], "start_s", "end_s", "ws", "we", SPAN_DAYS).groupBy("relation").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {SPANS}, pts AS (SELECT o_custkey AS custkey, o_orderkey AS pkey, datediff('day', DATE '1970-01-01', o_orderdate::DATE) AS t FROM orders)
 SELECT p.custkey, p.pkey, count(*) AS n_holding FROM pts p JOIN spans s ON p.custkey = s.custkey AND p.t >= s.start_s AND p.t < s.end_s GROUP BY ALL""")
 def point_in_interval(spark, d):
     pts = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("pkey"), day("o_orderdate").alias("t"))
-    return intervals.point_join(pts, spans(spark, d), ["custkey"], "t", "start_s", "end_s", 64).groupBy("custkey", "pkey").agg(F.count("*").alias("n_holding"))
+    return intervals.point_join(pts, spans(spark, d), ["custkey"], "t", "start_s", "end_s", SPAN_DAYS).groupBy("custkey", "pkey").agg(F.count("*").alias("n_holding"))
 
 
 _AB = f"""WITH {SPANS}, a AS (SELECT custkey, start_s, end_s FROM spans WHERE line = 1), b AS (SELECT custkey, start_s, end_s FROM spans WHERE line = 2), c AS (SELECT custkey, start_s, end_s FROM spans WHERE line = 3)
@@ -63,7 +63,7 @@ JOIN c ON a.custkey = c.custkey AND greatest(a.start_s, b.start_s, c.start_s) <
 def three_way_intersection(spark, d):
     s = spans(spark, d)
     a, b, c = (s.where(F.col("line") == k).select("custkey", "start_s", "end_s") for k in (1, 2, 3))
-    return intervals.intersect3(a, b, c, ["custkey"], 64)
+    return intervals.intersect3(a, b, c, ["custkey"], SPAN_DAYS)
 
 
 @query(f"""WITH {SPANS}, seg AS (SELECT custkey, orderkey, min(start_s) AS child_start, max(end_s) AS child_end FROM spans GROUP BY ALL),
@@ -73,7 +73,7 @@ def affine_mapping(spark, d):
     s = spans(spark, d)
     seg = s.groupBy("custkey", F.col("orderkey").alias("segment")).agg(F.min("start_s").alias("child_start"), F.max("end_s").alias("child_end"))
     seg = seg.withColumns({"parent_start": F.lit(1000.0), "parent_end": F.lit(1000.0) + 2 * (F.col("child_end") - F.col("child_start"))})
-    out = intervals.map_affine(s, seg, ["custkey"], 64)
+    out = intervals.map_affine(s, seg, ["custkey"], SPAN_DAYS)
     return out.select("custkey", "orderkey", "line", "segment", r6("parent_from").alias("parent_from"), r6("parent_to").alias("parent_to"))
 
 
@@ -88,7 +88,7 @@ SELECT req_id, coalesce(samples, 0) AS samples, CASE WHEN samples IS NULL THEN '
 def sample_selection(spark, d):
     seg = intervals.union(spans(spark, d), ["custkey"]).select("custkey", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), F.lit(10.0).alias("rate"))
     req = table(spark, d, "orders").select(F.col("o_orderkey").alias("req_id"), F.col("o_custkey").alias("custkey"), (day("o_orderdate") + 20).cast("double").alias("req_start"), (day("o_orderdate") + 90).cast("double").alias("req_end"))
-    return intervals.selection_status(seg, req, ["custkey"], 64).select("req_id", "samples", "status")
+    return intervals.selection_status(seg, req, ["custkey"], SPAN_DAYS).select("req_id", "samples", "status")
 
 
 _ASOF = f"""WITH {TRACK}, l AS (SELECT * FROM track WHERE event_type = 'view'), r AS (SELECT user_id, us AS t, min(event_id) AS id FROM track WHERE event_type = 'purchase' GROUP BY ALL),

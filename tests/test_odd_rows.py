@@ -1,8 +1,11 @@
 """Queries against their SQL on small tables of odd rows."""
 
+import math
 from datetime import datetime, timedelta
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from test_queries import norm
 from tidemark.plans import catalogue
@@ -34,6 +37,14 @@ def test_jumps_from_and_to_zero(spark, tmp_path):
     assert [r.event_id for r in sorted(got, key=lambda r: r.event_id)] == [1, 2, 3, 5]
 
 
+def test_jumps_between_equal_times(spark, tmp_path):
+    tied = events(spark, [20.0, 80.0, 30.0, 3.0, 50.0, 9.0], step=timedelta(0))
+    for name, order in (("up", "event_id"), ("down", "-event_id")):
+        tied.orderBy(F.expr(order)).coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got = catalogue.queries()["adjacent_jumps"](spark, f"{tmp_path}/{name}").collect()
+        assert {r.event_id: r.semitones for r in got} == {i: pytest.approx(12 * math.log2(b / a), abs=1e-6) for i, a, b in ((1, 20, 80), (2, 80, 30), (3, 30, 3), (4, 3, 50), (5, 50, 9))}
+
+
 def test_cues_and_medians_with_zeros(spark, tmp_path):
     values = [20.0, 0.0, 30.0, 0.0, 0.0, 0.0, 5.0, 0.0]
     got = agree(spark, "cue_contours", tmp_path / "a", events=events(spark, values))

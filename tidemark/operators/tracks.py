@@ -54,9 +54,9 @@ def semitones(b: Column, a: Column) -> Column:
     return step.otherwise(F.when((a > 0) & (b > 0), 12 * F.log2(F.try_divide(b, a))))
 
 
-def jumps(df: DataFrame, keys: list[str], t: str, value: str, most_gap: float, least_semitones: float) -> DataFrame:
-    """Neighbouring rows, close in time, whose values are at least so many semitones apart."""
-    order = Window.partitionBy(*keys).orderBy(t)
+def jumps(df: DataFrame, keys: list[str], t: str, value: str, most_gap: float, least_semitones: float, ties: list[str] | None = None) -> DataFrame:
+    """Neighbouring rows, close in time, whose values are at least so many semitones apart. Rows of one time go by `ties`."""
+    order = Window.partitionBy(*keys).orderBy(t, *(ties or []))
     with_prev = df.withColumns({"prev_t": F.lag(t).over(order), "prev_value": F.lag(value).over(order)})
     step = semitones(F.col(value), F.col("prev_value"))
     return with_prev.withColumn("semitones", step).where((F.col(t) - F.col("prev_t") <= most_gap) & (F.abs(step) >= least_semitones))

@@ -156,7 +156,7 @@ def interval_contrast(spark, d):
 @query(f"""WITH {TRACK}, l AS (SELECT event_id, us, value, lag(us) OVER w AS pu, lag(value) OVER w AS pv FROM track WINDOW w AS (PARTITION BY user_id ORDER BY us))
 SELECT event_id, round(12 * log2(value / pv), 6) AS semitones FROM l WHERE us - pu <= {12 * HOUR} AND abs(12 * log2(value / pv)) >= 10""")
 def adjacent_jumps(spark, d):
-    return tracks.jumps(track(spark, d), ["user_id"], "us", "value", 12 * HOUR, 10.0).select("event_id", r6("semitones").alias("semitones"))
+    return tracks.jumps(track(spark, d), ["user_id"], "us", "value", 12 * HOUR, 10.0, ties=["event_id"]).select("event_id", r6("semitones").alias("semitones"))
 
 
 @query(f"""WITH {TRACK}, l AS (SELECT *, value < 30 AS quiet, lag(value < 30) OVER w AS pq, us - lag(us) OVER w AS gap FROM track WINDOW w AS (PARTITION BY user_id ORDER BY us)),

@@ -37,6 +37,22 @@ def test_a_block_continues_its_edges():
             assert got[0] == pytest.approx(want[0], abs=1e-12) and (got[1] == want[1]).all()
 
 
+def test_totals_and_the_way_back_are_those_of_the_table():
+    rng = np.random.default_rng(4)
+    for n, m, side, rows in ((23, 31, 5, 99), (31, 23, 7, 4), (40, 40, 8, 40), (1, 9, 4, 1), (9, 1, 4, 2), (1, 1, 4, 1)):
+        a, b = (kernels.unit_frames(rng.integers(0, 3, (k, 2)).astype(float)) for k in (n, m))
+        for top, left in ((np.r_[0.0, np.full(m, np.inf)], np.full(n, np.inf)), (rng.integers(0, 3, m + 1) / 4.0, rng.integers(0, 3, n) / 4.0)):
+            # Steps that also tell where an alignment came in.
+            come = 1000 * np.arange(m + 1 + n, dtype=np.int32)
+            down, right = kernels.warp_block(a, b, (top, come[: m + 1]), (left, come[m + 1 :]))
+            got = kernels.warp_totals(a, b, top, left, rows)
+            assert (got[0] == down[0]).all() and (got[1] == right[0]).all()
+            for r, c in ((n, m), (n // 2 + 1, m), (n, m // 2 + 1)):
+                met = (right[1][r - 1] if c == m else down[1][c]).item()
+                place, steps = kernels.warp_entry(a[:, :r], b[:, :c], top[: c + 1], left[:r], side)
+                assert (place if place <= c else place - c + m, steps) == divmod(met, 1000)
+
+
 @pytest.mark.parametrize(("least", "parts"), [(16384, 32), (16, 4), (1, 3)])
 def test_blocks_change_no_distance(spark, least, parts):
     rng = np.random.default_rng(5)
